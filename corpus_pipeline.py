@@ -1,15 +1,49 @@
-"""The corpus pipeline: quality rules, near-dedup, decontamination, mixing, sharding."""
+"""The corpus pipeline: quality rules, near-dedup, decontamination, mixing to target weights, sharding."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from lexgrain.llm import decontaminate, mixing, quality, shards, simhash
+from lexgrain.llm.shared import materialize
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
+    return simhash.drop_near_duplicates(docs, **simhash.SIMILAR_TEXTS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to their source's target weight, in a global random order."""
+    return mixing.mix(docs, power=0.5, seed=17).select(docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their shard and slot, in 16 shards of near-equal bytes."""
+    return shards.shard(docs, n_shards=16)
+
+
+STAGES = [("quality rules", quality_rules), ("simhash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("source mixing", source_mixing), ("sharding", sharding)]
+
+#: Fingerprints, alignment and hashed draws are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, name.replace(" ", "-"))
     return docs

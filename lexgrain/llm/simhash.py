@@ -279,3 +279,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if repeated.isEmpty():
         return once
     return once.unionByName(those(repeated).dropDuplicates([id_col, text_col]))
+
+
+#: For groups of texts whose five-word shingles have a similarity of 0.8 or more: at that Jaccard similarity two
+#: fingerprints differ in 15 % of their bits, 39 of 256 on average. No pigeonhole key is long enough for such a radius, so
+#: shard keys are 48 draws of 16 bits, of which similar pairs share one with probability 0.97 or more.
+SIMILAR_TEXTS = {"width": 5, "bits": 256, "radius": 39, "tables": sampled_tables(256, 48, 16)}
