@@ -19,7 +19,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 # Character classes, by what a text keeps of them, and their usual shares in running text of any of
 # the languages below; the order is that of CLASSES.
 CLASSES = ("letter", "space", "digit", "punctuation", "symbol")
-CLASS_SHARES = (0.805, 0.165, 0.005, 0.024, 0.001)
+CLASS_SHARES = (0.78, 0.165, 0.03, 0.024, 0.001)
 PUNCTUATION = ".,;:!?'\"()-"
 
 # Very common words of each language and their usual shares of its words.
@@ -43,7 +43,7 @@ class Limits:
     max_repeat_percent: int = 50
     min_chars: int = 200
     max_class_js: float = 0.16
-    wary_class_js: float = 0.08
+    wary_class_js: float = 0.145
     max_word_js: float = 0.55
 
 
