@@ -22,13 +22,14 @@ COLUMNS = 1 << 18
 class Plan:
     """The fit takes max_positive confirmed rows and max_unlabelled others at most; its bound doesn't grow with the corpus.
 
-    Columns that fewer than min_share of the positive rows (and fewer than five) have are left out. beta and gamma
-    are those of the estimator: how negative the corrected risk may get, and how strongly it is driven back.
+    Columns are left out whose shares of the positive and of the unlabelled rows differ by less than min_z standard
+    errors, as are those that fewer than five positive rows have. beta and gamma are those of the estimator: how
+    negative the corrected risk may get, and how strongly it is driven back.
     """
 
     max_positive: int = 4000
     max_unlabelled: int = 12000
-    min_share: float = 0.005
+    min_z: float = 4.0
     rounds: int = 400
     rate: float = 0.05
     decay: float = 1e-4
@@ -77,8 +78,11 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     weights, bias = np.zeros(COLUMNS), float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return weights, bias
-    seen = np.bincount(np.concatenate([*positive, np.empty(0, np.int64)]), minlength=COLUMNS)
-    keep = np.flatnonzero(seen >= max(5, plan.min_share * len(positive)))
+    np_rows, nu_rows = len(positive), len(unlabelled)
+    seen, usual = (np.bincount(np.concatenate(x), minlength=COLUMNS) for x in (positive, unlabelled))
+    pooled = (seen + usual + 1) / (np_rows + nu_rows + 2)
+    z = (seen / np_rows - usual / nu_rows) / np.sqrt(pooled * (1 - pooled) * (1 / np_rows + 1 / nu_rows))
+    keep = np.flatnonzero((np.abs(z) >= plan.min_z) & (seen >= 5))
     p, u = Rows(positive, keep), Rows(unlabelled, keep)
     w = np.zeros(len(keep) + 1)
     w[-1] = bias
