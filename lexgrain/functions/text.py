@@ -27,6 +27,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def settled(df, *computed: str):
+    """df with its computed columns behind a generator of one row a row.
+
+    A filter on a computed column is pushed down by copying the column's whole expression, and so are those of all
+    columns that it is made of; through a generator's output it isn't, so long chains of columns stay as long as they are.
+    """
+    kept = [c for c in df.columns if c not in computed]
+    return df.select(*kept, F.explode_outer(F.array(F.struct(*computed))).alias("_settled")).select(*kept, "_settled.*")
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
