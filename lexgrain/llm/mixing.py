@@ -39,7 +39,7 @@ def source_rates(docs: DataFrame, source_col: str = "source", weights: dict[str,
         n = n.withColumn("weight", F.pow("n", F.lit(float(power))))
     else:
         session = docs.sparkSession
-        given = session.createDataFrame(list(weights.items()), "name string, weight double")
+        given = session.createDataFrame([(k, float(v)) for k, v in weights.items()], "name string, weight double")
         n = n.join(given, F.coalesce("source", F.lit("")) == given["name"], "left").select("source", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     n = materialize(n, "sources")
     sums = n.agg(F.sum("weight").alias("w"), F.sum("n").alias("rows")).first()

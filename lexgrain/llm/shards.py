@@ -76,6 +76,8 @@ def find_pieces(keys: DataFrame, n_shards: int, tolerance: float) -> list[Piece]
     """Refine the candidate boundaries, a round of exact counting after another, until every splitter is met."""
     top = Piece(-1, (0, 0), 0, 0, False, False)
     top.pieces = sorted(count_below(keys, 0, None), key=lambda p: unsigned(p.prefix))
+    if not top.pieces:
+        return []
     rows, size = sum(p.rows for p in top.pieces), sum(p.size for p in top.pieces)
     while True:
         leaves, todo, end = top.leaves(), [], 0

@@ -1,0 +1,435 @@
+"""Each training-data operator on small cases, against brute force or an exact round trip."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lexgrain.llm import components, decontaminate, html_text, licenses, mixing, quality, shards, simhash, token_counts, toxicity, warc
+
+DOCS = "doc_id long, text string, source string"
+ODD = [(1, None, None), (None, "a b c", "s"), (2, "", "s"), (2, "", "s"), (3, " \n\t", "s"), (4, "ä\x00ö 𝄞 " * 50, "t"), (5, "wort " * 30000, "t"), (5, "wort " * 30000, "t"), (6, "x" * 200000, None)]
+
+
+def frame(spark, rows, schema=DOCS):
+    return spark.createDataFrame(rows, schema)
+
+
+def words(n, seed):
+    draw = random.Random(seed)
+    return [draw.choice("das ist ein satz über viele dinge und noch mehr worte aus dem wald".split()) + str(draw.randrange(400)) for _ in range(n)]
+
+
+# SimHash -------------------------------------------------------------------------------------------------------
+
+
+def brute_fingerprint(text, width=4):
+    w = (text or "").encode().lower().split()
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + width]), seed=42) for i in range(max(1, len(w) - width + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("block", [64, 1 << 20])
+def test_fingerprints_are_those_of_brute_force(monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", block)
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 8)
+    for text in [None, "", " \t ", "Eins", "eins ZWEI drei", "A b c d", " ".join(words(300, 1)), "wort " * 100, "\x0bx\x0cy z"]:
+        assert int.from_bytes(simhash.fingerprint(text, 4, 64, 42), "big") == brute_fingerprint(text)
+
+
+def brute_components(prints, radius=4):
+    root = list(range(len(prints)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= radius:
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(prints))]
+
+
+@pytest.mark.parametrize("tree_size", [4096, 5])
+def test_links_connect_what_brute_force_connects(spark, tree_size):
+    draw = random.Random(3)
+    prints = [draw.getrandbits(64) for _ in range(60)]
+    for k in range(60):  # chains and balls around them
+        base = draw.choice(prints)
+        for b in draw.sample(range(64), draw.choice([1, 2, 4, 5])):
+            base ^= 1 << b
+        prints.append(base)
+    prints = sorted(set(prints))
+    df = spark.createDataFrame([(p.to_bytes(8, "big"),) for p in prints], "fp binary")
+    links = simhash.fingerprint_links(df, 4, simhash.block_tables(64, 6, 4), tree_size=tree_size)
+    roots = {bytes(r["node"]): bytes(r["root"]) for r in components.components(links).collect()}
+    got = [roots.get(p.to_bytes(8, "big"), p.to_bytes(8, "big")) for p in prints]
+    wanted = brute_components(prints)
+    assert len(set(zip(got, wanted))) == len(set(got)) == len(set(wanted))
+
+
+def test_bk_tree_finds_all_within_the_radius():
+    draw = np.random.default_rng(1)
+    prints = draw.integers(0, 2**64, (300, 1), dtype=np.uint64) & np.uint64(0xFFFF)
+    found = {(n, int(q)) for n, near in simhash.BKTree(prints).search(prints[:40], 3) for q in near}
+    assert found == {(n, q) for q in range(40) for n in range(300) if int(prints[n, 0] ^ prints[q, 0]).bit_count() <= 3}
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 140)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_duplicates_keep_one_of_each_group(spark):
+    base = words(400, 5)
+    near = base[:]
+    near[200] = "anders"
+    rows = [(10, " ".join(base), "a"), (11, " ".join(base), "b"), (12, " ".join(near), "c"), (13, " ".join(words(400, 6)), "d"), (10, " ".join(base), "a"), *ODD]
+    kept = simhash.drop_near_duplicates(frame(spark, rows), **simhash.SIMILAR_TEXTS).collect()
+    ids = Counter(r["doc_id"] for r in kept)
+    assert ids[10] == 1 and ids[11] == ids[12] == 0 and ids[13] == 1
+    assert max(ids.values()) == 1
+    assert simhash.near_duplicate_groups(frame(spark, [])).count() == 0
+    groups = simhash.near_duplicate_groups(frame(spark, rows)).collect()
+    assert len(groups) == len(rows)
+    assert {r["rep_id"] for r in groups if int.from_bytes(r["fp"], "big") == 0} == {1}
+
+
+# Decontamination -----------------------------------------------------------------------------------------------
+
+
+def edit_places(item, text):
+    """Least edits of item at any place of text, by the full table."""
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        now = [i]
+        for j, b in enumerate(text, 1):
+            now.append(min(row[j] + 1, now[j - 1] + 1, row[j - 1] + (a != b)))
+        row = now
+    return min(row)
+
+
+def test_items_are_found_within_the_edit_budget():
+    draw = random.Random(11)
+    items = [(k, " ".join(words(n, k))) for k, n in enumerate([8, 15, 30, 60])]
+    budget = decontaminate.Budget()
+    index = decontaminate.Index(items, budget)
+    for trial in range(60):
+        number, item = draw.choice(items)
+        changed = list(item)
+        for _ in range(draw.randrange(0, 14)):
+            at = draw.randrange(len(changed))
+            changed[at : at + 1] = draw.choice([[], ["q"], [changed[at], "z"]])
+        text = decontaminate.plain(" ".join(words(40, trial)) + " " + "".join(changed) + " " + " ".join(words(40, -trial - 1)))
+        found = {n: e for n, e, _, _ in index.find(text)}
+        for n, original in items:
+            edits = edit_places(decontaminate.plain(original), text)
+            if edits <= budget.edits(len(decontaminate.plain(original))):
+                assert found.get(n) == edits
+            else:
+                assert n not in found
+
+
+def test_contaminated_documents_go(spark):
+    item = " ".join(words(30, 77))
+    bench = spark.createDataFrame([(1, item), (2, "kurz"), (3, None), (4, ""), (1, item)], "item_id long, text string")
+    rows = [(20, "Vorher " + item.upper().replace(" ", "  ") + ", nachher", "s"), (21, " ".join(words(200, 78)), "s"), (22, "Kurz!", "s"), (23, "nicht so kurz", "s"), *ODD]
+    found = decontaminate.contaminations(frame(spark, rows), bench).collect()
+    assert sorted((r["id"], r["item_id"], r["edits"]) for r in found) == [(20, 1, 0), (20, 1, 0), (22, 2, 0)]
+    kept = decontaminate.drop_contaminated(frame(spark, rows), bench)
+    assert kept.columns == ["doc_id", "text", "source"]
+    assert kept.count() == len(rows) - 2
+    assert decontaminate.contaminations(frame(spark, []), bench).count() == 0
+    assert decontaminate.drop_contaminated(frame(spark, rows), bench.limit(0)).count() == len(rows)
+
+
+def test_a_large_benchmark_is_taken_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 500)
+    items = [(k, " ".join(words(20, k))) for k in range(12)]
+    docs = frame(spark, [(100 + k, "davor " + t + " danach", "s") for k, t in items])
+    found = decontaminate.contaminations(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["id"], r["item_id"]) for r in found) == [(100 + k, k) for k in range(12)]
+
+
+# Tokens --------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_sections_add_up_to_the_whole(spark, rule):
+    text = "Der erste Satz.\n\nZweite  Zeile äöü 𝄞\n  dritte"
+    rows = token_counts.token_counts(frame(spark, [(30, text, "s"), *ODD]), rule=rule).collect()
+    of = {}
+    for r in rows:
+        of.setdefault((r["id"], r["section"]), []).append(r)
+    whole = of[30, -1]
+    for k in {i for i, _ in of}:
+        total = sum(r["tokens"] for r in of[k, -1])
+        parts = sum(r["tokens"] for (i, s), x in of.items() if i == k and s >= 0 for r in x)
+        assert abs(total - parts) < 1e-6
+    assert whole[-1]["tokens"] == len(token_counts.encoding(token_counts.VOCABULARY, token_counts.PATTERN)[0].encode_ordinary(text))
+    assert [(r["start"], r["end"]) for s in range(4) for r in of[30, s]] == [(0, 16), (16, 17), (17, 37), (37, 45)]
+
+
+def test_attribution_rules_against_brute_force():
+    draw = random.Random(2)
+    for _ in range(200):
+        ends = np.cumsum([draw.randrange(1, 6) for _ in range(12)])
+        starts = np.r_[0, ends[:-1]]
+        cuts = sorted(draw.sample(range(int(ends[-1]) + 1), 6))
+        at, to = np.array(cuts[0::2]), np.array(cuts[1::2])
+        for rule in token_counts.RULES:
+            counts, crossing = token_counts.attribute_spans(starts, ends, at, to, rule)
+            wanted, crossed = [0.0] * 3, [0] * 3
+            for a, b in zip(starts, ends):
+                share = [max(0, min(b, y) - max(a, x)) for x, y in zip(at, to)]
+                met = [k for k in range(3) if share[k]]
+                for k in met:
+                    crossed[k] += len(met) > 1
+                    if rule == "split":
+                        wanted[k] += share[k] / (b - a)
+                if met and rule != "split":
+                    wanted[{"first": met[0], "last": met[-1], "longest": max(met, key=lambda k: (share[k], -k))}[rule]] += 1
+            assert np.allclose(counts, wanted) and list(crossing) == crossed
+
+
+def test_sections_of_a_column(spark):
+    df = spark.createDataFrame([(1, "Titel: ein Text äöü", [(0, 7), (7, 99)]), (2, None, [(0, 1)]), (3, "x", None)], "doc_id long, text string, teile array<struct<start:long,end:long>>")
+    got = {(r["id"], r["section"]): (r["start"], r["end"], r["tokens"]) for r in token_counts.token_counts(df, sections_col="teile").collect()}
+    assert got[1, 0][:2] == (0, 7) and got[1, 1][:2] == (7, 19)
+    assert got[1, 0][2] + got[1, 1][2] == got[1, -1][2]
+    assert got[2, -1][2] == 0 and (3, 0) not in got
+    with pytest.raises(ValueError):
+        token_counts.token_counts(df, rule="alle")
+
+
+# Shards --------------------------------------------------------------------------------------------------------
+
+
+def test_shards_are_gapless_and_even(spark):
+    draw = random.Random(4)
+    rows = [(k, " ".join(words(draw.randrange(1, 60), k)), "s") for k in range(3000)] + [(5000 + k, "gleich " * 40, "s") for k in range(1500)]
+    got = shards.shard(frame(spark, rows), n_shards=8, tolerance=0.02).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
+    size, slots, texts = Counter(), {}, {}
+    for r in got:
+        size[r["shard"]] += len(r["text"].encode()) + 1
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        texts.setdefault(r["text"], set()).add(r["shard"])
+    mean = sum(size.values()) / 8
+    assert all(abs(v - mean) <= 2 * 0.02 * mean + 400 for v in size.values())
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert all(len(v) == 1 for t, v in texts.items() if not t.startswith("gleich"))
+
+
+def test_shards_of_odd_rows(spark):
+    for rows in ([], ODD, [(1, "x", "s")] * 50):
+        got = shards.shard(frame(spark, rows), n_shards=4).collect()
+        assert len(got) == len(rows)
+        assert all(0 <= r["shard"] < 4 for r in got)
+    clash = frame(spark, [(1, "a", 9, "z")], "doc_id long, text string, shard int, Slot string")
+    assert shards.shard(clash).columns == ["doc_id", "text", "shard", "slot"]
+
+
+# Licenses ------------------------------------------------------------------------------------------------------
+
+
+def test_licenses_are_found_with_spans(spark):
+    mit = licenses.TEMPLATES["MIT"]
+    changed = mit.replace("free of charge", "gratis").replace("merge, ", "").upper()
+    text = "Anfang. " + changed + "\nEnde. Released under the  MIT-License."
+    rows = [(1, text, "s"), (2, "Nothing is granted here, and no license either.", "s"), (3, "Licensed under the Apache License, Version 2.0.", "s"), *ODD]
+    got = sorted((r["id"], r["license"], r["start"], r["end"], round(r["coverage"], 2)) for r in licenses.scan_licenses(frame(spark, rows)).collect())
+    assert [g[:2] for g in got] == [(1, "MIT"), (3, "Apache-2.0 line")]
+    start, end = got[0][2:4]
+    assert text[start:end].startswith("PERMISSION IS") and text[start:end].endswith("THE SOFTWARE") and got[0][4] >= 0.9
+    assert got[1][2:] == (0, 46, 1.0)
+    assert licenses.scan_licenses(frame(spark, [])).count() == 0
+
+
+def test_banded_match_is_the_longest_common_subsequence():
+    draw = random.Random(9)
+    for _ in range(200):
+        a, b = ([draw.choice("abc") for _ in range(draw.randrange(1, 9))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        found = licenses.banded_match(a, b, -20, 20)
+        assert (found[0] if found else 0) == table[-1][-1]
+
+
+# HTML ----------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<body><nav>Menü</nav><article><h1>T &amp;  x</h1><p>a\n b<p><b>c</b>d<br>e</article><footer>f</footer>", "T & x\na b\ncd\ne"),
+        ("<article><p>a</p><script>var x = '<p>b</p>';</script><div class='ad'>kauf</div><section id=comments><p>toll</p></section><p>z</p></article>", "a\nz"),
+        ("<main><form>Name <input></form><aside>neben</aside><header><h1>Kopf</h1></header><p>x</p></main>", "Kopf\nx"),
+        ("<p>&#228;&#x20AC;&nbsp;y &amp z</p>", "ä€ y & z"),
+        ("", ""),
+        (None, ""),
+        ("nur Text", "nur Text"),
+        ("<article></article>", ""),
+    ],
+)
+def test_main_text(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_unmarked_page_keeps_what_lies_between_surge_and_dive():
+    body = ["Ein langer Absatz mit viel Text, der zum Artikel gehört und weit über der Schwelle liegt, wie man sieht." for _ in range(4)]
+    page = "<div><a href=a>Start</a> <a href=b>Über</a></div>" + "".join(f"<div>{b}</div>" for b in [*body[:2], "Kurz.", *body[2:]]) + "<div><a href=c>Impressum</a></div>"
+    assert html_text.main_text(page) == "\n".join([*body[:2], "Kurz.", *body[2:]])
+
+
+def test_extract_frame(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>ä</p>", "alt"), (2, "u", None, "alt"), (1, "u", "<p>ä</p>", "alt")], "page_id long, url string, html string, Text string")
+    got = html_text.extract(pages)
+    assert got.columns == ["page_id", "url", "html", "text", "n_chars"]
+    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in got.collect()) == [(1, "ä", 1), (1, "ä", 1), (2, "", 0)]
+
+
+# WARC ----------------------------------------------------------------------------------------------------------
+
+
+def test_round_trip_with_revisits_and_segments(spark):
+    long = "WARC/1.1\r\n\r\nä" * 9000
+    rows = [(1, "u", "x" * 100), (2, "u", "x" * 100), (3, "u\r\nHost: a", "kurz"), (4, None, "kurz"), (5, "u", None), (7, "u", long), (6, "u", long), (6, "u", long), (None, "u", "x" * 100), (8, "u", "")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["problem"] is None for r in got)
+    assert len(got) == len(rows)
+    kinds = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in got)
+    assert kinds == Counter([(1, "response", None), (2, "revisit", 1), (None, "revisit", 1), (3, "response", None), (4, "response", None), (5, "response", None), (8, "response", None), (6, "response", None), (6, "response", None), (7, "revisit", 6)])
+    payloads = {r["page_id"]: r["payload"] for r in got if r["record_type"] == "response"}
+    assert bytes(payloads[6]).decode() == long and bytes(payloads[5]) == b""
+    assert {r["page_id"]: r["stated_bytes"] for r in got if r["record_type"] == "revisit"} == {2: 100, None: 100, 7: len(long.encode())}
+    assert all(r["digest"] == "sha256:" + hashlib.sha256(b"x" * 100).hexdigest() for r in got if r["page_id"] in (1, 2))
+    assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_broken_segments_are_reported():
+    record = warc.archive_records("response", "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1:a>\r\n", "<urn:page:1:a>", "y" * 60000, 60000)
+    parts = [next(warc.parse_archive(r + warc.END)) for r in record]
+    assert len(parts) > 2
+    whole = warc.reassemble(warc._frame(parts[::-1], warc.RECORD)).iloc[0]
+    assert whole["problem"] is None and whole["payload"] == b"y" * 60000
+    assert warc.reassemble(warc._frame(parts[:-1], warc.RECORD)).iloc[0]["problem"]
+    assert warc.reassemble(warc._frame([parts[0], *parts[2:]], warc.RECORD)).iloc[0]["problem"]
+
+
+def test_chunked_framing():
+    for n in (0, 1, 4096, 10000):
+        assert warc.unchunked(warc.chunked(b"z" * n)) == b"z" * n
+    with pytest.raises(ValueError):
+        warc.unchunked(b"a\r\nabc")
+
+
+# Mixing --------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("rate", [0, 0.1, 1, 7.5, 900])
+def test_poisson_cdf(rate):
+    cdf = np.array(mixing.poisson_cdf(rate))
+    assert cdf[-1] == 1 and (np.diff(cdf) >= 0).all()
+    mass = np.diff(np.r_[0, cdf])
+    k = np.arange(len(cdf))
+    assert abs((mass * k).sum() - rate) < 1e-6 * max(1, rate) and abs((mass * (k - rate) ** 2).sum() - rate) < 1e-4 * max(1, rate)
+
+
+def test_mixing_meets_its_weights(spark):
+    rows = [(k, f"text {k}", "groß" if k % 10 else "klein") for k in range(20000)] + [(-1, None, None)]
+    docs = frame(spark, rows)
+    got = mixing.mix(docs, weights={"groß": 1, "klein": 1}).collect()
+    n = Counter(r["source"] for r in got)
+    assert abs(n["groß"] - 10000) < 500 and abs(n["klein"] - 10000) < 500 and None not in n
+    copies = Counter(r["doc_id"] for r in got)
+    assert all(copies[r["doc_id"]] == r["copies"] for r in got)
+    assert sorted(map(str, mixing.mix(docs.repartition(7), weights={"groß": 1, "klein": 1}).collect())) == sorted(map(str, got))
+    share = Counter(r["copies"] for r in {r["doc_id"]: r for r in got if r["source"] == "klein"}.values())
+    assert abs(share[5] / 2000 - 0.1755) < 0.04  # Poisson with mean 5
+
+
+def test_mixing_of_odd_rows(spark):
+    got = mixing.mix(frame(spark, ODD), power=1.0)
+    assert {r["rate"] for r in got.select("rate").collect()} <= {1.0}
+    assert mixing.mix(frame(spark, [])).count() == 0
+    assert mixing.mix(frame(spark, ODD), weights={"": 1}).where("source is not null").count() == 0
+
+
+# Toxicity ------------------------------------------------------------------------------------------------------
+
+
+def test_toxic_words_are_learned_from_positive_and_unlabelled(spark):
+    draw = random.Random(8)
+    rows, labels = [], []
+    for k in range(4000):
+        text = words(40, k)
+        toxic = draw.random() < 0.2
+        if toxic:
+            text[draw.randrange(40)] = draw.choice(["pfui", "garstig"])
+        rows.append((k, " ".join(text), "s"))
+        if k % 2:
+            labels.append((k, int(toxic)))
+        truth = rows[-1] + (toxic,)
+        rows[-1] = truth
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, truth boolean")
+    weights, bias = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = toxicity.score(docs, weights, bias).collect()
+    held = [r for r in got if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    assert sum(r["predicted"] == r["truth"] for r in held) > 0.97 * len(held)
+    odd = toxicity.score(frame(spark, ODD), weights, bias).collect()
+    assert len(odd) == len(ODD) and all(0 <= r["score"] <= 1 for r in odd)
+
+
+def test_without_labels_the_score_is_the_prior(spark):
+    weights, bias = toxicity.fit(frame(spark, ODD), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert not weights.any() and toxicity.sigmoid(np.array([bias]))[0] < 0.01
+
+
+# Quality -------------------------------------------------------------------------------------------------------
+
+
+def brute_repeats(text):
+    w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if x]
+    grams = Counter(zip(w, w[1:], w[2:]))
+    return len({i + d for i in range(len(w) - 2) if grams[w[i], w[i + 1], w[i + 2]] > 1 for d in range(3)})
+
+
+def test_quality_counts_against_brute_force(spark):
+    draw = random.Random(1)
+    rows = [(k, " ".join(draw.choice("abcd") for _ in range(draw.randrange(0, 40))) + draw.choice(["", "\nx\nx\n \n", " #$%"]), "s") for k in range(100)] + ODD[:-3]
+    for r in quality.judge(frame(spark, rows)).collect():
+        text = r["text"] or ""
+        w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", text) if x]
+        assert r["n_words"] == len(w) and r["word_chars"] == sum(map(len, w))
+        assert r["n_symbols"] == sum(c in "#*$%&|<>" for c in text)
+        assert r["n_repeat_words"] == brute_repeats(text)
+        lines = [x for x in text.split("\n") if __import__("re").search(r"[^\x20\x09-\x0D]", x)]
+        assert r["n_dup_lines"] == len(lines) - len(set(lines))
+        assert r["base_failed"] == (len(w) < 50 or 100 * brute_repeats(text) > 50 * len(w))
+
+
+def test_symbols_fail_and_prose_passes(spark):
+    prose = " ".join(words(120, 3)).translate(str.maketrans("", "", "0123456789")) + "."
+    junk = " ".join(f"{w}###" for w in prose.split())
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(frame(spark, [(1, prose.replace("wald", "der die und"), "s"), (2, junk, "s"), (3, "kurz", "s")])).collect()}
+    assert got[2] is False and got[3] is False
+    kept = quality.keep_good(frame(spark, ODD))
+    assert kept.columns == ["doc_id", "text", "source"]
+    assert quality.keep_good(frame(spark, [])).count() == 0
+    clash = spark.createDataFrame([(1, "x", 5)], "doc_id long, text string, N_words long")
+    assert quality.judge(clash).columns.count("n_words") == 1
