@@ -51,14 +51,17 @@ def common_words() -> list[str]:
     return sorted({w for words in COMMON_WORDS.values() for w in words})
 
 
-def js_distance(p: list[Column], q: list[float]) -> Column:
-    """Square root of the Jensen-Shannon divergence, base 2, between 0 and 1."""
+def js_distance(p: Column, q: list[float]) -> Column:
+    """Square root of the Jensen-Shannon divergence, base 2, between 0 and 1; p is an array of shares."""
 
     def part(x: Column, y: Column) -> Column:
         return F.when(x > 0, x * F.log2(x / ((x + y) / 2))).otherwise(F.lit(0.0))
 
-    terms = [part(a, F.lit(b)) + part(F.lit(b), a) for a, b in zip(p, q, strict=True)]
-    return F.sqrt(F.greatest(F.lit(0.0), reduce(lambda x, y: x + y, terms) / 2))
+    def distance(p: Column) -> Column:
+        terms = [part(F.get(p, F.lit(i)), F.lit(y)) + part(F.lit(y), F.get(p, F.lit(i))) for i, y in enumerate(q)]
+        return F.sqrt(F.greatest(F.lit(0.0), reduce(lambda x, y: x + y, terms) / 2))
+
+    return let(p, distance)
 
 
 def repeat_words(words: Column) -> Column:
@@ -87,9 +90,8 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) > 3, let(hashes, count)).otherwise(F.lit(0))
 
 
-def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """_row (all columns of docs) and the counts that the rules use."""
-    text = F.coalesce(F.col("_row").getField(text_col), F.lit(""))
+def measures(text: Column) -> Column:
+    """A struct of the counts that the rules use."""
     known = common_words()
 
     def of_words(words: Column) -> Column:
@@ -100,25 +102,66 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def of_lines(lines: Column) -> Column:
         return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
-    rest = F.regexp_replace(text, r"\p{L}+", "")
-    found = pack(docs).select(
-        "_row",
+    def of_rest(r: Column) -> Column:
+        def less(pattern: str) -> Column:
+            return F.length(r) - F.length(F.regexp_replace(r, pattern, ""))
+
+        return F.struct(
+            F.length(r).alias("n"), less(r"[\x20\x09-\x0D]").alias("space"), less("[0-9]").alias("digit"), less(r"[.,;:!?'\"()\-]").alias("punctuation"), less(r"[#*$%&|<>]").cast("long").alias("n_symbols")
+        )
+
+    return F.struct(
         let(F.filter(F.split(text, SPACE), lambda w: w != ""), of_words).alias("w"),
         let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), of_lines).alias("n_dup_lines"),
         F.length(text).alias("n"),
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
-        let(
-            rest,
-            lambda r: F.struct(
-                F.length(r).alias("rest"),
-                (F.length(r) - F.length(F.regexp_replace(r, r"[\x20\x09-\x0D]", ""))).alias("space"),
-                (F.length(r) - F.length(F.regexp_replace(r, "[0-9]", ""))).alias("digit"),
-                (F.length(r) - F.length(F.regexp_replace(r, r"[.,;:!?'\"()\-]", ""))).alias("punctuation"),
-                (F.length(r) - F.length(F.regexp_replace(r, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
-            ),
-        ).alias("c"),
+        let(F.regexp_replace(text, r"\p{L}+", ""), of_rest).alias("rest"),
     )
-    return found.select("_row", "w.*", "n_dup_lines", "n", "word_chars", "c.*")
+
+
+def distances(m: Column) -> Column:
+    """A struct of class_js, the distance of the character classes, and word_js, the least of the languages' distances."""
+    known = common_words()
+    n, r = m["n"], m["rest"]
+    classes = F.array(*[x / n for x in (n - r["n"], r["space"], r["digit"], r["punctuation"], r["n"] - r["space"] - r["digit"] - r["punctuation"])])
+    codes = m["w"]["codes"]
+    shares = F.array(*[(F.length(codes) - F.length(F.replace(codes, F.lit(chr(48 + i)), F.lit("")))) / m["w"]["n_words"] for i in range(len(known))])
+
+    def nearest(share: Column) -> Column:
+        far = []
+        for words in COMMON_WORDS.values():
+            p = [F.get(share, F.lit(known.index(w))) for w in words]
+            other = F.greatest(F.lit(0.0), 1 - reduce(lambda x, y: x + y, p))
+            far.append(js_distance(F.array(*p, other), [*words.values(), 1 - sum(words.values())]))
+        return F.least(*far)
+
+    return F.struct(js_distance(classes, list(CLASS_SHARES)).alias("class_js"), let(shares, nearest).alias("word_js"))
+
+
+def verdict(text: Column, limits: Limits = Limits()) -> Column:
+    """A struct of the counts, distances and decisions on a text.
+
+    It is one expression whose parts are bound once each: a filter on it is pushed down without growing.
+    """
+
+    def decide(m: Column) -> Column:
+        words, repeats = m["w"]["n_words"], m["w"]["n_repeat_words"]
+        enough = (words >= limits.min_words) & (m["n"] >= limits.min_chars)
+        failed = (words < limits.min_words) | (100 * repeats > limits.max_repeat_percent * words)
+
+        def judged(d: Column) -> Column:
+            unlike = (d["class_js"] > limits.max_class_js) | ((d["class_js"] > limits.wary_class_js) & (d["word_js"] > limits.max_word_js))
+            return F.struct(
+                words.alias("n_words"), m["word_chars"].alias("word_chars"), m["rest"]["n_symbols"].alias("n_symbols"), m["n_dup_lines"].alias("n_dup_lines"), repeats.alias("n_repeat_words"),
+                d["class_js"].alias("class_js"), d["word_js"].alias("word_js"), failed.alias("base_failed"), (~failed & ~F.coalesce(unlike, F.lit(False))).alias("kept"),
+            )
+
+        return let(F.when(enough, distances(m)), judged)
+
+    return let(measures(F.coalesce(text, F.lit(""))), decide)
+
+
+VERDICT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_js", "word_js", "base_failed", "kept")
 
 
 def judge(docs: DataFrame, text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
@@ -128,25 +171,10 @@ def judge(docs: DataFrame, text_col: str = "text", limits: Limits = Limits()) ->
     are judged alike, each row for itself; an empty table gives an empty one. Columns of docs that have the name
     of an added one are replaced.
     """
-    m = measures(docs, text_col)
-    known = common_words()
-    shares = [F.col(c) / F.col("n") for c in ("letter", "space", "digit", "punctuation", "other")]
-    m = m.withColumn("letter", F.col("n") - F.col("rest")).withColumn("other", F.col("rest") - F.col("space") - F.col("digit") - F.col("punctuation"))
-    count = {w: F.length("codes") - F.length(F.replace("codes", F.lit(chr(48 + i)), F.lit(""))) for i, w in enumerate(known)}
-    m = m.withColumn("share", F.array(*[count[w] / F.col("n_words") for w in known]))
-    far = []
-    for words in COMMON_WORDS.values():
-        p = [F.get("share", F.lit(known.index(w))) for w in words]
-        far.append(js_distance([*p, F.greatest(F.lit(0.0), 1 - reduce(lambda x, y: x + y, p))], [*words.values(), 1 - sum(words.values())]))
-    enough = (F.col("n_words") >= limits.min_words) & (F.col("n") >= limits.min_chars)
-    m = m.withColumn("class_js", F.when(enough, js_distance(shares, list(CLASS_SHARES)))).withColumn("word_js", F.when(enough, F.least(*far)))
-    failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
-    unlike = (F.col("class_js") > limits.max_class_js) | ((F.col("class_js") > limits.wary_class_js) & (F.col("word_js") > limits.max_word_js))
-    added = {c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_js", "word_js")}
-    return unpack(m, docs.columns, **added, base_failed=failed, kept=~failed & ~F.coalesce(unlike, F.lit(False)))
+    judged = pack(docs).withColumn("v", verdict(F.col("_row").getField(text_col), limits))
+    return unpack(judged, docs.columns, **{c: F.col("v").getField(c) for c in VERDICT})
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """The rows of docs that judge() keeps, with the columns of docs alone."""
-    judged = judge(docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text")), "text", limits)
-    return judged.where("kept").select("doc.*")
+    return docs.where(verdict(F.col(text_col), limits).getField("kept"))
