@@ -6,14 +6,13 @@ balance, the check schema and the audit run over all texts.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_html
 from ..operators import merging, schema_tree, segmentation, syntax
 from ..sources import crawl, sinks
+from ..sources.staging import staged
 from .registry import query, table
 
 
@@ -71,18 +70,9 @@ def snk05_run_report(spark, sf_dir):
 @query("SELECT url, runde FROM (WITH RECURSIVE r(url, runde) AS (SELECT 0::BIGINT, 0 UNION SELECT e.nach, r.runde + 1 FROM r JOIN (SELECT DISTINCT user_id AS von, event_id * 31 % 2000 AS nach FROM events) e ON e.von = r.url WHERE r.runde < 12) SELECT url, min(runde) AS runde FROM r GROUP BY 1)")
 def src06_frontier(spark, sf_dir):
     """What is reached from a start by links, a round of joins after another."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "").rstrip("/")
-
-    def materialize(df: DataFrame) -> DataFrame:
-        if not base:
-            return df.cache()
-        path = f"{base}/frontier-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
-
     edges = table(spark, sf_dir, "events").select(F.col("user_id").alias("von"), (F.col("event_id") * 31 % 2000).alias("nach")).distinct()
     starts = spark.range(1).select(F.col("id").alias("url"))
-    return crawl.reachable(edges, starts, materialize, 12)
+    return crawl.reachable(edges, starts, staged, 12)
 
 
 @query()

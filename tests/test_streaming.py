@@ -1,0 +1,32 @@
+"""The incremental stream annotates what is new or changed, once."""
+
+from pyspark.sql import functions as F
+
+from lexgrain.operators import relational
+from lexgrain.streaming import incremental
+
+SCHEMA = "abk string, norm_id string, text_hash string, n int"
+
+
+def test_only_new_and_changed_norms_are_annotated(spark, tmp_path):
+    source, known = f"file://{tmp_path}/in", f"file://{tmp_path}/known"
+    spark.createDataFrame([("x", "1", "h1", 0)], SCHEMA).write.parquet(known)
+    schema = "abk string, norm_id string, text_hash string"
+    for k, rows in enumerate([[("x", "1", "h1"), ("x", "2", "h2"), ("x", "2", "h2")], [("x", "1", "neu"), ("x", "2", "h2")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        incremental.annotate_stream(stream, known, f"file://{tmp_path}/cp", lambda df, k=k: df.withColumn("n", F.lit(k + 1)), SCHEMA).awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.schema(SCHEMA).parquet(known).collect())
+    assert got == [("x", "1", "h1", 0), ("x", "1", "neu", 2), ("x", "2", "h2", 1)]
+
+
+def test_reuse_and_carry_over(spark):
+    rows = [("a", "a", 3, "syntaxanalyse", 0, None, "syntaktisch", 0.0, True), ("a", "a", 3, "syntaxanalyse+mehrfachlauf+gegenprobe", 3, ["m"], "konsens", 0.0, True), ("a", "b", 3, "x", 0, None, None, None, False)]
+    df = spark.createDataFrame(rows, "text_hash string, neuer_hash string, format int, verfahren string, laeufe int, modelle array<string>, status string, belegquote double, beleg_da boolean")
+    reuse = lambda **k: [r["wiederverwendbar"] for r in relational.reusable(df, 3, ["m"], 3, **k).collect()]
+    assert reuse(with_models=False) == [True, True, False]
+    assert reuse(with_models=True) == [False, True, False]
+    assert reuse(with_models=True, upgrade=True) == [False, False, False]
+    old, new = spark.createDataFrame([("1", "alt"), ("2", "alt")], "k string, v string"), spark.createDataFrame([("2", "neu")], "k string, v string")
+    assert sorted(map(tuple, relational.carry_over(new, old, ["k"]).collect())) == [("1", "alt"), ("2", "neu")]
+    assert sorted(map(tuple, relational.prefer([new, old], ["k"]).collect())) == [("1", "alt"), ("2", "neu")]
