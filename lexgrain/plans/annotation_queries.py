@@ -27,7 +27,7 @@ def analysed(spark, sf_dir) -> DataFrame:
 
 
 def merged(spark, sf_dir) -> DataFrame:
-    return merging.merge(analysed(spark, sf_dir), F.lit("einkommensteuer"))
+    return merging.merge(staged(analysed(spark, sf_dir), "einheiten"), F.lit("einkommensteuer"))
 
 
 @query()
