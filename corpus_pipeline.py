@@ -9,8 +9,8 @@ from lexgrain.llm.shared import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.keep_good(docs)
+    """Documents that the quality rules keep; a text without the common words of any language goes."""
+    return quality.keep_good(docs, limits=quality.WORDS_DECIDE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

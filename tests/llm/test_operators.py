@@ -433,3 +433,23 @@ def test_symbols_fail_and_prose_passes(spark):
     assert quality.keep_good(frame(spark, [])).count() == 0
     clash = spark.createDataFrame([(1, "x", 5)], "doc_id long, text string, N_words long")
     assert quality.judge(clash).columns.count("n_words") == 1
+
+
+def test_letters_without_words_leave_the_pipeline(spark):
+    import corpus_pipeline
+
+    draw = random.Random(6)
+
+    def text(n, own, share):
+        word = lambda: draw.choice(own) if draw.random() < share else "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randrange(2, 10)))
+        return " ".join(word() + ("," if k % 9 == 0 else " 1987." if k % 25 == 0 else "") for k in range(n))
+
+    mash = [text(n, [""], 0) for n in (60, 120, 500, 5000)]
+    prose = [text(200, list(words_of), 0.2) for words_of in quality.COMMON_WORDS.values()]
+    docs = frame(spark, [(k, t, "s") for k, t in enumerate(mash + prose)])
+    assert quality.keep_good(docs).count() == 8
+    assert sorted(r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, "").collect()) == [4, 5, 6, 7]
+    for words_of in quality.COMMON_WORDS.values():
+        q = [*words_of.values(), 1 - sum(words_of.values())]
+        one = docs.limit(1).select(quality.js_distance(F.array(*[F.lit(0.0)] * len(words_of), F.lit(1.0)), q)).first()[0]
+        assert abs(one - quality.farthest(words_of)) < 1e-12
