@@ -25,6 +25,8 @@ from .shared import materialize
 BLOCK_SHINGLES, BLOCK_BYTES = 1 << 15, 1 << 20
 #: Fingerprints of a shard that one tree holds; larger shards are split into pairs of parts.
 TREE_SIZE = 4096
+#: Shingle sets, and shingles of them, that a part of a candidate group holds when its pairs are compared exactly.
+PART_SETS, PART_SHINGLES = 1024, 1 << 22
 
 
 def word_blocks(data: bytes, width: int) -> Iterator[list[bytes]]:
@@ -77,6 +79,25 @@ def fingerprint(text: str | None, width: int, bits: int, seed: int) -> bytes:
     return np.packbits(2 * counts > total).tobytes()
 
 
+def shingle_set(text: str | None, width: int, seed: int) -> np.ndarray:
+    """The distinct shingles of text, cut as for fingerprint(): 128-bit hashes as rows of two words, in order of the first."""
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    found = [np.empty((0, 2), np.uint64)]
+    for words in word_blocks(data, width):
+        digests = [xxhash.xxh3_128_digest(b" ".join(words[i : i + width]), seed) for i in range(max(1, len(words) - width + 1))]
+        found.append(np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2))
+    halves = np.concatenate(found)
+    return halves[np.unique(halves[:, 0], return_index=True)[1]]
+
+
+def set_fingerprint(shingles: np.ndarray, bits: int) -> bytes:
+    """SimHash of a shingle_set(): each shingle counts once, so that distances follow the Jaccard similarity."""
+    counts = np.zeros(bits, np.int64)
+    for at in range(0, len(shingles), BLOCK_SHINGLES):
+        counts += np.unpackbits(widened(shingles[at : at + BLOCK_SHINGLES].tobytes(), bits).reshape(-1, bits // 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(shingles)).tobytes()
+
+
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = 4, bits: int = 64, seed: int = 42) -> DataFrame:
     """(id, text_hash, fp) for every row of docs; text_hash tells rows of one id apart."""
 
@@ -251,8 +272,110 @@ def fingerprint_links(prints: DataFrame, radius: int, tables: list[list[int]], t
     return links.unionByName(materialize(more.select("a", "b"), "shards"))
 
 
+def with_set_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, bits: int, seed: int) -> DataFrame:
+    """(id, text_hash, fp, node, n) for every row of docs: node names the set of n shingles."""
+
+    @F.pandas_udf("fp binary, node binary, n long")
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            shingles = shingle_set(t, width, seed)
+            rows.append((set_fingerprint(shingles, bits), xxhash.xxh3_128_digest(shingles[:, 0].tobytes()), len(shingles)))
+        return pd.DataFrame(rows, columns=["fp", "node", "n"])
+
+    found = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), prints(F.col(text_col)).alias("p"))
+    return found.select("id", "text_hash", "p.fp", "p.node", "p.n")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted arrays of distinct values; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def similar_links(sets: list[np.ndarray], similarity: float, left: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of numbers whose sets have the similarity, enough to connect all that such pairs connect.
+
+    Pairs that are connected already aren't compared. left: where given, only pairs of a left and a right member count.
+    """
+    label = np.arange(len(sets))
+    size = np.array([len(x) for x in sets])
+    links = []
+    for i in range(1, len(sets)):
+        open_ = np.arange(i) if left is None else np.flatnonzero(left[:i] != left[i])
+        open_ = open_[np.minimum(size[open_], size[i]) >= similarity * np.maximum(size[open_], size[i]) - 1e-9]
+        open_ = open_[label[open_] != label[i]]
+        while len(open_):
+            k, open_ = open_[-1], open_[:-1]
+            if jaccard(sets[k], sets[i]) >= similarity:
+                links.append((int(k), i))
+                label[label == label[i]] = label[k]
+                open_ = open_[label[open_] != label[i]]
+    return links
+
+
+def _verify_groups(width: int, seed: int, similarity: float):
+    """A function for mapInPandas over rows sorted by root, lo, hi: the similar pairs of each pair of parts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: tuple | None = None
+        held: dict[bytes, tuple[np.ndarray, bool]] = {}
+
+        def finish() -> list[tuple[bytes, bytes]]:
+            nodes = list(held)
+            sides = None if at is None or at[1] == at[2] else np.array([side for _, side in held.values()])
+            found = [(nodes[i], nodes[k]) for i, k in similar_links([x for x, _ in held.values()], similarity, sides)]
+            held.clear()
+            return found
+
+        for batch in batches:
+            out = []
+            for root, lo, hi, part, node, text in zip(*(batch[c] for c in ("root", "lo", "hi", "part", "node", "text")), strict=True):
+                if (root, lo, hi) != at:
+                    out += finish()
+                    at = (root, lo, hi)
+                if node not in held:
+                    held[node] = (np.ascontiguousarray(shingle_set(text, width, seed)[:, 0]), part == lo)
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
+        if last := finish():
+            yield pd.DataFrame(last, columns=["a", "b"])
+
+    return run
+
+
+def verified_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, width: int, seed: int, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes of sets, as far as the Jaccard similarity of their shingles is similarity or more.
+
+    sets: node, n, first (a row of docs that has the set) and root, the group of candidates. All pairs of a group are
+    compared; a large group is dealt into parts, and each pair of parts is compared on its own.
+    """
+    many = sets.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("n")).where("c > 1")
+    parts = many.select("root", F.ceil(F.greatest(F.col("c") / PART_SETS, F.col("n") / PART_SHINGLES)).cast("int").alias("parts"))
+    members = sets.join(materialize(parts, "candidates"), "root").select("root", "parts", "node", F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(materialize(members, "members"), F.col("id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    dealt = texts.withColumn("part", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), "parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), "parts") - 1)))
+    order = ["root", "lo", "hi"]
+    dealt = dealt.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).select(*order, "part", "node", "text")
+    return materialize(dealt.repartition(*order).sortWithinPartitions(*order).mapInPandas(_verify_groups(width, seed, similarity), "a binary, b binary"), "similar")
+
+
+def similar_text_groups(docs: DataFrame, id_col: str, text_col: str, width: int, bits: int, radius: int, tables: list[list[int]], seed: int, similarity: float) -> DataFrame:
+    """As near_duplicate_groups, but fingerprints only find candidates: links are pairs of that Jaccard similarity."""
+    prints = materialize(with_set_fingerprints(docs, id_col, text_col, width, bits, seed), "prints")
+    near = components(fingerprint_links(prints, radius, tables))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first")
+    sets = prints.groupBy("fp", "node", "n").agg(first).join(near.withColumnRenamed("node", "fp"), "fp", "left")
+    sets = materialize(sets.select("node", "n", "first", F.coalesce("root", "fp").alias("root")), "sets")
+    roots = components(verified_links(docs, sets, id_col, text_col, width, seed, similarity))
+    rooted = materialize(sets.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("least")), "root")
+    named = materialize(named.select("node", F.col("least.id").alias("rep_id"), F.col("least.text_hash").alias("rep_hash")), "groups")
+    return prints.join(named, "node").select("id", "text_hash", "fp", "rep_id", "rep_hash")
+
+
 def near_duplicate_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = 64, radius: int = 4, tables: list[list[int]] | None = None, seed: int = 42
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = 64, radius: int = 4, tables: list[list[int]] | None = None, seed: int = 42, similarity: float | None = None
 ) -> DataFrame:
     """One row (id, text_hash, fp, rep_id, rep_hash) for each row of docs.
 
@@ -260,7 +383,10 @@ def near_duplicate_groups(
     fingerprints are always linked. rep_id is the smallest id of the group (nulls last) and rep_hash the text
     hash of that row (the smallest, on ties). Null and empty texts have fingerprint zero and are linked like any
     other. Repeated rows stay repeated. Without rows the result is empty. Other columns of docs are ignored.
+    Where similarity is given, candidates are linked only if the sets of their shingles are that similar.
     """
+    if similarity is not None:
+        return similar_text_groups(docs, id_col, text_col, width, bits, radius, tables or block_tables(bits, radius + 2, radius), seed, similarity)
     prints = materialize(with_fingerprints(docs, id_col, text_col, width, bits, seed), "prints")
     roots = components(fingerprint_links(prints, radius, tables or block_tables(bits, radius + 2, radius)))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first")
@@ -291,7 +417,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 #: For groups of texts whose five-word shingles have a similarity of 0.8 or more: at that Jaccard similarity two
-#: fingerprints differ in 15 % of their bits, 77 of 512 on average, with a deviation of 8. No pigeonhole key is long
-#: enough for such a radius, so shard keys are 40 draws of 15 bits, of which pairs of similarity 0.8 share one with
-#: probability 0.97. Longer keys and more of them keep shards small on corpora of over 100 million texts.
-SIMILAR_TEXTS = {"width": 5, "bits": 512, "radius": 86, "tables": sampled_tables(512, 40, 15)}
+#: fingerprints differ in 15 % of their bits, 77 of 512 on average, with a deviation of 8; the radius is four deviations
+#: above. No pigeonhole key is long enough for such a radius, so shard keys are 80 draws of 15 bits, of which pairs of
+#: similarity 0.8 share one with probability 0.998. Longer keys and more of them keep shards small on corpora of over
+#: 100 million texts. Fingerprints only find candidates: the shingles themselves are compared.
+SIMILAR_TEXTS = {"width": 5, "bits": 512, "radius": 108, "tables": sampled_tables(512, 80, 15), "similarity": 0.8}

@@ -106,6 +106,39 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert {r["rep_id"] for r in groups if int.from_bytes(r["fp"], "big") == 0} == {1}
 
 
+def shingle_similarity(a, b, width=5):
+    x, y = ({tuple(t.lower().split()[i : i + width]) for i in range(len(t.split()) - width + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("part_sets", [1024, 3])
+def test_pipeline_links_are_those_of_exact_similarity(spark, monkeypatch, part_sets):
+    monkeypatch.setattr(simhash, "PART_SETS", part_sets)
+    draw = random.Random(12)
+    texts = []
+    for k in range(10):
+        texts.append(words(draw.randrange(60, 300), 900 + k))
+        for _ in range(8):
+            changed = draw.choice(texts[-4:])[:]
+            n = len(changed)
+            for at in draw.sample(range(n), max(1, round(n * draw.choice([0.005, 0.02, 0.025, 0.03, 0.04, 0.05])))):
+                changed[at] = f"neu{draw.randrange(10**6)}"
+            texts.append(changed)
+    line = words(12, 999)
+    texts += [words(100, 998) + line, words(100, 998) + line * 30]  # one set but for a few shingles, other counts
+    texts = [" ".join(t) for t in texts]
+    alike = [[shingle_similarity(a, b) for b in texts] for a in texts]
+    assert sum(0.7 <= x < 0.8 for row in alike for x in row) > 40 and sum(0.8 <= x < 0.85 for row in alike for x in row) > 20
+    root = list(range(len(texts)))
+    for i, row in enumerate(alike):
+        for k, x in enumerate(row):
+            if x >= 0.8 and root[i] != root[k]:
+                root = [root[i] if r == root[k] else r for r in root]
+    wanted = [min(k for k, r in enumerate(root) if r == root[i]) for i in range(len(texts))]
+    got = simhash.near_duplicate_groups(frame(spark, [(k, t, "s") for k, t in enumerate(texts)]), **simhash.SIMILAR_TEXTS)
+    assert {r["id"]: r["rep_id"] for r in got.collect()} == dict(enumerate(wanted))
+
+
 # Decontamination -----------------------------------------------------------------------------------------------
 
 
