@@ -29,6 +29,8 @@ MARKS = frozenset(
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/)?(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|(?P<text>[^<]+|<)", re.S
 )
+#: Elements whose content isn't markup, and where each ends.
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?", re.S)
 SPACES = re.compile(r"\s+")
 MARK_WORD = re.compile(r"[a-z0-9]+")
@@ -84,11 +86,10 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
         parts.clear()
         linked = 0
 
-    raw_until = ""
-    for m in TOKEN.finditer(page):
+    at = 0
+    while m := TOKEN.match(page, at):
+        at = m.end()
         name = (m["name"] or "").lower()
-        if raw_until and not (m["close"] and name == raw_until):
-            continue
         hidden, inside, link = state()
         if m["text"] is not None:
             if not hidden:
@@ -108,15 +109,15 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
             article = name in ("article", "main") or 'itemprop="articlebody"' in m["rest"].lower()
             marked |= article and not hidden
             stack.append((name, hidden or beside(name, m["rest"], inside), inside or article, link or name == "a"))
-            if name in ("script", "style", "textarea", "title", "noscript", "iframe", "template"):
-                raw_until = name
+            if name in RAW_END:
+                end = RAW_END[name].search(page, at)
+                at = end.start() if end else len(page)
         elif name:
-            raw_until = ""
             if name in BLOCKS:
                 end_line(inside)
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if at is not None:
-                del stack[at:]
+            opened = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            if opened is not None:
+                del stack[opened:]
     end_line(state()[1])
     return lines, marked
 

@@ -322,6 +322,21 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "script",
+    [
+        "<script>for(i=0;i<n;i++){f(i)}</script>",
+        "<script>if (a<b) s = \"it's\";</script>",
+        "<SCRIPT>x = '<!-- </p>' + a<b</Script >",
+        "<style>a::before{content:'<b'}</style>",
+        "<script>a<scripty; '</scripts>'</script>",
+    ],
+)
+def test_raw_elements_end_at_their_own_close(script):
+    assert html_text.main_text(f"<html><head>{script}</head><body><article><p>it's a</p>{script}<p>z</p></article></body></html>") == "it's a\nz"
+    assert html_text.main_text("<article><p>a</p><script>i<n") == "a"
+
+
 def test_unmarked_page_keeps_what_lies_between_surge_and_dive():
     body = ["Ein langer Absatz mit viel Text, der zum Artikel gehört und weit über der Schwelle liegt, wie man sieht." for _ in range(4)]
     page = "<div><a href=a>Start</a> <a href=b>Über</a></div>" + "".join(f"<div>{b}</div>" for b in [*body[:2], "Kurz.", *body[2:]]) + "<div><a href=c>Impressum</a></div>"
