@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .shared import pack, unpack
 
 # Elements whose content is never text; elements beside the article; elements that end a line.
-SILENT = frozenset("script style noscript template svg math iframe object head title select button textarea canvas audio video form".split())
-BESIDE = frozenset("nav header footer aside dialog menu".split())
+SILENT = frozenset("script style noscript template svg math iframe object head title select button textarea canvas audio video".split())
+BESIDE = frozenset("nav header footer aside dialog menu form".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -22,10 +22,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose start ends an open paragraph.
 ENDS_P = BLOCKS - {"br", "option", "legend", "caption", "html", "body", "tr", "td", "th", "tbody", "thead", "tfoot"}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
-#: Words of a class or id that mark an element beside the article.
+#: Words of a class or id that mark an element beside the article, and words that such names also have.
 MARKS = frozenset(
     "ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments commentlist disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup promo promoted promotion sponsor sponsored sponsors related recommended share sharing social sidebar widget menu navbar navigation nav footer header masthead pagination pager login search skip toolbar tags respond reply replies".split()
 )
+NEUTRAL = frozenset(
+    "area bar block bottom box button buttons buttonbar col column container content feed form global group icons inner item items left link links list message module outer panel posts primary right row secondary section site slot sub thread top unit user wall wrap wrapper".split()
+)
+#: The marks that also count on a paragraph, heading or word inside an article.
+ADVERTS = frozenset("ad ads advert adverts advertisement adsense promo promoted sponsor sponsored cookie cookies consent".split())
+SMALL = frozenset("a b em h2 h3 h4 h5 h6 i li p small span strong td th tr blockquote figcaption".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/)?(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|(?P<text>[^<]+|<)", re.S
 )
@@ -33,7 +39,34 @@ TOKEN = re.compile(
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?", re.S)
 SPACES = re.compile(r"\s+")
-MARK_WORD = re.compile(r"[a-z0-9]+")
+NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]\w*")
+
+
+@dataclass
+class Part:
+    """A run of text: whether it is link text, the marked elements around it, and the articles around it."""
+
+    text: str
+    link: bool
+    marks: tuple[int, ...]
+    articles: tuple[int, ...]
+
+
+@dataclass
+class Mark:
+    """An element that its tag, role, class or id puts beside the article."""
+
+    by_tag: bool
+    text: int = 0
+
+
+@dataclass
+class Article:
+    """An article, main or itemprop=articleBody element, the marked elements around it, and whether it is marked itself."""
+
+    marks: tuple[int, ...]
+    marked: bool
+    text: int = 0
 
 
 @dataclass
@@ -44,107 +77,155 @@ class Line:
 
     @property
     def weight(self) -> int:
-        """Characters that are not link text."""
-        return max(0, len(self.text) - self.linked)
+        """Characters that are not link text; none if most are."""
+        return max(0, len(self.text) - self.linked) if self.linked * 2 <= len(self.text) else 0
 
 
 @dataclass(frozen=True)
 class Windows:
-    """The window that sums text lengths is `lines` lines; text surges where the sum passes `surge` characters."""
+    """The window that sums text lengths is `lines` lines; text surges where the sum passes `surge` characters.
+
+    Marked articles are trusted if they hold `trust` of the text that isn't beside them.
+    """
 
     lines: int = 3
     surge: int = 80
+    trust: float = 0.25
+
+
+def names_mark(name: str, words: frozenset[str] = MARKS) -> bool:
+    """Whether a class or id says that its element is beside the article: it has such a word, and no other that tells."""
+    parts = [w.lower() for w in NAME_WORD.findall(name)]
+    return any(w in words for w in parts) and all(w in MARKS or w in NEUTRAL or w[0].isdigit() for w in parts)
 
 
-def beside(name: str, rest: str, within_article: bool) -> bool:
-    if name in SILENT or (name in BESIDE and not (name == "header" and within_article)):
-        return True
-    if not rest or name in ("html", "body", "main", "article", "h1"):
-        return False
+def mark_of(name: str, rest: str, within_article: bool) -> Mark | None:
+    if name in BESIDE and not (name == "header" and within_article):
+        return Mark(name != "form")
+    if not rest or name in ("html", "body", "main", "h1"):
+        return None
     attributes = {k.lower(): (a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(rest)}
     if attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
-    return bool(MARKS.intersection(MARK_WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())))
+        return Mark(False)
+    words = ADVERTS if within_article and name in SMALL else MARKS
+    named = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    return Mark(False) if any(names_mark(x, words) for x in named) else None
 
 
-def lines_of(page: str) -> tuple[list[Line], bool]:
-    """The lines of a page once markup is stripped, and whether an article is marked."""
-    lines: list[Line] = []
-    parts: list[str] = []
-    linked = 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, beside, in an article, in a link
-    marked = False
+def parts_of(page: str) -> tuple[list[list[Part]], list[Mark], list[Article]]:
+    """The lines of a page as parts once markup is stripped, its marked elements and its articles."""
+    lines: list[list[Part]] = []
+    parts: list[Part] = []
+    marks: list[Mark] = []
+    articles: list[Article] = []
+    # name, silent, in a link, marked elements, articles
+    stack: list[tuple[str, bool, bool, tuple[int, ...], tuple[int, ...]]] = []
 
-    def state() -> tuple[bool, bool, bool]:
-        return stack[-1][1:] if stack else (False, False, False)
+    def state() -> tuple[bool, bool, tuple[int, ...], tuple[int, ...]]:
+        return stack[-1][1:] if stack else (False, False, (), ())
 
-    def end_line(inside: bool) -> None:
-        nonlocal linked
-        text = SPACES.sub(" ", "".join(parts)).strip()
-        if text:
-            lines.append(Line(text, linked, inside))
-        parts.clear()
-        linked = 0
+    def end_line() -> None:
+        if parts:
+            lines.append(parts[:])
+            parts.clear()
 
     at = 0
     while m := TOKEN.match(page, at):
         at = m.end()
         name = (m["name"] or "").lower()
-        hidden, inside, link = state()
+        silent, link, marked, inside = state()
         if m["text"] is not None:
-            if not hidden:
-                text = html.unescape(m["text"])
-                parts.append(text)
-                linked += len(text) if link else 0
+            if not silent:
+                parts.append(Part(html.unescape(m["text"]), link, marked, inside))
         elif name and not m["close"]:
             if name in BLOCKS:
-                end_line(inside)
+                end_line()
             if name in ENDS_P:
                 open_p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("p", *(("li",) if name == "li" else ())) or stack[i][0] in BLOCKS), None)
                 if open_p is not None and (stack[open_p][0] == "p" or (name == "li" and stack[open_p][0] == "li")):
                     del stack[open_p:]
-                    hidden, inside, link = state()
+                    silent, link, marked, inside = state()
             if name in VOID or m["rest"].rstrip().endswith("/"):
                 continue
-            article = name in ("article", "main") or 'itemprop="articlebody"' in m["rest"].lower()
-            marked |= article and not hidden
-            stack.append((name, hidden or beside(name, m["rest"], inside), inside or article, link or name == "a"))
+            mark = mark_of(name, m["rest"], bool(inside))
+            if mark:
+                marked = (*marked, len(marks))
+                marks.append(mark)
+            if name in ("article", "main") or 'itemprop="articlebody"' in m["rest"].lower():
+                inside = (*inside, len(articles))
+                articles.append(Article(marked, mark is not None))
+            stack.append((name, silent or name in SILENT, link or name == "a", marked, inside))
             if name in RAW_END:
                 end = RAW_END[name].search(page, at)
                 at = end.start() if end else len(page)
         elif name:
             if name in BLOCKS:
-                end_line(inside)
+                end_line()
             opened = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if opened is not None:
                 del stack[opened:]
-    end_line(state()[1])
-    return lines, marked
+    end_line()
+    return lines, marks, articles
+
+
+def lines_of(page: str) -> list[Line]:
+    """The lines of a page without what its marked elements hold.
+
+    Of articles with text that aren't marked themselves, those within the fewest marked elements are the page's own. A mark doesn't count on an
+    element around one of them, nor where its element holds most of the page's unlinked text: class names, roles and
+    forms that wrap a whole page say nothing. Navigation, footers and the like, named by their tag, count unless an
+    own article is inside.
+    """
+    lines, marks, articles = parts_of(page)
+    whole = 0
+    for line in lines:
+        for p in line:
+            n = len(p.text.strip())
+            for k in p.articles:
+                articles[k].text += n
+            if not p.link:
+                whole += n
+                for k in p.marks:
+                    marks[k].text += n
+    depths = [len(x.marks) for x in articles if x.text and not x.marked]
+    own = {k for k, x in enumerate(articles) if x.text and not x.marked and len(x.marks) == min(depths)}
+    void = {k for a in own for k in articles[a].marks} | {k for k, x in enumerate(marks) if not x.by_tag and x.text * 2 > whole and not own}
+    out = []
+    for line in lines:
+        kept = [p for p in line if all(k in void for k in p.marks)]
+        text = SPACES.sub(" ", "".join(p.text for p in kept)).strip()
+        if text:
+            out.append(Line(text, sum(len(p.text) for p in kept if p.link), any(k in own for p in kept for k in p.articles)))
+    return out
 
 
-def between_surge_and_dive(lines: list[Line], marked: bool, windows: Windows) -> list[Line]:
-    """The lines from the first surge of the windowed text length to the last dive.
+def between_surge_and_dive(lines: list[Line], windows: Windows = Windows()) -> list[Line]:
+    """The lines from the first surge of the windowed text length to the last dive, without what dives in between.
 
-    Where the page marks its article, lines elsewhere have no length, and a line of any length is a surge. Where
-    it doesn't, a surge is a window that passes the threshold: it opens at its first line that isn't mostly links,
-    and the dive is behind the last such line. A page of which no window passes keeps its lines that aren't mostly links.
+    A surge is a window that passes the threshold: it opens at its first line that isn't mostly links, and the dive is
+    behind the last such line. Marked articles that are trusted shift the scale: lines elsewhere weigh nothing, and any
+    text inside passes. In both cases a full window without text, links alone, is a dive, and its lines go. A page
+    of which no window passes keeps its lines that aren't mostly links; an article of links alone stays.
     """
-    weights = [(x.weight if x.linked * 2 <= len(x.text) else 0) for x in lines]
-    if marked:
-        weights = [len(x.text) if x.inside else 0 for x in lines]
+    inside = [x for x in lines if x.inside]
+    trusted = bool(inside) and sum(x.weight for x in inside) >= windows.trust * sum(x.weight for x in lines)
+    lines = inside if trusted else lines
+    weights = [x.weight for x in lines]
     sums = [sum(weights[i : i + windows.lines]) for i in range(len(weights))]
-    high = [i for i, s in enumerate(sums) if s > (0 if marked else windows.surge)]
+    high = [i for i, s in enumerate(sums) if s > windows.surge]
+    dived = {i + k for i, s in enumerate(sums[: max(0, len(sums) - windows.lines + 1)]) if not s for k in range(windows.lines)}
+    if trusted:
+        return [x for i, x in enumerate(lines) if i not in dived] if any(weights) else lines
     if not high:
         return [x for x, w in zip(lines, weights, strict=True) if w]
     first = next(i for i in range(high[0], len(lines)) if weights[i])
     last = max(i for i in range(high[-1], min(len(lines), high[-1] + windows.lines)) if weights[i])
-    return [x for x in lines[first : last + 1] if x.inside or not marked]
+    return [x for i, x in enumerate(lines[first : last + 1], first) if i not in dived]
 
 
 def main_text(page: str | None, windows: Windows = Windows()) -> str:
     """The main text of a page: its blocks in order, one line each. Null and empty pages have none."""
-    lines, marked = lines_of(page or "")
-    return "\n".join(x.text for x in between_surge_and_dive(lines, marked, windows))
+    return "\n".join(x.text for x in between_surge_and_dive(lines_of(page or ""), windows))
 
 
 def extract(pages: DataFrame, html_col: str = "html", windows: Windows = Windows()) -> DataFrame:

@@ -343,6 +343,65 @@ def test_unmarked_page_keeps_what_lies_between_surge_and_dive():
     assert html_text.main_text(page) == "\n".join([*body[:2], "Kurz.", *body[2:]])
 
 
+LONG = "Ein langer Absatz mit viel Text, der zum Artikel gehört und weit über der Schwelle liegt, wie man sieht."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="page with-sidebar"><article><p>Text</p></article></div>', "Text"),
+        ('<div id="content" class="has-comments"><article><p>Text</p></article><section class="comments"><article class="comment">toll</article></section></div>', "Text"),
+        ('<article><div class="post-header"><h1>T</h1></div><p class="notice">n</p><h2 class="article-share-title">s</h2><p class="ad">kauf</p></article>', "T\nn\ns"),
+        (f'<form id="aspnet" class="login"><div>{LONG}</div></form><footer>f</footer>', LONG),
+        (f'<article class="comment">toll</article><div>{LONG}</div>', LONG),
+        ('<div class="site-header">oben</div><article>a</article><div class="cookieBanner">c</div><div class="ad-728x90">x</div>', "a"),
+        ('<article><p>a <span class="ad">kauf</span> b</p></article>', "a b"),
+        ("<article><ul><li><a href=x>x</a><li><a href=y>y</a></ul></article>", "x\ny"),
+    ],
+)
+def test_marks_never_hide_the_article(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_windows_decide_on_marked_pages_too():
+    link = "<li><a href=x>Mehr davon</a>"
+    assert html_text.main_text(f"<article><p>a<p>b<ul>{link * 3}</ul></article>") == "a\nb"
+    assert html_text.main_text(f"<article><p>a<p>b<ul>{link * 3}</ul></article>", html_text.Windows(lines=4)) == "a\nb" + "\nMehr davon" * 3
+    assert html_text.main_text(f"<article><p>a<ul>{link * 2}</ul><p>b</article>") == "a\nMehr davon\nMehr davon\nb"
+    assert html_text.main_text(f"<article>Kurz</article><div>{LONG}</div><div>{LONG}</div>") == f"Kurz\n{LONG}\n{LONG}"  # the marked part holds too little
+
+
+def brute_between(lines, windows):
+    """Line by line from the definitions: no running sums, no indices kept."""
+    inside = [x for x in lines if x.inside]
+    trusted = bool(inside) and sum(x.weight for x in inside) >= windows.trust * sum(x.weight for x in lines)
+    lines = inside if trusted else lines
+    n, w = len(lines), windows.lines
+
+    def passes(i, least):
+        return sum(lines[k].weight for k in range(i, min(n, i + w))) > least
+
+    def dives(k):
+        return any(0 <= i and i + w <= n and not passes(i, 0) for i in range(k - w + 1, k + 1))
+
+    if trusted:
+        return [x for k, x in enumerate(lines) if not dives(k)] if any(x.weight for x in lines) else lines
+    surges = [i for i in range(n) if passes(i, windows.surge)]
+    if not surges:
+        return [x for x in lines if x.weight]
+    heavy = [k for k in range(n) if lines[k].weight]
+    first, last = min(k for k in heavy if k >= surges[0]), max(k for k in heavy if surges[-1] <= k < surges[-1] + w)
+    return [x for k, x in enumerate(lines) if first <= k <= last and not dives(k)]
+
+
+def test_surge_and_dive_against_brute_force():
+    draw = random.Random(21)
+    for _ in range(500):
+        lines = [html_text.Line("x" * (n := draw.choice([3, 20, 60, 200])), draw.choice([0, 0, n]), draw.random() < 0.4) for _ in range(draw.randrange(0, 14))]
+        windows = html_text.Windows(lines=draw.choice([1, 2, 3, 5]), surge=draw.choice([0, 80, 150]))
+        assert html_text.between_surge_and_dive(lines, windows) == brute_between(lines, windows)
+
+
 def test_extract_frame(spark):
     pages = spark.createDataFrame([(1, "u", "<p>ä</p>", "alt"), (2, "u", None, "alt"), (1, "u", "<p>ä</p>", "alt")], "page_id long, url string, html string, Text string")
     got = html_text.extract(pages)
