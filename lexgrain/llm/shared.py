@@ -11,15 +11,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A key is hot from so many rows on, and from this share of all rows; so there are 10,000 hot keys at most.
+HOT_ROWS, HOT_SHARE = 1000, 1 / 10_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder serves a session on one machine; on a cluster each machine would see its
+    own, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (found or _own_dir()).rstrip("/")
 
 
 @cache
 def _own_dir() -> str:
-    """Used on one machine only, as in tests."""
     return tempfile.mkdtemp(prefix="spark-")
 
 
@@ -34,6 +43,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more; others are left alone."""
+    for table in tables:
+        spark = table.sparkSession
+        folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+        own = shared_dir(spark).split(":", 1)[-1].strip("/")
+        for folder in folders:
+            if folder.split(":", 1)[-1].strip("/").startswith(f"{own}/"):
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hot_from(rows: int) -> int:
+    """The rows of a key from which on it is hot, of so many rows in all."""
+    return max(HOT_ROWS, int(rows * HOT_SHARE))
+
+
+def join_by_heat(rows: DataFrame, keyed: DataFrame, key: str, heat: str, hot: int) -> DataFrame:
+    """rows joined to keyed on key; keyed has one row for each key, and in column heat how many of rows have it.
+
+    Keys beyond `hot` rows are broadcast, so their rows stay where they are; with hot_from() there are 10,000 of
+    them at most. The rows of all other keys meet theirs by shuffle, and none of those is large.
+    """
+    broad = F.broadcast(keyed.where(F.col(heat) > hot).drop(heat))
+    calm = rows.join(F.broadcast(broad.select(key)), key, "left_anti").join(keyed.where(F.col(heat) <= hot).drop(heat), key)
+    return rows.join(broad, key).unionByName(calm)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value evaluated once: a lambda variable, which the optimizer never inlines."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

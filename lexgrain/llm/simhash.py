@@ -8,6 +8,7 @@ Shards meet by shuffle instead of broadcast, because their number grows with the
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 from itertools import combinations
@@ -15,11 +16,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize
+from .shared import discard, hot_from, join_by_heat, materialize
 
 #: Shingles that are counted at a time, and bytes of a text that are cut into words at a time.
 BLOCK_SHINGLES, BLOCK_BYTES = 1 << 15, 1 << 20
@@ -120,6 +121,24 @@ def sampled_tables(bits: int, n_tables: int, key_bits: int, seed: int = 7) -> li
     return [draw.sample(range(bits), key_bits) for _ in range(n_tables)]
 
 
+def tables_for(count: int, bits: int = 64, radius: int = 4) -> list[list[int]]:
+    """block_tables() whose keys are so long that shards of count fingerprints stay within a tree; at least radius + 2 blocks."""
+    blocks = radius + 2
+    while bits * (blocks - radius) // blocks < math.log2(max(1, count) / TREE_SIZE) and blocks < 2 * radius + 2:
+        blocks += 1
+    return block_tables(bits, blocks, radius)
+
+
+def similar_tables(count: int, bits: int = 512) -> list[list[int]]:
+    """sampled_tables() for a similarity of 0.8 among count texts: keys of 15 bits or more, a shard having 1,000 texts or so.
+
+    Two such texts agree on a bit with probability 0.85, so the number of keys grows with their length: they share
+    one with probability 0.999 at any size of the corpus.
+    """
+    key_bits = max(15, math.ceil(math.log2(max(1, count) / 1024)))
+    return sampled_tables(bits, math.ceil(7 / 0.85**key_bits), key_bits)
+
+
 def hamming(many: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.bitwise_count(many ^ one).sum(axis=1, dtype=np.int64)
 
@@ -351,27 +370,52 @@ def verified_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str,
     compared; a large group is dealt into parts, and each pair of parts is compared on its own.
     """
     many = sets.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("n")).where("c > 1")
-    parts = many.select("root", F.ceil(F.greatest(F.col("c") / PART_SETS, F.col("n") / PART_SHINGLES)).cast("int").alias("parts"))
-    members = sets.join(materialize(parts, "candidates"), "root").select("root", "parts", "node", F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(materialize(members, "members"), F.col("id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    parts = materialize(many.select("root", "c", F.ceil(F.greatest(F.col("c") / PART_SETS, F.col("n") / PART_SHINGLES)).cast("int").alias("parts")), "candidates")
+    hot = hot_from(parts.agg(F.sum("c")).first()[0] or 0)
+    members = join_by_heat(sets, parts, "root", "c", hot).select("root", "parts", "node", F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    members = materialize(members, "members")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(members, F.col("id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
     dealt = texts.withColumn("part", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), "parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), "parts") - 1)))
     order = ["root", "lo", "hi"]
     dealt = dealt.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).select(*order, "part", "node", "text")
-    return materialize(dealt.repartition(*order).sortWithinPartitions(*order).mapInPandas(_verify_groups(width, seed, similarity), "a binary, b binary"), "similar")
+    found = materialize(dealt.repartition(*order).sortWithinPartitions(*order).mapInPandas(_verify_groups(width, seed, similarity), "a binary, b binary"), "similar")
+    discard(parts, members)
+    return found
+
+
+def least_row() -> Column:
+    """The least row of a group: by id, nulls last, then by the hash of the text."""
+    return F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))
+
+
+def named_groups(firsts: DataFrame, roots: DataFrame, node: str) -> tuple[DataFrame, int]:
+    """(node, rep_id, rep_hash, copies) for each row of firsts (node, first, copies), and from how many copies a node is hot.
+
+    roots (node, root) are the components. first is the least row of a node, and the least of its group represents it.
+    """
+    of = firsts.join(roots.withColumnRenamed("node", node), node, "left")
+    rooted = materialize(of.select(node, "first", "copies", F.coalesce("root", node).alias("root")), "rooted")  # a root stands for itself
+    least = materialize(rooted.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("nodes"), F.sum("copies").alias("all")), "least")
+    sums = least.agg(F.sum("nodes"), F.sum("all")).first()
+    named = join_by_heat(rooted, least.drop("all"), "root", "nodes", hot_from(sums[0] or 0))
+    named = materialize(named.select(node, F.col("least.id").alias("rep_id"), F.col("least.text_hash").alias("rep_hash"), "copies"), "groups")
+    discard(rooted, least)
+    return named, hot_from(sums[1] or 0)
 
 
-def similar_text_groups(docs: DataFrame, id_col: str, text_col: str, width: int, bits: int, radius: int, tables: list[list[int]], seed: int, similarity: float) -> DataFrame:
+def similar_text_groups(docs: DataFrame, id_col: str, text_col: str, width: int, bits: int, radius: int, tables: list[list[int]] | None, seed: int, similarity: float) -> DataFrame:
     """As near_duplicate_groups, but fingerprints only find candidates: links are pairs of that Jaccard similarity."""
     prints = materialize(with_set_fingerprints(docs, id_col, text_col, width, bits, seed), "prints")
-    near = components(fingerprint_links(prints, radius, tables))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first")
-    sets = prints.groupBy("fp", "node", "n").agg(first).join(near.withColumnRenamed("node", "fp"), "fp", "left")
-    sets = materialize(sets.select("node", "n", "first", F.coalesce("root", "fp").alias("root")), "sets")
-    roots = components(verified_links(docs, sets, id_col, text_col, width, seed, similarity))
-    rooted = materialize(sets.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("least")), "root")
-    named = materialize(named.select("node", F.col("least.id").alias("rep_id"), F.col("least.text_hash").alias("rep_hash")), "groups")
-    return prints.join(named, "node").select("id", "text_hash", "fp", "rep_id", "rep_hash")
+    distinct = materialize(prints.groupBy("fp", "node", "n").agg(least_row().alias("first"), F.count("*").alias("copies")), "distinct")
+    links = fingerprint_links(distinct, radius, tables or similar_tables(distinct.count(), bits))
+    near = components(links)
+    sets = materialize(distinct.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("node", "n", "first", "copies", F.coalesce("root", "fp").alias("root")), "sets")
+    discard(links, near, distinct)
+    similar = verified_links(docs, sets, id_col, text_col, width, seed, similarity)
+    roots = components(similar)
+    named, hot = named_groups(sets.select("node", "first", "copies"), roots, "node")
+    discard(sets, similar, roots)
+    return join_by_heat(prints, named, "node", "copies", hot).select("id", "text_hash", "fp", "rep_id", "rep_hash")
 
 
 def near_duplicate_groups(
@@ -386,15 +430,14 @@ def near_duplicate_groups(
     Where similarity is given, candidates are linked only if the sets of their shingles are that similar.
     """
     if similarity is not None:
-        return similar_text_groups(docs, id_col, text_col, width, bits, radius, tables or block_tables(bits, radius + 2, radius), seed, similarity)
+        return similar_text_groups(docs, id_col, text_col, width, bits, radius, tables, seed, similarity)
     prints = materialize(with_fingerprints(docs, id_col, text_col, width, bits, seed), "prints")
-    roots = components(fingerprint_links(prints, radius, tables or block_tables(bits, radius + 2, radius)))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first")
-    firsts = materialize(prints.groupBy("fp").agg(first).join(roots.withColumnRenamed("node", "fp"), "fp", "left"), "firsts")
-    # a root has no row of its own in roots, so it stands for itself
-    of_root = firsts.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    named = materialize(firsts.select("fp", F.coalesce("root", "fp").alias("root")).join(of_root, "root").select("fp", F.col("first.id").alias("rep_id"), F.col("first.text_hash").alias("rep_hash")), "groups")
-    return prints.join(named, "fp").select("id", "text_hash", "fp", "rep_id", "rep_hash")
+    firsts = materialize(prints.groupBy("fp").agg(least_row().alias("first"), F.count("*").alias("copies")), "firsts")
+    links = fingerprint_links(firsts, radius, tables or tables_for(firsts.count(), bits, radius))
+    roots = components(links)
+    named, hot = named_groups(firsts, roots, "fp")
+    discard(firsts, links, roots)
+    return join_by_heat(prints, named, "fp", "copies", hot).select("id", "text_hash", "fp", "rep_id", "rep_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -418,7 +461,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 #: For groups of texts whose five-word shingles have a similarity of 0.8 or more: at that Jaccard similarity two
 #: fingerprints differ in 15 % of their bits, 77 of 512 on average, with a deviation of 8; the radius is four deviations
-#: above. No pigeonhole key is long enough for such a radius, so shard keys are 80 draws of 15 bits, of which pairs of
-#: similarity 0.8 share one with probability 0.998. Longer keys and more of them keep shards small on corpora of over
-#: 100 million texts. Fingerprints only find candidates: the shingles themselves are compared.
-SIMILAR_TEXTS = {"width": 5, "bits": 512, "radius": 108, "tables": sampled_tables(512, 80, 15), "similarity": 0.8}
+#: above. No pigeonhole key is long enough for such a radius, so shard keys are drawn bits, as many as similar_tables()
+#: states. Fingerprints only find candidates: the shingles themselves are compared.
+SIMILAR_TEXTS = {"width": 5, "bits": 512, "radius": 108, "similarity": 0.8}

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, new_path
+from .shared import hot_from, materialize, new_path
 
 END = b"\r\n\r\n"
 #: Payloads from this size on are stored once; bytes of a record's block before it is segmented; bytes of a chunk.
@@ -73,8 +73,15 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     url = F.replace(F.replace(F.coalesce(F.col(url_col), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("n_bytes"))
     groups = rows.where(F.col("n_bytes") >= LEAST_REVISIT).groupBy(F.col("digest").alias("of")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    groups = materialize(groups.where("n > 1 and first is not null").select("of", "first"), "payloads")
-    rows = rows.join(groups, F.col("digest") == F.col("of"), "left")
+    groups = materialize(groups.where("n > 1 and first is not null"), "payloads")
+    # payloads that very many pages share meet them by broadcast: 10,000 of them at most
+    often = hot_from(groups.agg(F.sum("n")).first()[0] or 0)
+    broad = F.broadcast(groups.where(F.col("n") > often).select(F.col("of").alias("digest"), F.col("first").alias("hot")))
+    rows = rows.join(broad, "digest", "left")
+    calm = groups.where(F.col("n") <= often).select("of", "first")
+    own = F.concat_ws(":", "digest", F.coalesce("page_id", F.lit(0)))  # of rows that need no partner, so that they spread
+    rows = rows.withColumn("sought", F.when(F.col("hot").isNull() & (F.col("n_bytes") >= LEAST_REVISIT), F.col("digest")).otherwise(own))
+    rows = rows.join(calm, F.col("sought") == F.col("of"), "left").withColumn("first", F.coalesce("hot", "first"))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     urn = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.expr("uuid()"), F.lit(">"))
     rows = rows.select("*", F.when(revisit, "revisit").otherwise("response").alias("kind"), urn.alias("record_id"))

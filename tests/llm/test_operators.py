@@ -91,6 +91,39 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_nodes_and_keys_with_many_rows_are_broadcast(spark, monkeypatch):
+    from lexgrain.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 5)
+    draw = random.Random(17)
+    edges = [(0, k) for k in range(1, 60)] + [(500, k) for k in range(40, 80)] + [(draw.randrange(100, 160), draw.randrange(100, 160)) for _ in range(40)]
+    root = {n: n for e in edges for n in e}
+    for _ in range(len(root)):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: r for n, r in root.items() if n != r}
+    docs = frame(spark, [(k, "gleicher text " * 30, "s") for k in range(40)] + [(100 + k, " ".join(words(60, k)), "s") for k in range(20)])
+    for how in ({}, simhash.SIMILAR_TEXTS):
+        groups = simhash.near_duplicate_groups(docs, **how).collect()
+        assert {r["id"]: r["rep_id"] for r in groups} == {k: 0 for k in range(40)} | {100 + k: 100 + k for k in range(20)}
+    pages = spark.createDataFrame([(k, "u", "x" * 200) for k in range(30)] + [(50 + k, "u", "") for k in range(10)], "page_id long, url string, html string")
+    assert Counter(r["refers_to"] for r in warc.round_trip(pages).collect()) == {0: 29, None: 11}
+
+
+def test_keys_grow_with_the_corpus():
+    assert simhash.tables_for(10**6) == simhash.block_tables(64, 6, 4)
+    assert len(simhash.tables_for(10**11)[0]) > 21 and len(simhash.similar_tables(10**4)[0]) == 15 and len(simhash.similar_tables(10**10)[0]) == 24
+    for count in (10**4, 10**8, 10**10):
+        tables = simhash.similar_tables(count)
+        assert 1 - (1 - 0.85 ** len(tables[0])) ** len(tables) > 0.999
+    draw = random.Random(5)
+    for tables in (simhash.tables_for(10**11), simhash.tables_for(10**13)):
+        for _ in range(200):
+            far = set(draw.sample(range(64), 4))
+            assert any(not far.intersection(t) for t in tables)
+
+
 def test_near_duplicates_keep_one_of_each_group(spark):
     base = words(400, 5)
     near = base[:]
