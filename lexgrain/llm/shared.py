@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 #: A key is hot from so many rows on, and from this share of all rows; so there are 10,000 hot keys at most.
-HOT_ROWS, HOT_SHARE = 1000, 1 / 10_000
+HOT_ROWS, HOT_SHARE = 100, 1 / 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
