@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,23 +12,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 WORD = re.compile(r"\w+")
 #: Characters of benchmark items that a task holds at a time; a larger benchmark is taken in several passes.
 BLOCK_CHARS = 4_000_000
+#: What an item counts beside its characters, so that very many short items make blocks too.
+ITEM_CHARS = 32
+#: Shared q-grams of a text and a block that are looked at together, so that memory stays bounded on very long texts.
+BLOCK_HITS = 1 << 20
 
 
 @dataclass(frozen=True)
 class Budget:
-    """An item of m characters may differ by rate * m edits; shorter items than min_chars must be the whole text."""
+    """An item of m characters may differ by rate * m edits, or as many as leave it a shared q-gram, if that is less.
+
+    An item that may not differ at all, being short, must stand at word boundaries.
+    """
 
     q: int = 9
     rate: float = 0.08
-    min_chars: int = 32
 
     def edits(self, m: int) -> int:
-        return min(int(self.rate * m), (m - self.q) // self.q)
+        return max(0, min(int(self.rate * m), (m - self.q) // self.q))
 
     def shared(self, m: int) -> int:
         """The q-gram lemma: so many q-grams at least are shared with any text within the edit budget."""
@@ -103,110 +110,153 @@ def banded_alignment(item: str, text: str, low: int, high: int, budget: int) ->
 
 
 class Index:
-    """Benchmark items by their q-grams."""
+    """Benchmark items by their q-grams; items without any, of less than q characters, by their words."""
 
     def __init__(self, items: list[tuple[int, str]], budget: Budget):
         self.budget, self.items, self.short = budget, [], {}
         for number, text in items:
             words = plain(text)
-            if len(words) >= budget.min_chars:
+            if len(words) >= budget.q:
                 self.items.append((number, words))
             elif words:
                 self.short.setdefault(words, []).append(number)
+        self.short_sizes = sorted({len(w.split()) for w in self.short})
         hashes = [gram_hashes(t, budget.q) for _, t in self.items]
         which = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes] or [np.empty(0, int)])
         grams = np.concatenate([*hashes, np.empty(0, np.uint64)])
         order = np.argsort(grams, kind="stable")
-        self.grams, self.which, self.place = grams[order], which[order], place[order]
+        self.grams, self.which, self.place = grams[order], which[order].astype(np.int64), place[order].astype(np.int64)
+        self.width = np.array([budget.edits(len(t)) + 1 for _, t in self.items], np.int64)
+        self.least = np.array([budget.shared(len(t)) for _, t in self.items], np.int64)
         self.bits = max(16, int(max(1, len(grams)) * 16).bit_length())
         self.seen = np.zeros(1 << self.bits, bool)  # rules nearly all other q-grams out at the cost of one look
         self.seen[self.grams >> np.uint64(64 - self.bits)] = True
 
     def regions(self, text: str) -> Iterator[tuple[int, int, int]]:
-        """(item, lowest diagonal, highest diagonal) of each band that shares as many q-grams as the lemma asks for."""
+        """(item, lowest diagonal, highest diagonal) of each band that shares as many q-grams as the lemma asks for.
+
+        Bands are of twice the width, one beginning in the middle of the last: every run of `width` diagonals lies in
+        one. Shared q-grams are counted by (item, band) in sorted order, a block of the text after another.
+        """
         grams = gram_hashes(text, self.budget.q)
         at = np.flatnonzero(self.seen[grams >> np.uint64(64 - self.bits)])
-        if not len(at):
-            return
         first, last = np.searchsorted(self.grams, grams[at], "left"), np.searchsorted(self.grams, grams[at], "right")
         n = last - first
         at, first, n = at[n > 0], first[n > 0], n[n > 0]
         if not len(at):
             return
-        entry = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        which, diagonal = self.which[entry], np.repeat(at, n) - self.place[entry]
-        for item in np.flatnonzero(np.bincount(which, minlength=len(self.items)) >= 1):
-            m = len(self.items[item][1])
-            width, least = self.budget.edits(m) + 1, self.budget.shared(m)
-            mine = diagonal[which == item]
-            if len(mine) < least:
-                continue
-            # bands of twice the width, one beginning in the middle of the last: every run of `width` diagonals lies in one
-            low = np.floor_divide(mine, width)
-            bands, counts = np.unique(np.r_[low, low - 1], return_counts=True)
-            for band in bands[counts >= least]:
-                yield int(item), int(band) * width, int(band + 2) * width - 1
+        item_at, zero = 1 << 36, 1 << 35  # an item's bands are numbered around zero
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for block in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(n) // BLOCK_HITS)) + 1):
+            k = n[block]
+            entry = np.repeat(first[block] - np.r_[0, np.cumsum(k)[:-1]], k) + np.arange(k.sum())
+            which = self.which[entry]
+            low = np.floor_divide(np.repeat(at[block], k) - self.place[entry], self.width[which])
+            key = which * item_at + (low + zero)
+            keys, of = np.unique(np.r_[keys, key, key - 1], return_inverse=True)
+            counts = np.bincount(of, np.r_[counts, np.ones(2 * len(key), np.int64)], len(keys)).astype(np.int64)
+        for key in keys[counts >= self.least[keys // item_at]].tolist():
+            item, band = key // item_at, key % item_at - zero
+            width = int(self.width[item])
+            yield item, band * width, (band + 2) * width - 1
+
+    def short_places(self, text: str) -> Iterator[tuple[int, int, int, int]]:
+        words = text.split()
+        starts = np.r_[0, np.cumsum([len(w) + 1 for w in words])].tolist()
+        for size in self.short_sizes:
+            for i in range(len(words) - size + 1):
+                for number in self.short.get(" ".join(words[i : i + size]), ()):
+                    yield number, 0, starts[i], starts[i + size] - 1
 
     def find(self, text: str) -> Iterator[tuple[int, int, int, int]]:
-        """(item number, edits, start, end) of each item in text; one row for an item, its best and first place."""
-        for number in self.short.get(text, ()):
-            yield number, 0, 0, len(text)
-        best: dict[int, tuple[int, int, int]] = {}
+        """(item number, edits, start, end) of each place of an item in text; of places that overlap, the one with the least edits."""
+        if self.short:
+            yield from self.short_places(text)
+        places: dict[int, set[tuple[int, int, int]]] = {}
         for item, low, high in self.regions(text):
             words = self.items[item][1]
             budget = self.budget.edits(len(words))
             start = max(0, low - budget)
             piece = text[start : high + len(words) + budget + 1]
-            if found := banded_alignment(words, piece, low - start, high - start, budget):
-                place = (found[0], found[1] + start, found[2] + start)
-                best[item] = min(best.get(item, place), place)
-        for item, (edits, start, end) in best.items():
-            yield self.items[item][0], edits, start, end
+            if not budget:  # few diagonals, and a place counts only at word boundaries
+                whole = (d for d in range(max(0, low), high + 1) if text.startswith(words, d) and text[d - 1 : d] in ("", " ") and text[d + len(words) : d + len(words) + 1] in ("", " "))
+                places.setdefault(item, set()).update((0, d, d + len(words)) for d in whole)
+            elif found := banded_alignment(words, piece, low - start, high - start, budget):
+                places.setdefault(item, set()).add((found[0], found[1] + start, found[2] + start))
+        for item, found_at in places.items():
+            kept: list[tuple[int, int, int]] = []  # by start; none overlaps another
+            for edits, start, end in sorted(found_at):
+                k = bisect_left(kept, (start,))
+                if (k == 0 or kept[k - 1][1] <= start) and (k == len(kept) or end <= kept[k][0]):
+                    kept.insert(k, (start, end, edits))
+            for start, end, edits in kept:
+                yield self.items[item][0], edits, start, end
 
 
 _FOUND = "array<struct<item_id:long,edits:int,start:int,end:int>>"
 
 
-def _finders(benchmark: DataFrame, budget: Budget) -> list:
-    """For each block of the benchmark, a function of a text column: the items that it holds."""
+def _blocks(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The items with text and the block of each, and the number of blocks."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("length(text) > 0")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    chars = items.agg(F.sum(F.length("text") + ITEM_CHARS)).first()[0] or 0
     n_blocks = max(1, -(-chars // BLOCK_CHARS))
-    if n_blocks > 1:
-        items = materialize(items.withColumn("block", F.pmod(F.xxhash64("text", "item_id"), F.lit(n_blocks))), "items")
+    return items.withColumn("block", F.pmod(F.xxhash64("text", "item_id"), F.lit(n_blocks))), n_blocks
+
 
-    def finder(own: list[tuple[int | None, str]]):
-        @F.pandas_udf(_FOUND)
-        def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            index = Index([(k, t) for k, (_, t) in enumerate(own)], budget)
-            for batch in batches:
-                yield pd.Series([[(own[k][0], *place) for k, *place in index.find(plain(t))] for t in batch], dtype=object)
+def _finder(items: DataFrame, block: int, budget: Budget) -> tuple:
+    """A function of a text column: the items of a block that it holds; and the broadcast of the block, whose size is bounded."""
+    rows = [(r["item_id"], r["text"]) for r in items.where(F.col("block") == block).collect()]
+    own = items.sparkSession.sparkContext.broadcast(rows)
 
-        return find
+    @F.pandas_udf(_FOUND)
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index([(k, t) for k, (_, t) in enumerate(own.value)], budget)
+        for batch in batches:
+            yield pd.Series([[(own.value[k][0], *place) for k, *place in index.find(plain(t))] for t in batch], dtype=object)
 
-    return [finder([(r["item_id"], r["text"]) for r in (items.where(F.col("block") == b) if n_blocks > 1 else items).collect()]) for b in range(n_blocks)]
+    return find, own
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: Budget = Budget()) -> DataFrame:
-    """(id, item_id, edits, start, end) for each benchmark item (item_id, text) that a text of docs holds.
+    """(id, item_id, edits, start, end) for each place of a benchmark item (item_id, text) in a text of docs.
 
-    Edits, start and end count characters of the text in plain form: lower case, words only, single spaces. Null
+    Edits, start and end count characters of the text in plain form: lower case, words only, single spaces. Items of
+    any length are found; the short ones, which the budget grants no edit, as whole words only (an item of one common
+    word is held by every text with it). Of overlapping places of an item that with the least edits counts. Null
     and empty texts and items hold and match nothing. Repeated rows of docs give repeated rows; repeated items
     count one by one. Null ids stay null. Empty tables give an empty result. Other columns are ignored.
 
-    The benchmark is a query set: it is held against all documents in blocks of about BLOCK_CHARS characters, so
-    what a task holds is bounded. Documents stay where they are: no shuffle.
+    The benchmark is a query set: it is held against all documents in blocks of about BLOCK_CHARS characters. One
+    block at a time is on the driver and in the tasks; the hits of each are written before the next. Documents stay
+    where they are: no shuffle.
     """
+    items, n_blocks = _blocks(benchmark)
     found = None
-    for find in _finders(benchmark, budget):
+    for block in range(n_blocks):
+        find, own = _finder(items, block, budget)
         part = docs.select(F.col(id_col).alias("id"), F.explode(find(F.col(text_col))).alias("hit")).select("id", "hit.*")
+        if n_blocks > 1:
+            part = materialize(part, "hits")
+            own.destroy()
         found = part if found is None else found.unionByName(part)
     return found
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", budget: Budget = Budget()) -> DataFrame:
-    """The rows of docs whose text holds no benchmark item; all columns kept, repeated rows too. No shuffle."""
-    for find in _finders(benchmark, budget):
-        docs = docs.where(F.size(find(F.col(text_col))) == 0)
+    """The rows of docs whose text holds no benchmark item; all columns kept, repeated rows too. No shuffle.
+
+    A benchmark of several blocks is taken block by block, and what is left of docs is written between them.
+    """
+    items, n_blocks = _blocks(benchmark)
+    for block in range(n_blocks):
+        find, own = _finder(items, block, budget)
+        rest = docs.where(F.size(find(F.col(text_col))) == 0)
+        if n_blocks > 1:
+            rest = materialize(rest, "clean")
+            own.destroy()
+            if block:
+                discard(docs)
+        docs = rest
     return docs

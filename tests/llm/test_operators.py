@@ -198,7 +198,9 @@ def test_items_are_found_within_the_edit_budget():
             at = draw.randrange(len(changed))
             changed[at : at + 1] = draw.choice([[], ["q"], [changed[at], "z"]])
         text = decontaminate.plain(" ".join(words(40, trial)) + " " + "".join(changed) + " " + " ".join(words(40, -trial - 1)))
-        found = {n: e for n, e, _, _ in index.find(text)}
+        found = {}
+        for n, e, _, _ in index.find(text):
+            found[n] = min(e, found.get(n, e))
         for n, original in items:
             edits = edit_places(decontaminate.plain(original), text)
             if edits <= budget.edits(len(decontaminate.plain(original))):
@@ -212,20 +214,43 @@ def test_contaminated_documents_go(spark):
     bench = spark.createDataFrame([(1, item), (2, "kurz"), (3, None), (4, ""), (1, item)], "item_id long, text string")
     rows = [(20, "Vorher " + item.upper().replace(" ", "  ") + ", nachher", "s"), (21, " ".join(words(200, 78)), "s"), (22, "Kurz!", "s"), (23, "nicht so kurz", "s"), *ODD]
     found = decontaminate.contaminations(frame(spark, rows), bench).collect()
-    assert sorted((r["id"], r["item_id"], r["edits"]) for r in found) == [(20, 1, 0), (20, 1, 0), (22, 2, 0)]
+    assert sorted((r["id"], r["item_id"], r["edits"]) for r in found) == [(20, 1, 0), (20, 1, 0), (22, 2, 0), (23, 2, 0)]
     kept = decontaminate.drop_contaminated(frame(spark, rows), bench)
     assert kept.columns == ["doc_id", "text", "source"]
-    assert kept.count() == len(rows) - 2
+    assert kept.count() == len(rows) - 3
     assert decontaminate.contaminations(frame(spark, []), bench).count() == 0
     assert decontaminate.drop_contaminated(frame(spark, rows), bench.limit(0)).count() == len(rows)
 
 
+def test_items_of_any_length_are_found_at_every_place():
+    items = [(1, "quick brown fox"), (2, "fox"), (3, "a b"), (4, "eine etwas längere Zeile mit einigen Wörtern darin")]
+    index = decontaminate.Index(items, decontaminate.Budget())
+    text = decontaminate.plain("The quick, brown fox; a quick brown foxes. A b! eine etwas längere Zeile mit einigen Wörtern darin. Und eine etwas laengere Zeile mit einigen Wörtern darin")
+    found = sorted(index.find(text))
+    at = lambda x, n=0: text.index(x, n)
+    second = at("eine etwas laengere")
+    assert [(n, e, a) for n, e, a, _ in found] == [(1, 0, 4), (2, 0, 16), (3, 0, at("a b")), (4, 0, at("eine etwas längere")), (4, 2, second)]
+    assert all(text[a:b] == decontaminate.plain(dict(items)[n]) for n, e, a, b in found if not e)
+
+
+def test_counting_in_blocks_changes_nothing(monkeypatch):
+    draw = random.Random(31)
+    items = [(k, " ".join(draw.choice("ab ba aab bba abab".split()) for _ in range(draw.randrange(3, 30)))) for k in range(12)]
+    text = decontaminate.plain(" ".join(draw.choice("ab ba aab bba abab".split()) for _ in range(3000)))
+    index = decontaminate.Index(items, decontaminate.Budget())
+    whole = list(index.regions(text))
+    monkeypatch.setattr(decontaminate, "BLOCK_HITS", 50)
+    assert whole and list(index.regions(text)) == whole
+
+
 def test_a_large_benchmark_is_taken_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 500)
     items = [(k, " ".join(words(20, k))) for k in range(12)]
-    docs = frame(spark, [(100 + k, "davor " + t + " danach", "s") for k, t in items])
-    found = decontaminate.contaminations(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, [(100 + k, "davor " + t + " danach", "s") for k, t in items] + ODD)
+    found = decontaminate.contaminations(docs, bench).collect()
     assert sorted((r["id"], r["item_id"]) for r in found) == [(100 + k, k) for k in range(12)]
+    assert sorted(map(str, decontaminate.drop_contaminated(docs, bench).collect())) == sorted(map(str, frame(spark, ODD).collect()))
 
 
 # Tokens --------------------------------------------------------------------------------------------------------
