@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,14 +18,26 @@ WORD = re.compile(r"\w+(?:[.\-]\w+)*")
 # Notices of common licenses, as their publishers state them.
 TEMPLATES = {
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "Apache-1.1 line": "Licensed under the Apache License, Version 1.1.",
     "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
+    "AGPL-3.0 line": "This work is licensed under the GNU Affero General Public License, version 3.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "CC-BY-3.0 line": "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
     "CC-BY-4.0 line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0 line": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-4.0 short line": "Licensed under CC BY 4.0.",
+    "CC-BY-NC-4.0 line": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-4.0 short line": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-ND-4.0 line": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0 line": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-ND-4.0 line": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-SA-4.0 line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-SA-4.0 short line": "Licensed under CC BY-SA 4.0.",
+    "GPL-2.0 line": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1 line": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0 line": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "MIT line": "Released under the MIT License.",
@@ -31,11 +45,18 @@ TEMPLATES = {
 }
 
 
+# Words that tell licenses apart which are alike otherwise, and words that a version number follows.
+TELLING = frozenset("affero agpl apache attribution bsd by cc commons creative eclipse gnu gpl isc lesser lgpl mit mozilla mpl nc nd noderivatives noderivs noncommercial sa sharealike unlicense".split())
+BEFORE_VERSION = TELLING | frozenset("license licence version v public".split())
+VERSION = re.compile(r"v?\d\d?(?:\.\d+)*")
+
+
 @dataclass(frozen=True)
 class Scan:
     """Fingerprints are the least of each `window` neighbouring word n-grams; at most edit_rate of a template's words may differ.
 
-    A template whose matched words are less than min_coverage of it isn't reported.
+    A template whose matched words are less than min_coverage of it isn't reported, nor is one whose place has other
+    telling words: names, conditions and versions must be the same, whatever the coverage.
     """
 
     n: int = 3
@@ -43,6 +64,16 @@ class Scan:
     edit_rate: float = 0.25
     min_coverage: float = 0.75
 
+    def fingerprint(self, size: int) -> tuple[int, int]:
+        """Words of a gram and grams of a window for a template of so many words.
+
+        A short template keeps all grams, no longer than the run of words that the edits leave in any case.
+        """
+        if size >= 4 * self.window:
+            return min(self.n, size), self.window
+        edits = int((1 - self.min_coverage) * size)
+        return max(1, min(self.n, -(-(size - edits) // (edits + 1)))), 1
+
 
 def winnow(grams: list[tuple], window: int) -> list[tuple[int, tuple]]:
     """(place, gram) of the least gram, by hash, of each run of `window` grams; the last on ties, each place once."""
@@ -61,85 +92,105 @@ def hash_of(gram: tuple) -> int:
     return value
 
 
-def banded_match(template: list[str], words: list[str], low: int, high: int) -> tuple[int, int, int] | None:
+def told(words: list[str]) -> frozenset[str]:
+    """The names, conditions and versions in words; parts of a hyphenated word count one by one."""
+    parts = [p for w in words for p in w.split("-")]
+    versions = {p.lstrip("v").removesuffix(".0") for before, p in zip(["", *parts], parts, strict=False) if VERSION.fullmatch(p) and before in BEFORE_VERSION}
+    return frozenset(TELLING.intersection(parts) | versions)
+
+
+def banded_match(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
     """(words matched, first, end) of the template aligned to words on diagonals low to high; words at the ends of either are free.
 
-    Longest common subsequence in the band, row by row; of equal ones that which starts last, then ends first.
+    Longest common subsequence in the band, row by row, on numbers for words; of equal ones that which starts last,
+    then ends first. A cell is its length and, below it, where its first match is.
     """
-    best: tuple[int, int, int] | None = None
-    previous: dict[int, tuple[int, int]] = {}
+    n, one = len(words), np.int64(1) << 32
+    cells = np.zeros(n + 1, np.int64)  # cells[j + 1]: the best that ends at word j or before
+    best, end = 0, 0
     for i, word in enumerate(template):
-        now: dict[int, tuple[int, int]] = {}
-        for j in range(max(0, i + low), min(len(words), i + high + 1)):
-            above, left, corner = previous.get(j, (0, j)), now.get(j - 1, (0, j)), previous.get(j - 1, (0, j))
-            cell = max(above, left)
-            if words[j] == word:
-                cell = max(cell, (corner[0] + 1, corner[1] if corner[0] else j))
-                if best is None or (cell[0], cell[1], -j) > (best[0], best[1], -best[2] + 1):
-                    best = (cell[0], cell[1], j + 1)
-            now[j] = cell
-        previous = now
-    return best
+        a, b = max(0, i + low), min(n, i + high + 1)
+        if a >= b:
+            continue
+        corner = cells[a:b]
+        grown = np.where(words[a:b] == word, np.where(corner > 0, corner + one, one + np.arange(a, b)), 0)
+        row = np.maximum(grown, cells[a + 1 : b + 1])
+        at = int(np.argmax(grown))
+        if grown[at] and (grown[at] > best or (grown[at] == best and at + a + 1 < end)):
+            best, end = int(grown[at]), at + a + 1
+        cells[a + 1 : b + 1] = np.maximum.accumulate(row)
+    return (best >> 32, best & (one - 1), end) if best else None
 
 
 class Templates:
     """The inverted index: fingerprint to the templates and places that have it."""
 
     def __init__(self, templates: dict[str, str], scan: Scan):
-        self.scan, self.words, self.index = scan, {}, defaultdict(list)
+        self.scan, self.words, self.codes, self.told, self.numbers, self.index = scan, {}, {}, {}, {}, defaultdict(list)
         for name, text in sorted(templates.items()):
             words = WORD.findall(text.lower())
-            n = min(scan.n, len(words))
-            if not n:
+            if not words:
                 continue
+            n, window = scan.fingerprint(len(words))
             self.words[name] = words
-            for place, gram in winnow(list(zip(*(words[k:] for k in range(n)), strict=False)), scan.window):
+            self.codes[name] = np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words])
+            self.told[name] = told(words)
+            for place, gram in winnow(list(zip(*(words[k:] for k in range(n)), strict=False)), window):
                 self.index[gram].append((name, place))
         self.sizes = {len(g) for g in self.index}
 
     def find(self, text: str | None) -> list[tuple[str, int, int, float, int, int]]:
         """(license, words matched, words of the template, coverage, start, end) of each place, in order of start.
 
-        Places are clusters of shared fingerprints whose diagonals lie within the edit budget of each other. Where
-        places of several templates overlap, the one with most matched words counts.
+        Candidates are clusters of shared fingerprints whose diagonals lie within the edit budget of each other. Long
+        clusters, of repeated phrases, are aligned in overlapping stretches, and behind and before a place that is found
+        the rest is aligned too. Where places of several templates overlap, the one with most matched words counts.
         """
         if not text:
             return []
         places = [m.span() for m in WORD.finditer(text)]
         words = [text[a:b].lower() for a, b in places]
-        hits: dict[str, list[int]] = defaultdict(list)
+        hits: dict[str, set[int]] = defaultdict(set)
         for n in self.sizes:
             for at, gram in enumerate(zip(*(words[k:] for k in range(n)), strict=False)):
                 if gram in self.index:
                     for name, place in self.index[gram]:
-                        hits[name].append(at - place)
-        found = []
+                        hits[name].add(at - place)
+        numbers = np.array([self.numbers.get(w, -1) for w in words]) if hits else None
+        found = set()
         for name, diagonals in hits.items():
             template = self.words[name]
-            band = max(1, int(self.scan.edit_rate * len(template)))
+            size, band = len(template), max(1, int(self.scan.edit_rate * len(template)))
             clusters: list[list[int]] = []
-            for d in sorted(Counter(diagonals)):
-                if clusters and d - clusters[-1][-1] <= band:
+            for d in sorted(diagonals):
+                if clusters and d - clusters[-1][-1] <= band and d - clusters[-1][0] < 2 * size:
                     clusters[-1].append(d)
                 else:
                     clusters.append([d])
             for cluster in clusters:
-                start = max(0, cluster[0] - band)
-                piece = words[start : cluster[-1] + len(template) + band]
-                match = banded_match(template, piece, cluster[0] - band - start, cluster[-1] + band - start)
-                if match and match[0] >= self.scan.min_coverage * len(template):
-                    found.append((name, match[0], len(template), match[0] / len(template), places[start + match[1]][0], places[start + match[2] - 1][1]))
+                todo = [(max(0, cluster[0] - band), min(len(words), cluster[-1] + size + band))]
+                while todo:
+                    start, end = todo.pop()
+                    match = banded_match(self.codes[name], numbers[start:end], cluster[0] - band - start, cluster[-1] + band - start)
+                    if not match or match[0] < self.scan.min_coverage * size:
+                        continue
+                    first, last = start + match[1], start + match[2]
+                    if told(words[first:last]) == self.told[name]:
+                        found.add((name, match[0], size, match[0] / size, places[first][0], places[last - 1][1]))
+                    todo += [(start, first), (last, end)]
         kept: list[tuple] = []
         for x in sorted(found, key=lambda x: (-x[1], -x[3], x[4], x[0])):
-            if all(x[5] <= y[4] or y[5] <= x[4] for y in kept):
-                kept.append(x)
-        return sorted(kept, key=lambda x: x[4])
+            k = bisect_left(kept, x[4], key=lambda y: y[4])
+            if (k == 0 or kept[k - 1][5] <= x[4]) and (k == len(kept) or x[5] <= kept[k][4]):
+                kept.insert(k, x)
+        return kept
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, scan: Scan = Scan()) -> DataFrame:
     """(id, license, matched, words, coverage, start, end) for each place of a template in a text.
 
-    matched and words count words, of the place and of the template; start and end are character offsets. Case,
+    matched and words count words, of the place and of the template; start and end are character offsets. A place whose
+    names, conditions or versions (told()) aren't those of the template is none of it, however much of it is covered. Case,
     punctuation and white space don't count. Null and empty texts and templates match nothing, null ids stay null,
     repeated rows give repeated rows, an empty table gives an empty one. Other columns are ignored.
 
