@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from .quality import CLASS_SHARES, COMMON_WORDS, Limits
+from .quality import CLASS_SHARES, COMMON_WORDS, LANGUAGES, Limits, farthest, with_rest
 
 _LIMITS = Limits()
 _WS = "\\x20\\x09-\\x0D"
 
 
-def _js(p: list[str], q: list[float]) -> str:
-    terms = [f"(CASE WHEN {a} > 0 THEN {a} * log2({a} / (({a} + {b!r}) / 2)) ELSE 0 END + CASE WHEN {b!r} > 0 THEN {b!r} * log2({b!r} / (({b!r} + {a}) / 2)) ELSE 0 END)" for a, b in zip(p, q, strict=True)]
-    return f"sqrt(greatest(0.0, ({' + '.join(terms)}) / 2))"
+def _js(p: str, q: str) -> str:
+    """The distance of two lists of shares."""
+    part = "CASE WHEN {0} > 0 THEN {0} * log2({0} / (({0} + {1}) / 2)) ELSE 0 END"
+    return f"sqrt(greatest(0.0, list_sum(list_transform(list_zip({p}, {q}), lambda x: {part.format('x[1]', 'x[2]')} + {part.format('x[2]', 'x[1]')})) / 2))"
 
 
-def _word_js(words: dict[str, float]) -> str:
-    p = [f"(len(list_filter(ws, lambda w: w = '{w}'))::DOUBLE / n_words)" for w in words]
-    return _js([*p, f"greatest(0.0, 1 - ({' + '.join(p)}))"], [*words.values(), 1 - sum(words.values())])
+def _list(shares) -> str:
+    return "[" + ", ".join(f"{x!r}::DOUBLE" for x in shares) + "]"
 
 
-_CLASS_JS = _js(["(letter / n)", "(space / n)", "(digit / n)", "(punctuation / n)", "((n - letter - space - digit - punctuation) / n)"], list(CLASS_SHARES))
-_WORD_JS = f"least({', '.join(_word_js(w) for w in COMMON_WORDS.values())})"
+def _shares(words: dict[str, float]) -> str:
+    return "[" + ", ".join(f"len(list_filter(ws, lambda w: w = '{w}'))::DOUBLE / n_words" for w in words) + "]"
+
+
+_SHARES = ", ".join(f"{_shares(COMMON_WORDS[x])} AS p_{x}" for x in LANGUAGES)
+_RATIOS = "[" + ", ".join(f"{_js(f'list_append(p_{x}, greatest(0.0, 1 - list_sum(p_{x})))', _list(with_rest(COMMON_WORDS[x])))} / {farthest(COMMON_WORDS[x])!r}" for x in LANGUAGES) + "]"
+_CLASSES = "[letter / n, space / n, digit / n, punctuation / n, (n - letter - space - digit - punctuation) / n]"
+_USUAL = "[" + ", ".join(_list(CLASS_SHARES[x]) for x in LANGUAGES) + "]"
 
 QUALITY_SQL = f"""
 WITH t AS (
@@ -50,13 +56,14 @@ WITH t AS (
     (length(text) - length(regexp_replace(text, '[0-9]', '', 'g')))::DOUBLE AS digit,
     (length(text) - length(regexp_replace(text, '[.,;:!?''"()\\-]', '', 'g')))::DOUBLE AS punctuation
   FROM g LEFT JOIN covered USING (doc_id)
+), p AS (
+  SELECT *, n_words < {_LIMITS.min_words} OR 100 * n_repeat_words > {_LIMITS.max_repeat_percent} * n_words AS base_failed, {_SHARES} FROM m
+), r AS (
+  SELECT *, CASE WHEN n_words >= {_LIMITS.min_words} AND n >= {_LIMITS.min_chars} THEN {_RATIOS} END AS ratios FROM p
 ), j AS (
-  SELECT *, n_words < {_LIMITS.min_words} OR 100 * n_repeat_words > {_LIMITS.max_repeat_percent} * n_words AS base_failed,
-    CASE WHEN n_words >= {_LIMITS.min_words} AND n >= {_LIMITS.min_chars} THEN {_CLASS_JS} END AS class_js,
-    CASE WHEN n_words >= {_LIMITS.min_words} AND n >= {_LIMITS.min_chars} THEN {_WORD_JS} END AS word_js
-  FROM m
+  SELECT *, list_min(ratios) AS word_ratio, {_js(_CLASSES, f"{_USUAL}[list_position(ratios, list_min(ratios))]")} AS class_js FROM r
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(class_js > {_LIMITS.max_class_js} OR (class_js > {_LIMITS.wary_class_js} AND word_js > {_LIMITS.max_word_js}), FALSE) AS kept
+  NOT base_failed AND NOT coalesce(class_js > {_LIMITS.max_class_js} OR word_ratio > {_LIMITS.max_word_ratio} OR (class_js > {_LIMITS.wary_class_js} AND word_ratio > {_LIMITS.wary_word_ratio}), FALSE) AS kept
 FROM j
 """
