@@ -67,6 +67,17 @@ def attribute_spans(starts: np.ndarray, ends: np.ndarray, section_starts: np.nda
     return counts, crossing
 
 
+def attribute_any(starts: np.ndarray, ends: np.ndarray, at: np.ndarray, to: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
+    """attribute_spans() for sections in any order: of sections that overlap, the earlier one has what they share; empty ones have none."""
+    order = np.lexsort((to, at))
+    a, b = at[order], to[order]
+    a = np.maximum(a, np.r_[0, np.maximum.accumulate(b)[:-1]]) if len(a) else a
+    held = order[a < b]
+    counts, crossing = np.zeros(len(at)), np.zeros(len(at), np.int64)
+    counts[held], crossing[held] = attribute_spans(starts, ends, a[a < b], b[a < b], rule)
+    return counts, crossing
+
+
 def count_in(text: str, spans: list | None, rule: str, vocabulary: str, pattern: str) -> list[tuple]:
     """(section, start, end, tokens, crossing) of each section, and of section -1: all tokens of the text."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -77,13 +88,16 @@ def count_in(text: str, spans: list | None, rule: str, vocabulary: str, pattern:
     chars = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]  # characters before each byte
     if spans is None:
         at, to = line_spans(data)
+        known = np.ones(len(at), bool)
     else:
         places = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]
-        clip = lambda k: places[np.clip(np.array([s[k] for s in spans], np.int64), 0, len(places) - 1)] if spans else np.empty(0, np.int64)
-        at, to = clip("start"), clip("end")
-    counts, crossing = attribute_spans(starts, ends, at, to, rule)
+        offsets = [(s["start"], s["end"]) if s is not None else (None, None) for s in spans]
+        known = np.array([a is not None and b is not None for a, b in offsets], bool)
+        at, to = (places[np.clip(np.array([x[k] if ok else 0 for x, ok in zip(offsets, known, strict=True)], np.int64), 0, len(places) - 1)] for k in (0, 1))
+    counts, crossing = attribute_any(starts, ends, at, to, rule)
+    shown = lambda x: [int(chars[k]) if ok else None for k, ok in zip(x, known, strict=True)]
     whole = (-1, 0, int(chars[-1]), float(len(ends)), 0)
-    return [whole, *zip(range(len(at)), chars[at].tolist(), chars[to].tolist(), counts.tolist(), crossing.tolist(), strict=True)]
+    return [whole, *zip(range(len(at)), shown(at), shown(to), counts.tolist(), crossing.tolist(), strict=True)]
 
 
 def token_counts(
@@ -92,7 +106,8 @@ def token_counts(
     """(id, section, start, end, tokens, crossing): the tokens of each section of each text, encoded whole and once.
 
     Sections are the lines of the text, or where sections_col is given its array<struct<start, end>> of character
-    offsets, sorted and free of overlaps; offsets beyond the text are clipped. start and end are character offsets.
+    offsets, in any order; offsets beyond the text are clipped, and where sections overlap the earlier one has what they
+    share. A section that is null, has a null offset or holds nothing has no tokens. start and end are character offsets.
     Section -1 is the whole text, and for the rules but "split" sections that cover the text add up to it. crossing
     counts tokens that also lie in another section. tokens is a double; only "split" makes fractions.
 

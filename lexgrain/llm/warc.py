@@ -19,7 +19,7 @@ LEAST_REVISIT, SEGMENT_BYTES, CHUNK_BYTES = 100, 16 * 1024, 4 * 1024
 #: Records of an archive file, so that a file is 32 MB at most before compression.
 FILE_RECORDS = 2000
 PAGE_URN = re.compile(r"<urn:page:(-?\d*)")
-RECORD = "record_id string, type string, page_id long, url string, refers_to long, digest string, segment int, origin string, total long, block binary"
+RECORD = "record_id string, type string, page_id long, url string, refers_to long, digest string, segment int, origin string, total long, block binary, problem string"
 PAYLOAD = "page_id long, url string, record_type string, refers_to long, digest string, stated_bytes long, payload binary, problem string"
 
 
@@ -100,31 +100,57 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
+def inflated(data: bytes) -> tuple[bytes, str | None]:
+    """The content of a gzip file of one or more members, as far as it can be read, and what is wrong with it."""
+    parts = []
+    while data:
+        unzip = zlib.decompressobj(31)
+        try:
+            for k in range(0, len(data), 1 << 20):
+                parts.append(unzip.decompress(data[k : k + (1 << 20)]))
+                if unzip.eof:
+                    data = unzip.unused_data + data[k + (1 << 20) :]
+                    break
+            else:
+                return b"".join(parts), "the archive is cut off"
+        except zlib.error:
+            return b"".join(parts), "the archive is damaged"
+    return b"".join(parts), None
+
+
 def parse_archive(data: bytes) -> Iterator[tuple]:
-    """The records of an archive file, in order."""
+    """The records of an archive file, in order, as rows of RECORD. What can't be read is a row with its problem."""
+    damage = None
     if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            unzip = zlib.decompressobj(31)
-            parts.append(unzip.decompress(data))
-            data = unzip.unused_data
-        data = b"".join(parts)
-    at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.index(END, at)
+        data, damage = inflated(data)
+    number = lambda x: int(x) if x else None
+    at = data.find(b"WARC/1.")
+    while at >= 0:
+        end = data.find(END, at)
+        if end < 0:
+            damage = damage or "the header of a record is cut off"
+            break
         fields = {}
-        for line in data[at:end].decode("utf-8", "surrogatepass").split("\r\n")[1:]:
+        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
             name, _, value = line.partition(":")
             fields[name.strip().lower()] = value.strip()
-        start, size = end + len(END), int(fields["content-length"])
-        page = PAGE_URN.match(fields.get("warc-record-id", ""))
-        other = PAGE_URN.match(fields.get("warc-refers-to", ""))
-        number = lambda x: int(x) if x else None
-        yield (
-            fields.get("warc-record-id"), fields["warc-type"], number(page and page[1]), fields.get("warc-target-uri"), number(other and other[1]), fields.get("warc-payload-digest"),
-            number(fields.get("warc-segment-number")), fields.get("warc-segment-origin-id"), number(fields.get("warc-segment-total-length")), data[start : start + size],
-        )
-        at = start + size
+        start, record_id = end + len(END), fields.get("warc-record-id")
+        page, other = PAGE_URN.match(record_id or ""), PAGE_URN.match(fields.get("warc-refers-to", ""))
+        try:
+            kind, size, total = fields["warc-type"], int(fields["content-length"]), number(fields.get("warc-segment-total-length"))
+            page_id, refers_to, segment = number(page and page[1]), number(other and other[1]), number(fields.get("warc-segment-number"))
+            if size < 0:
+                raise ValueError
+        except (KeyError, ValueError):
+            yield record_id, fields.get("warc-type"), None, fields.get("warc-target-uri"), None, None, None, None, None, b"", "the header of the record is incomplete or wrong"
+            found = data.find(END + b"WARC/1.", end)
+            at = found + len(END) if found >= 0 else -1
+            continue
+        block = data[start : start + size]
+        yield record_id, kind, page_id, fields.get("warc-target-uri"), refers_to, fields.get("warc-payload-digest"), segment, fields.get("warc-segment-origin-id"), total, block, None if len(block) == size else "the record is cut off"
+        at = data.find(b"WARC/1.", start + size)
+    if damage:
+        yield None, None, None, None, None, None, None, None, None, b"", damage
 
 
 def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
@@ -158,7 +184,9 @@ def reassemble(segments: pd.DataFrame) -> pd.DataFrame:
     block = b"".join(segments["block"])
     total = segments["total"].dropna()
     problem = None
-    if list(segments["segment"]) != list(range(1, len(segments) + 1)):
+    if segments["problem"].notna().any():
+        problem = segments["problem"].dropna().iloc[0]
+    elif list(segments["segment"]) != list(range(1, len(segments) + 1)):
         problem = "segments are missing or repeated"
     elif len(total) != 1 or int(total.iloc[0]) != len(block):
         problem = "the total length is not that of the segments"
@@ -169,8 +197,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """PAYLOAD of every record below path; continuation records are joined to their origin.
 
     A record whose segments are incomplete, whose lengths or framing are wrong or whose payload isn't that of its
-    digest keeps its row, and `problem` says what is wrong (else null). Records of equal ids are parts of one. An
-    archive without records gives an empty table.
+    digest keeps its row, and `problem` says what is wrong (else null). So does a header without type or length, or
+    with a number that is none; the records behind it are read. An archive that is cut off or damaged gives what can
+    be read of it and a row with the problem alone. Records of equal ids are parts of one. An archive without records
+    gives an empty table.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,7 +215,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(0, len(batch), 500):
                 part = batch.iloc[i : i + 500]
-                yield _frame([payload_row(none(p), u, k, none(r), d, b) for p, u, k, r, d, b in zip(*(part[c] for c in ("page_id", "url", "type", "refers_to", "digest", "block")), strict=True)], PAYLOAD)
+                yield _frame([payload_row(none(p), u, k, none(r), d, b, e) for p, u, k, r, d, b, e in zip(*(part[c] for c in ("page_id", "url", "type", "refers_to", "digest", "block", "problem")), strict=True)], PAYLOAD)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("content")
     records = files.mapInPandas(parse, RECORD)

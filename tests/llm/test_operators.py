@@ -305,6 +305,19 @@ def test_sections_of_a_column(spark):
         token_counts.token_counts(df, rule="alle")
 
 
+def test_sections_in_any_order_empty_null_and_overlapping():
+    text = "Titel: ein langer Text äöü mit Ende"
+    count = lambda spans, rule="first": token_counts.count_in(text, spans, rule, token_counts.VOCABULARY, token_counts.PATTERN)
+    span = lambda a, b: {"start": a, "end": b}
+    whole, *sorted_ = count([span(0, 7), span(7, 20), span(20, 99)])
+    got = count([span(20, 99), None, span(7, 7), span(0, 7), span(None, 5), span(9, 3), span(7, 20)])[1:]
+    assert [got[k][1:] for k in (3, 6, 0)] == [x[1:] for x in sorted_]
+    assert all(got[k][3] == 0 and got[k][4] == 0 for k in (1, 2, 4, 5)) and got[1][1] is None and got[4][2] is None
+    for rule in token_counts.RULES:
+        overlapping = count([span(5, 30), span(0, 12), span(0, 12), span(28, 99)], rule)
+        assert abs(sum(x[3] for x in overlapping[1:]) - whole[3]) < 1e-9
+
+
 # Shards --------------------------------------------------------------------------------------------------------
 
 
@@ -535,6 +548,25 @@ def test_broken_segments_are_reported():
     assert warc.reassemble(warc._frame([parts[0], *parts[2:]], warc.RECORD)).iloc[0]["problem"]
 
 
+def test_bad_archives_give_rows_with_their_problem():
+    import gzip
+
+    good = [warc.archive_records("response", f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{k}:a>\r\n", f"<urn:page:{k}:a>", "y" * 50, 50)[0] + warc.END for k in (1, 2)]
+    for bad in (good[0].replace(b"Content-Length: ", b"Content-Size: ", 1), good[0].replace(b"WARC-Type: response\r\n", b""), b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: viel\r\n\r\n\r\n\r\n", b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: -4\r\n\r\n\r\n\r\n"):
+        rows = list(warc.parse_archive(bad + good[1]))
+        assert [r[2] for r in rows] == [None, 2] and rows[0][-1] and rows[1][-1] is None
+    whole = gzip.compress(good[0]) + gzip.compress(good[1])
+    assert [r[2] for r in warc.parse_archive(whole)] == [1, 2]
+    cut = list(warc.parse_archive(whole[:-20]))
+    assert cut[0][2] == 1 and cut[-1][-1] == "the archive is cut off"
+    damaged = list(warc.parse_archive(gzip.compress(good[0]) + b"\x1f\x8bkaputt und mehr"))
+    assert damaged[0][2] == 1 and damaged[-1][-1] == "the archive is damaged"
+    assert list(warc.parse_archive(good[0] + b"WARC/1.1\r\nWARC-Ty"))[-1][-1] == "the header of a record is cut off"
+    assert list(warc.parse_archive(good[0][:-30]))[0][-1] == "the record is cut off"
+    frame_ = warc._frame(list(warc.parse_archive(whole[:-20])), warc.RECORD)
+    assert frame_["problem"].notna().sum() == 2
+
+
 def test_chunked_framing():
     for n in (0, 1, 4096, 10000):
         assert warc.unchunked(warc.chunked(b"z" * n)) == b"z" * n
