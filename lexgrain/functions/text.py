@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-#: White space and word boundary of ECMAScript, for Java's patterns.
-S = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: White space and word boundary of ECMAScript, for Java's patterns. Most characters fail at the first two tests.
+S = r"[\t-\r [\x{A0}-\x{FEFF}&&[\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]]]"
 NS = S.replace("[", "[^", 1)
 B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 #: The same boundary before and behind an ASCII letter or digit: far cheaper to test at every place of a text.
@@ -27,6 +27,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bind(body, **values: Column) -> Column:
+    """body of a struct of the values, each evaluated once."""
+    return let(F.struct(*[v.alias(k) for k, v in values.items()]), body)
+
+
 def settled(df, *computed: str):
     """df with its computed columns behind a generator of one row a row.
 
@@ -42,12 +47,12 @@ def _text(c: Column) -> Column:
 
 
 def trim(c: Column) -> Column:
-    return sub(c, rf"\A{S}+|{S}+\z", "")
+    return sub(c, rf"\A{S}+|{S}++\z", "")
 
 
 def squash(c: Column) -> Column:
-    """Runs of white space become one space."""
-    return sub(c, rf"{S}+", " ")
+    """Runs of white space become one space; single spaces, which most are, aren't touched."""
+    return sub(c, rf"{S}{{2,}}|(?! ){S}", " ")
 
 
 def tidy(c: Column) -> Column:
@@ -76,24 +81,37 @@ def strip_markup(html: Column) -> Column:
 
 
 def code_point(c: Column) -> Column:
-    """The character of a code point in hexadecimal digits."""
-    return F.decode(F.unhex(F.lpad(c, 8, "0")), "UTF-32")
+    """The character of a code point in hexadecimal digits; null for surrogates and beyond the Unicode range."""
+    valid = ~c.rlike(r"(?i)\A0*(?:d[89a-f][0-9a-f]{2}|(?:1[1-9a-f]|[2-9a-f][0-9a-f])[0-9a-f]{4})\z")
+    return F.when(valid, F.decode(F.unhex(F.lpad(c, 8, "0")), "UTF-32"))
 
 
 def numeric_entities(c: Column) -> Column:
-    """Decimal and hexadecimal character references of up to six digits, decoded."""
-    pattern = r"&#(x[0-9a-fA-F]{1,6}|[0-9]{1,6});"
-    codes = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
-    decoded = F.transform(codes, lambda x: F.when(F.startswith(F.lower(x), F.lit("x")), code_point(F.substring(x, 2, 6))).otherwise(code_point(F.conv(x, 10, 16))))
-    pieces = F.split(c, pattern, -1)
-    return F.when(F.size(codes) == 0, c).otherwise(F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(decoded, i), F.lit("")))), ""))
+    """Decimal and hexadecimal character references of up to six digits, decoded; what is no character stays."""
+    pattern = r"&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,6});"
+
+    def one(x: Column) -> Column:
+        digits = F.when(F.startswith(F.lower(x), F.lit("x")), F.substring(x, 2, 6)).otherwise(F.conv(x, 10, 16))
+        return F.coalesce(let(digits, code_point), F.concat(F.lit("&#"), x, F.lit(";")))
+
+    def woven(c: Column, pieces: Column, decoded: Column) -> Column:
+        return F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(decoded, i), F.lit("")))), "")
+
+    def replaced(c: Column) -> Column:
+        decoded = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), one)
+        return F.when(F.contains(c, F.lit("&#")), let(decoded, lambda d: let(F.split(c, pattern, -1), lambda p: woven(c, p, d)))).otherwise(c)
+
+    return let(c, replaced)
 
 
 def decode_entities(c: Column) -> Column:
     """The entities of handbook pages; unknown ones stay, soft hyphens go."""
-    for pattern, to in W.HANDBOOK_ENTITIES:
-        c = sub(c, pattern, to)
-    return F.replace(numeric_entities(c), F.lit("\u00ad"), F.lit(""))
+    def named(c: Column) -> Column:
+        for pattern, to in W.HANDBOOK_ENTITIES:
+            c = sub(c, pattern, to)
+        return numeric_entities(c)
+
+    return F.replace(let(c, lambda c: F.when(F.contains(c, F.lit("&")), named(c)).otherwise(c)), F.lit("\u00ad"), F.lit(""))
 
 
 def page_text(html: Column) -> Column:
@@ -165,10 +183,12 @@ def clean_span(c: Column) -> Column:
 
 def has_content(c: Column) -> Column:
     """TX-15: four characters, not one lone verb, and a word of four letters that carries meaning."""
-    given = F.regexp_extract_all(F.lower(c), F.lit("([a-zäöüß]{4,})"), F.lit(1))
-    carries = F.exists(given, lambda w: ~w.isin(*W.FINITE, *W.FILLERS))
-    lone = (F.size(word_list(c)) == 1) & F.lower(F.get(word_list(c), F.lit(0))).isin(*W.FINITE)
-    return F.coalesce((F.length(c) >= 4) & ~lone & carries, F.lit(False))
+    def tested(c: Column) -> Column:
+        given = F.regexp_extract_all(F.lower(c), F.lit("([a-zäöüß]{4,})"), F.lit(1))
+        lone = let(word_list(c), lambda ws: (F.size(ws) == 1) & F.lower(F.get(ws, F.lit(0))).isin(*W.FINITE))
+        return F.coalesce((F.length(c) >= 4) & F.exists(given, lambda w: ~w.isin(*W.FINITE, *W.FILLERS)) & ~lone, F.lit(False))
+
+    return let(c, tested)
 
 
 def phrase_key(c: Column, least: int = 2, most: int = 8) -> Column:
@@ -202,10 +222,12 @@ def quality(c: Column) -> Column:
 def time_only(c: Column) -> Column:
     """TX-26: a date, assessment period or gazette reference and fewer than twelve other word characters."""
     pattern = rf"{I}{BS}(?:\d{{1,2}}\.{S}?(?:{'|'.join(W.MONTHS)}){S}?\d{{4}}{BE}|Veranlagungszeitraum{S}?\d{{4}}{BE}|ab{S}?\d{{4}}{BE}|BGBl\.|BStBl\.)"
-    at = F.regexp_instr(c, F.lit(pattern))
-    match = F.regexp_substr(c, F.lit(pattern))
-    rest = F.concat(F.substring(c, F.lit(1), at - 1), F.substring(c, at + F.length(match), F.length(c)))
-    return F.when(at > 0, F.length(sub(rest, r"[^A-Za-z0-9_äöüßÄÖÜ]", "")) < 12).otherwise(F.lit(False))
+
+    def rest(c: Column) -> Column:
+        return let(F.split(c, pattern, 2), lambda p: (F.size(p) == 2) & (F.length(sub(F.array_join(p, ""), r"[^A-Za-z0-9_äöüßÄÖÜ]", "")) < 12))
+
+    # each of the forms has a year or a gazette, which most texts lack
+    return F.coalesce(let(c, lambda c: c.rlike(r"(?iu)\d{4}|bgbl|bstbl") & rest(c)), F.lit(False))
 
 
 def junctor(texts: Column, intro: Column) -> Column:

@@ -103,3 +103,37 @@ def reusable(annotation: DataFrame, format_wanted: int, models: list[str], runs:
             good = good & F.contains(method, F.lit("gegenprobe"))
         good = good & (F.size(F.array_except(F.lit(models), F.coalesce("modelle", F.array().cast("array<string>")))) == 0)
     return annotation.withColumn("wiederverwendbar", F.coalesce(same & good, F.lit(False)))
+
+
+def bundles(rows: DataFrame, key: list[str], entry: str, width: int) -> DataFrame:
+    """AG-14: (key, teil, eintraege, n): the entries of a key in order, in bundles of an entry range of that width."""
+    return rows.groupBy(*key, F.floor(F.col(entry) / width).cast("long").alias("teil")).agg(F.sort_array(F.collect_list(entry)).alias("eintraege"), F.count("*").alias("n"))
+
+
+#: Items without a word to meet on that are held against the texts at a time.
+BLOCK_ITEMS = 500
+
+
+def containment(texts: DataFrame, items: DataFrame, text_id: str, item_id: str) -> DataFrame:
+    """(text_id, item_id): items (item_id, text) that stand in a text, case aside. Null and empty items stand in none.
+
+    An item and a text meet on the item's rarest word, of those that stand within it, so that the text has them as
+    words too. Items without such a word are a query set, held against all texts in blocks.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\P{L}+"), lambda w: F.length(w) >= 4))
+    own = items.select(item_id, F.lower("text").alias("_b")).where("length(_b) > 0")
+    own = own.withColumn("_ws", words(F.regexp_replace("_b", r"\A\p{L}+|\p{L}+\z", "")))
+    rows = texts.select(text_id, F.lower("text").alias("_t"))
+    spelled = rows.select(text_id, F.explode(words(F.col("_t"))).alias("_w"))
+    inner = own.select(item_id, "_b", F.explode("_ws").alias("_w")).join(spelled.groupBy("_w").agg(F.count("*").alias("_n")), "_w", "left").fillna({"_n": 0})
+    rare = inner.groupBy(item_id).agg(F.min_by(F.struct("_w", "_b"), F.struct("_n", "_w")).alias("_x")).select(item_id, "_x._w", "_x._b")
+    found = rows.join(spelled.join(rare, "_w"), text_id).where(F.contains("_t", "_b")).select(text_id, item_id)
+    weak = own.where(F.size("_ws") == 0).select(item_id, "_b").distinct()
+    n_blocks = -(-weak.count() // BLOCK_ITEMS)
+    for k in range(n_blocks):
+        block = [(r[item_id], r["_b"]) for r in weak.where(F.pmod(F.xxhash64(item_id), F.lit(n_blocks)) == k).collect()]
+        entries = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(b).alias("b")) for i, b in block])
+        held = F.transform(F.filter(entries, lambda x: F.contains(F.col("_t"), x["b"])), lambda x: x["i"])
+        if block:
+            found = found.unionByName(rows.select(text_id, F.explode(held).alias(item_id)))
+    return found.distinct()

@@ -13,11 +13,11 @@ from ..functions.text import escape_html
 from ..operators import merging, schema_tree, segmentation, syntax
 from ..sources import crawl, sinks
 from ..sources.staging import staged
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def as_norms(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
     lines = F.filter(F.split("text", "\n", -1), lambda x: x != "")
     return docs.select(F.col("lang").alias("abk"), F.col("doc_id").cast("string").alias("norm_id"), F.lit("").alias("titel"), F.transform(lines, lambda x, i: F.struct((i + 1).cast("string").alias("n"), escape_html(x).alias("html"))).alias("abs"))
 
@@ -27,20 +27,21 @@ def analysed(spark, sf_dir) -> DataFrame:
 
 
 def merged(spark, sf_dir) -> DataFrame:
-    return merging.merge(staged(analysed(spark, sf_dir), "einheiten"), F.lit("einkommensteuer"))
+    """The units of all documents with their spans."""
+    return segmentation.unit_rows(merging.merge(analysed(spark, sf_dir), F.lit("einkommensteuer")))
 
 
 @query()
 def tx07_tx11_segmentation(spark, sf_dir):
     """Addressed, anchored sentences of every document."""
-    u = segmentation.segment(as_norms(spark, sf_dir))
+    u = segmentation.unit_rows(segmentation.segment(as_norms(spark, sf_dir)))
     return u.select("abk", "norm_id", "seq", "pfad", "ebene", "von", "bis", F.md5(F.col("text").cast("binary")).alias("digest"), "text_hash")
 
 
 @query()
 def cl01_cl11_syntax(spark, sf_dir):
     """Type, front field and spans of every sentence."""
-    a = analysed(spark, sf_dir)
+    a = segmentation.unit_rows(analysed(spark, sf_dir))
     return a.select("abk", "norm_id", "seq", "pfad", "typ", "vorfeldrolle", "verberst", F.transform("elemente", lambda e: F.concat_ws(":", e["art"], e["text"])).alias("elemente"))
 
 
@@ -67,22 +68,34 @@ def snk05_run_report(spark, sf_dir):
     return totals.rollup("abk").agg(*[F.sum(c).alias(c) for c in ("normen", "markierbar", "abgelehnt")])
 
 
-@query("SELECT url, runde FROM (WITH RECURSIVE r(url, runde) AS (SELECT 0::BIGINT, 0 UNION SELECT e.nach, r.runde + 1 FROM r JOIN (SELECT DISTINCT user_id AS von, event_id * 31 % 2000 AS nach FROM events) e ON e.von = r.url WHERE r.runde < 12) SELECT url, min(runde) AS runde FROM r GROUP BY 1)")
+@query("WITH RECURSIVE r(url) AS (SELECT 0::BIGINT UNION SELECT e.nach FROM r JOIN (SELECT DISTINCT user_id AS von, event_id * 31 % 2000 AS nach FROM events) e ON e.von = r.url) SELECT url FROM r")
 def src06_frontier(spark, sf_dir):
-    """What is reached from a start by links, a round of joins after another."""
+    """What is reached from a start by links, a round of joins after another until nothing new is found."""
     edges = table(spark, sf_dir, "events").select(F.col("user_id").alias("von"), (F.col("event_id") * 31 % 2000).alias("nach")).distinct()
-    starts = spark.range(1).select(F.col("id").alias("url"))
-    return crawl.reachable(edges, starts, staged, 12)
+    return crawl.reachable(edges, spark.range(1).select(F.col("id").alias("url")), staged).select("url")
 
 
-@query()
+@query("SELECT s_suppkey, seq, url FROM (SELECT s_suppkey, generate_subscripts(l, 1) - 1 AS seq, unnest(l) AS url FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN [p || 'Meta/Inhaltsverzeichnis/inhalt.html', p || 'Meta/Inhaltsuebersicht/inhalt.html', q || 'Meta/Inhaltsverzeichnis/inhalt.html', q || 'Meta/Inhaltsuebersicht/inhalt.html', p || 'start.html'] ELSE [p || 'Meta/Inhaltsverzeichnis/inhalt.html', p || 'Meta/Inhaltsuebersicht/inhalt.html'] END AS l FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'https://ao.bundesfinanzministerium.de/' ELSE 'https://x.example/' END || s_nationkey || '/' AS p, 'https://amtliche-handbuecher.bundesfinanzministerium.de/' || s_nationkey || '/' AS q FROM supplier)))")
+def src06_set06_start_pages(spark, sf_dir):
+    """Where the crawl of each handbook begins."""
+    even = F.col("s_suppkey") % 2 == 0
+    prefix = F.concat(F.when(even, "https://ao.bundesfinanzministerium.de/").otherwise("https://x.example/"), "s_nationkey", F.lit("/"))
+    books = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("abk"), prefix.alias("prefix"), F.concat(prefix, F.when(even, "start.html").otherwise("Meta/Inhaltsuebersicht/inhalt.html")).alias("start"))
+    return crawl.start_pages(books).select(F.col("abk").alias("s_suppkey"), F.col("seq").cast("long").alias("seq"), "url")
+
+
+@query(
+    """SELECT url AS von, seq, regexp_extract(url, '^[a-z]+://[^/]+', 0) || h AS nach, trim(regexp_replace(l, '<[^>]+>', ' ', 'g')) AS beschriftung FROM (
+      SELECT url, generate_subscripts(h, 1) - 1 AS seq, unnest(h) AS h, unnest(l) AS l FROM (SELECT url, regexp_extract_all(html, '(?is)<a href="([^"]*)"[^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a href="([^"]*)"[^>]*>(.*?)</a>', 2) AS l FROM pages))"""
+)
 def tx21_resolved_links(spark, sf_dir):
-    """Every link of every page, resolved."""
-    return crawl.page_links(table(spark, sf_dir, "pages").select("url", "html"))
+    """Every link of every page, resolved; those of the pages at hand start at the host."""
+    found = crawl.page_links(table(spark, sf_dir, "pages").select("url", "html"))
+    return found.select("von", F.col("seq").cast("long").alias("seq"), "nach", "beschriftung")
 
 
-@query()
+@query("SELECT lang AS abk, doc_id // 1000 AS teil, any_value(n) AS anzahl, count(*) AS normen, min(doc_id)::VARCHAR AS erste FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS n FROM documents) GROUP BY 1, 2")
 def snk01_register(spark, sf_dir):
     """The documents of each language as the register of a statute."""
     n = table(spark, sf_dir, "documents").select(F.col("lang").alias("abk"), F.col("doc_id").alias("norm_seq"), F.col("doc_id").cast("string").alias("norm_id"), F.col("source").alias("enbez"), F.lit("").alias("titel"))
-    return sinks.register(n).select("abk", "anzahl", F.size("normen").alias("normen"))
+    return sinks.register(n).select("abk", "teil", "anzahl", F.size("normen").cast("long").alias("normen"), F.get("normen", F.lit(0))["id"].alias("erste"))

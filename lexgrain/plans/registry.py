@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt out by key where it has fewer files than there are cores; on large tables nothing is moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def trim(c: str) -> str:
     return f"regexp_replace({c}, '\\A{S}+|{S}+\\z', '', 'g')"
 

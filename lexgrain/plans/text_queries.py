@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import crawl
 from ..functions.words import FILLERS, FINITE, MONTHS, STOP_WORDS
-from .registry import LINES, S, query, span_text, squash, table, tidy, trim
+from .registry import LINES, S, query, span_text, spread, squash, table, tidy, trim
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n", -1)).alias("seq", "line"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n", -1)).alias("seq", "line"))
     return docs.where("line <> ''")
 
 
@@ -115,11 +116,11 @@ def tx24_boilerplate(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(T.drop_boilerplate(F.col("html"))).cast("long").alias("n_chars"))
 
 
-_TIME = f"(?i)\\b\\d{{1,2}}\\.{S}?(?:{'|'.join(MONTHS)}){S}?\\d{{4}}\\b|\\bVeranlagungszeitraum{S}?\\d{{4}}\\b|\\bab{S}?\\d{{4}}\\b|\\bBGBl\\.|\\bBStBl\\."
+TIME = f"(?i)\\b\\d{{1,2}}\\.{S}?(?:{'|'.join(MONTHS)}){S}?\\d{{4}}\\b|\\bVeranlagungszeitraum{S}?\\d{{4}}\\b|\\bab{S}?\\d{{4}}\\b|\\bBGBl\\.|\\bBStBl\\."
 
 
 @query(
-    f"""SELECT event_id, regexp_matches(t, '{_TIME}') AND length(regexp_replace(regexp_replace(t, '{_TIME}', ''), '[^A-Za-z0-9_äöüßÄÖÜ]', '', 'g')) < 12 AS nur_zeit
+    f"""SELECT event_id, regexp_matches(t, '{TIME}') AND length(regexp_replace(regexp_replace(t, '{TIME}', ''), '[^A-Za-z0-9_äöüßÄÖÜ]', '', 'g')) < 12 AS nur_zeit
     FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'ab 20' || (10 + event_id % 20) WHEN 1 THEN event_type || ' im Veranlagungszeitraum 2023' WHEN 2 THEN (1 + event_id % 28) || '. Dezember 2024, ' || event_type ELSE event_type END AS t FROM events)"""
 )
 def tx26_time_only(spark, sf_dir):
@@ -159,9 +160,12 @@ def mrg05_span_quality(spark, sf_dir):
     return lines(spark, sf_dir).select("doc_id", F.col("seq").cast("long").alias("seq"), F.round(T.quality(F.col("line")), 6).alias("guete"))
 
 
-@query("SELECT page_id, starts_with(url, 'https://') AND regexp_matches(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1), '(?i)/\\d+$') AS intern FROM pages")
+_OWN = "url || CASE page_id % 4 WHEN 0 THEN '.html' WHEN 1 THEN '/inhalt/' WHEN 2 THEN '.HTML?x=1#y' ELSE '/x.htm' END"
+
+
+@query(f"SELECT page_id, starts_with(u, 'https://m') AND regexp_matches(regexp_extract(u, '^[a-z]+://[^/]+([^?#]*)', 1), '(?i)\\.html\\z|/inhalt/?\\z') AS intern FROM (SELECT page_id, {_OWN} AS u FROM pages)")
 def flt05_internal_pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", (F.startswith("url", F.lit("https://")) & F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?#]*)", 1).rlike(r"(?i)/\d+$")).alias("intern"))
+    return table(spark, sf_dir, "pages").select("page_id", crawl.is_internal(F.expr(_OWN), ["https://m"]).alias("intern"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN regexp_matches(m, '^\\d+$') THEN 'Nr. ' || m WHEN regexp_matches(m, '^[A-Za-z]\\)?$') THEN 'Buchst. ' || regexp_replace(m, '\\)$', '') ELSE m END AS marke, 'Abs. ' || l_linenumber AS absatz FROM (SELECT l_orderkey, l_linenumber, CASE l_orderkey % 3 WHEN 0 THEN l_linenumber::VARCHAR WHEN 1 THEN lower(l_returnflag) || ')' ELSE l_linestatus || l_returnflag END AS m FROM lineitem)")

@@ -2,39 +2,83 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
+import re
+from itertools import count
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import links, page_text, section_number, section_range
 
 
+# A page's base element, the relative prefixes that start at the host, and the overview pages of a handbook.
+BASE = r"""(?is)<base(?![A-Za-z0-9_])[^>]*(?<![A-Za-z0-9_])href\s*=\s*(?:"([^"]+)"|'([^']+)'|([^\s>]+))"""
+FROM_HOST = re.compile(r"(?:ao|esth|usth|ksth|gewsth|erbsth|grsth)/(?:\d{4}|\d{4}-\d{4})/", re.I)
+NO_PAGE = re.compile(r"(?:javascript|mailto|tel):", re.I)
+OVERVIEWS = ("Meta/Inhaltsverzeichnis/inhalt.html", "Meta/Inhaltsuebersicht/inhalt.html")
+OVERVIEW = r"(?i)/Meta/Inhalts(?:verzeichnis|uebersicht)/inhalt\.html\z"
+OTHER_HOST = ("//ao.bundesfinanzministerium.de/", "//amtliche-handbuecher.bundesfinanzministerium.de/")
+ENOUGH_SECTIONS = 5
+
+
+def resolved(base: str | None, href: str | None) -> str | None:
+    h = AMPERSAND.sub("&", href or "").strip()
+    if not h or h.startswith("#") or NO_PAGE.match(h):
+        return None
+    try:
+        found = urljoin(base or "", f"/{h}" if FROM_HOST.match(h) else h)
+        return found if urlsplit(found).scheme else None
+    except ValueError:
+        return None
+
+
+AMPERSAND = re.compile("&amp;", re.I)
+
+
 @F.pandas_udf(StringType())
 def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
     """TX-21: a link's address; null for anchors, scripts, mail and telephone, and for what is no address."""
+    return pd.Series([resolved(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
 
-    def one(b: str | None, h: str | None) -> str | None:
-        h = (h or "").replace("&amp;", "&").strip()
-        if not h or h.startswith("#") or h.lower().startswith(("javascript:", "mailto:", "tel:")):
-            return None
-        try:
-            return urljoin(b or "", h)
-        except ValueError:
-            return None
 
-    return pd.Series([one(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
+def page_base(url: Column, html: Column) -> Column:
+    """What a page's base element names, or null if it has none."""
+    return F.nullif(F.concat(*[F.regexp_extract(html, BASE, k) for k in (1, 2, 3)]), F.lit(""))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """TX-20: (von, seq, nach, beschriftung) for each link of pages (url, html), without query and fragment."""
-    rows = pages.select(F.col("url").alias("von"), F.posexplode(links(F.col("html"))).alias("seq", "x"))
-    rows = rows.select("von", "seq", resolve(F.col("von"), F.col("x.href")).alias("ziel"), page_text(F.col("x.label")).alias("beschriftung"))
+    """TX-20, TX-21: (von, seq, nach, beschriftung) for each link of pages (url, html), without query and fragment.
+
+    Links are relative to the page's base element, itself relative to the page, or else to the page.
+    """
+    base = F.coalesce(resolve(F.col("url"), page_base(F.col("url"), F.col("html"))), F.col("url"))
+    rows = pages.select("url", base.alias("_basis"), links(F.col("html")).alias("_links"))
+    rows = rows.select(F.col("url").alias("von"), "_basis", F.posexplode("_links").alias("seq", "x"))
+    rows = rows.select("von", "seq", resolve(F.col("_basis"), F.col("x.href")).alias("ziel"), page_text(F.col("x.label")).alias("beschriftung"))
     return rows.where("ziel is not null").select("von", "seq", F.regexp_extract("ziel", r"\A([^?#]*)", 1).alias("nach"), "beschriftung")
 
 
+def prefixes(prefix: str) -> list[str]:
+    """SET-6: the prefixes of a handbook's pages; one host stands for another, too."""
+    return list(dict.fromkeys([prefix, prefix.replace(*OTHER_HOST)]))
+
+
+def start_pages(handbooks: DataFrame) -> DataFrame:
+    """SRC-6: (abk, seq, url): where the crawl of a handbook (abk, prefix, start) begins, each address once, in order."""
+    own = F.array_distinct(F.array(F.col("prefix"), F.replace("prefix", F.lit(OTHER_HOST[0]), F.lit(OTHER_HOST[1]))))
+    overviews = F.flatten(F.transform(own, lambda p: F.array(*[F.concat(p, F.lit(x)) for x in OVERVIEWS])))
+    return handbooks.select("abk", F.posexplode(F.array_distinct(F.concat(overviews, F.array("start")))).alias("seq", "url"))
+
+
+def overview_suffices(all_links: DataFrame) -> DataFrame:
+    """SRC-6: (von) of the overview pages that name ENOUGH_SECTIONS sections; the crawl ends at the first of them."""
+    named = all_links.where(F.col("von").rlike(OVERVIEW)).select("von", section_number(F.col("beschriftung")).alias("nr")).where("nr is not null")
+    return named.groupBy("von").agg(F.count_distinct("nr").alias("n")).where(F.col("n") >= ENOUGH_SECTIONS).select("von")
+
+
 def is_internal(url, prefixes: list[str]):
     """FLT-5: below an allowed prefix, and a page of text."""
     test = F.lit(False)
@@ -43,20 +87,19 @@ def is_internal(url, prefixes: list[str]):
     return test & F.regexp_extract(url, r"\A[a-z]+://[^/]+([^?#]*)", 1).rlike(r"(?i)\.html\z|/inhalt/?\z")
 
 
-def reachable(all_links: DataFrame, starts: DataFrame, materialize, most_rounds: int = 5000) -> DataFrame:
+def reachable(all_links: DataFrame, starts: DataFrame, materialize) -> DataFrame:
     """SRC-6: (url, runde) of what is reached from starts (url): each round joins the frontier to the links.
 
     materialize(df) writes a round's table and reads it back, so the plan doesn't grow; a page is visited once.
     """
     seen = materialize(starts.select("url").distinct().withColumn("runde", F.lit(0)))
     frontier = seen
-    for round_ in range(1, most_rounds + 1):
+    for round_ in count(1):
         found = frontier.join(all_links, F.col("url") == F.col("von")).select(F.col("nach").alias("url")).distinct()
         frontier = materialize(found.join(seen.select("url"), "url", "left_anti").withColumn("runde", F.lit(round_)))
         if frontier.isEmpty():
-            break
+            return seen
         seen = materialize(seen.unionByName(frontier))
-    return seen
 
 
 def section_map(all_links: DataFrame) -> DataFrame:

@@ -16,8 +16,14 @@ def _own_dir() -> str:
 
 
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
-    """df written to the folder that the cluster names in spark.checkpoint.dir, and read back: the plan is cut there."""
-    base = (df.sparkSession.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """df written to the folder that the cluster names in spark.checkpoint.dir, and read back: the plan is cut there.
+
+    Where it is unset, a temporary folder serves a session on one machine; on a cluster that is an error.
+    """
+    found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not found and not df.sparkSession.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = (found or _own_dir()).rstrip("/")
     path = f"{base}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import first_tag, norm_id, squash, trim
+from ..functions.text import first_tag, let, norm_id, numeric_entities, squash, trim
 
 # The entities of the source, the HTML element of each source element, and elements that are dropped.
 ENTITIES = {
@@ -55,8 +55,9 @@ def slim_html(xml: str | None) -> str:
         if tag[:1] in ("!", "?"):
             continue
         closing, empty = tag.startswith("/"), tag.endswith("/")
-        name, _, attributes = tag.strip("/").partition(" ")
-        target = "" if name in DROPPED else ELEMENTS.get(name.strip(), "")
+        name, *rest = tag.strip("/").split(None, 1)[:2] or [""]
+        attributes = rest[0] if rest else ""
+        target = "" if name in DROPPED else ELEMENTS.get(name, "")
         if closing:
             closed = stack.pop() if stack else ""
             out.append(f"</{closed}>" if closed else "")
@@ -82,12 +83,15 @@ def slim_html_column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def only_text(xml: Column) -> Column:
-    """Text of an element; null gives an empty text."""
+    """Text of an element, its entities and character references decoded; null gives an empty text."""
+    def named(plain: Column) -> Column:
+        for name, ch in ENTITIES.items():
+            if name != "amp":
+                plain = F.replace(plain, F.lit(f"&{name};"), F.lit(ch))
+        return F.replace(numeric_entities(plain), F.lit("&amp;"), F.lit("&"))
+
     plain = F.regexp_replace(F.coalesce(xml, F.lit("")), "<[^>]+>", " ")
-    for name, ch in ENTITIES.items():
-        if name != "amp":
-            plain = F.replace(plain, F.lit(f"&{name};"), F.lit(ch))
-    return trim(squash(F.replace(plain, F.lit("&amp;"), F.lit("&"))))
+    return trim(squash(let(plain, lambda p: F.when(F.contains(p, F.lit("&")), named(p)).otherwise(p))))
 
 
 def paragraphs(html: Column) -> Column:
