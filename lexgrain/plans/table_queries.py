@@ -14,20 +14,20 @@ from .registry import LINES, S, query, span_text, squash, table, trim
 from .text_queries import TIME, lines
 
 _KIND = "CASE lang WHEN 'en' THEN 'tb' WHEN 'de' THEN 'rf' WHEN 'fr' THEN 'ausn' ELSE 'def' END"
-_OPENING = f"array_to_string(list_slice(list_filter(string_split(line, ' '), lambda w: w <> ''), 1, 2), ' ')"
-_SPANS = f"SELECT doc_id, seq, {_KIND} AS art, {_OPENING} AS text, (length(line) % 100) / 100.0 AS konfidenz FROM ({LINES})"
+_CLAUSES = f"SELECT doc_id, lang, (doc_id * 100000000000 + seq * 100000 + generate_subscripts(c, 1))::BIGINT AS stelle, unnest(c) AS text FROM (SELECT doc_id, lang, seq, string_split_regex(line, '[.,;:!?]') AS c FROM ({LINES}))"
+_SPANS = f"SELECT doc_id, stelle, {_KIND} AS art, text, (length(text) % 100) / 100.0 AS konfidenz FROM ({_CLAUSES}) WHERE regexp_matches(text, '[A-Za-z]')"
 _KEYED = f"SELECT * FROM (SELECT *, {trim(squash('''regexp_replace(regexp_replace(lower(text), '\\b\\d[\\d.,]*\\b', '#', 'g'), '[„\"»«(),;:.]', ' ', 'g')'''))} AS schluessel FROM ({_SPANS})) WHERE len(string_split(schluessel, ' ')) BETWEEN 2 AND 8"
-_COUNTS = f"""SELECT schluessel, count(*) FILTER (art = 'tb') AS tb, count(*) FILTER (art = 'rf') AS rf, count(*) FILTER (art = 'ausn') AS ausn, min_by(text, doc_id * 1000000 + seq) AS wendung FROM ({_KEYED}) GROUP BY schluessel"""
+_COUNTS = f"""SELECT schluessel, count(*) FILTER (art = 'tb') AS tb, count(*) FILTER (art = 'rf') AS rf, count(*) FILTER (art = 'ausn') AS ausn, min_by(text, stelle) AS wendung FROM ({_KEYED}) GROUP BY schluessel"""
 _FOUND = f"""SELECT *, tb + rf + ausn AS gesamt, CASE WHEN tb = greatest(tb, rf, ausn) THEN 'tb' WHEN rf = greatest(tb, rf, ausn) THEN 'rf' ELSE 'ausn' END AS mehrheit FROM ({_COUNTS})
   WHERE tb + rf + ausn >= 4 AND greatest(tb, rf, ausn) < tb + rf + ausn AND greatest(tb, rf, ausn) / (tb + rf + ausn) >= 0.8"""
 
 
 def spans(spark, sf_dir):
-    """The first two words of each line, labelled by the language of the document."""
+    """The clauses of all lines, between punctuation marks, labelled by the language of the document."""
     kind = F.when(F.col("lang") == "en", "tb").when(F.col("lang") == "de", "rf").when(F.col("lang") == "fr", "ausn").otherwise("def")
-    opening = F.array_join(F.slice(F.filter(F.split("line", " "), lambda w: w != ""), 1, 2), " ")
-    order = F.col("doc_id") * 1_000_000 + F.col("seq")
-    return lines(spark, sf_dir).select("doc_id", F.col("seq").alias("zeile"), order.alias("seq"), kind.alias("art"), opening.alias("text"), ((F.length("line") % 100) / F.lit(100.0)).alias("konfidenz"))
+    clauses = lines(spark, sf_dir).select("doc_id", "lang", F.col("seq").cast("long").alias("zeile"), F.posexplode(F.split("line", "[.,;:!?]", -1)).alias("k", "text")).where(F.col("text").rlike("[A-Za-z]"))
+    order = F.col("doc_id") * 100_000_000_000 + F.col("zeile") * 100_000 + F.col("k") + 1
+    return clauses.select("doc_id", order.alias("seq"), kind.alias("art"), "text", ((F.length("text") % 100) / F.lit(100.0)).alias("konfidenz"))
 
 
 @query(f"SELECT schluessel, wendung, tb, rf, ausn, gesamt, mehrheit, count(*) AS ausreisser, min(konfidenz) AS min_konfidenz FROM ({_FOUND}) f JOIN ({_KEYED}) k USING (schluessel) WHERE art <> mehrheit GROUP BY ALL")
