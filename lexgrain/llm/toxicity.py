@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pack, unpack
+from .shared import discard, materialize, pack, unpack
 
 WORD = re.compile(r"\w+")
 #: Words are hashed to so many columns.
@@ -121,13 +121,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def columns(texts: pd.Series) -> pd.Series:
         return pd.Series([word_columns(t).astype(np.int32) for t in texts], dtype=object)
 
-    def draw(rows: DataFrame, most: int, seed: int) -> list[np.ndarray]:
-        ids = rows.select("_id", F.xxhash64("_id", F.lit(seed)).alias("draw")).orderBy("draw", "_id").limit(most).select("_id").distinct()
-        drawn = train.join(F.broadcast(ids), "_id", "left_semi").orderBy(F.xxhash64("_id", F.lit(seed)), F.xxhash64("text")).limit(most)
-        return [np.asarray(r[0], np.int64) for r in drawn.select(columns("text")).collect()]
+    def draw(rows: DataFrame, most: int, seed: int) -> DataFrame:
+        return rows.select("_id", F.xxhash64("_id", F.lit(seed)).alias("draw")).orderBy("draw", "_id").limit(most).select("_id").distinct()
 
+    # ids are drawn first, and their texts are read in one pass; the broadcast has 16,000 ids at most
     toxic = train.select("_id").join(confirmed.where("label = 1"), "_id", "left_semi")
-    return fit_nnpu(draw(toxic, plan.max_positive, 1), draw(train.select("_id"), plan.max_unlabelled, 2), prior or 0.0, plan)
+    drawn = draw(toxic, plan.max_positive, 1).withColumn("seed", F.lit(1)).unionByName(draw(train.select("_id"), plan.max_unlabelled, 2).withColumn("seed", F.lit(2)))
+    texts = train.join(F.broadcast(drawn), "_id").select("seed", F.xxhash64("_id", "seed").alias("draw"), F.xxhash64("text").alias("hash"), columns("text").alias("columns"))
+    texts = materialize(texts, "drawn")
+
+    def rows(seed: int, most: int) -> list[np.ndarray]:
+        taken = texts.where(F.col("seed") == seed).orderBy("draw", "hash").limit(most)
+        return [np.asarray(r["columns"], np.int64) for r in taken.select("columns").collect()]
+
+    fitted = fit_nnpu(rows(1, plan.max_positive), rows(2, plan.max_unlabelled), prior or 0.0, plan)
+    discard(texts)
+    return fitted
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
