@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licenses, mixing, quality, quality_sql, shards, simhash, token_counts, toxicity, warc
+from . import decontaminate, html_text, licenses, line_dedup, line_dedup_sql, mixing, quality, quality_sql, shards, simhash, spelling, token_counts, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,12 +78,32 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("rep_id").alias("component_id"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 32 leading whitened components of every usable embedding; deviation is null only where a long can't hold it."""
+    white = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=32, scale=64, offset=1_000_000)
+    deviation = whitening.as_long(F.col("deviation"))
+    return white.select(F.col("id").alias("vec_id"), "component", "n", deviation.alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the corpus, some of its runs a letter short, with its form, root and number of near words."""
+    words = spelling.count_words(_table(spark, sf_dir, "documents"), min_length=5, min_count=3, change=spelling.drop_a_letter)
+    return spelling.variant_groups(words, times=2)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten documents or more share."""
+    cut = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_docs=10)
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_benchmark_decontamination, op2_token_counts, op3_histogram_shards, op4_license_scan, op5_html_main_text, op6_warc_round_trip, op7_source_mixing, op8_toxicity, op9_quality_rules, op10_simhash_near_dedup,
+        op11_embedding_whitening, op12_spelling_variants, op13_line_dedup,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": quality_sql.QUALITY_SQL}
+    return {"op9_quality_rules": quality_sql.QUALITY_SQL, "op13_line_dedup": line_dedup_sql.LINES_SQL}

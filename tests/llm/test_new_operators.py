@@ -1,0 +1,244 @@
+"""Whitening, spelling variants and line dedup against brute force, on small cases and on whole tables."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexgrain.llm import line_dedup, queries, spelling, whitening
+
+SF = "/root/testdata/sf0.001"
+VECTORS = "vec_id long, embedding array<double>, n string"
+
+
+# Whitening -----------------------------------------------------------------------------------------------------
+
+
+def test_limbs_and_products_are_exact():
+    draw = random.Random(5)
+    for size in (10, 10**6, 2**60):
+        x = np.array([[draw.randrange(-size, size) for _ in range(3)] for _ in range(50)])
+        assert (sum(p.astype(np.int64).astype(object) << whitening.LIMB * k for k, p in enumerate(whitening.limbs(x))) == x.astype(object)).all()
+        assert (whitening.cross_products(x) == x.astype(object).T @ x.astype(object)).all()
+        weights = [draw.randrange(-(size**2), size**2) for _ in range(3)]
+        squares, dots = whitening.row_products(x, weights)
+        assert list(squares) == [sum(int(v) ** 2 for v in r) for r in x] and list(dots) == [sum(int(v) * w for v, w in zip(r, weights)) for r in x]
+
+
+@pytest.mark.parametrize("size", [1.0, 1e12])
+def test_scatter_is_exact_whatever_the_shift(spark, size):
+    draw = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in draw.normal(size / 3, size, 4)], "x") for i in range(60)]
+    df = spark.createDataFrame(rows, VECTORS).repartition(3)
+    x = [[math.floor(64 * c) + 1_000_000 for c in v] for _, v, _ in rows]
+    for shift in (1_000_000, 0, -123_456_789):
+        got = whitening.scatter(df, shift=shift)
+        assert got.sums == [sum(r[i] - shift for r in x) for i in range(4)]
+        assert got.cross == [[sum((r[i] - shift) * (r[j] - shift) for r in x) for j in range(4)] for i in range(4)]
+        mean = [Fraction(sum(r[i] for r in x), 60) for i in range(4)]
+        cov = [[float(sum((r[i] - mean[i]) * (r[j] - mean[j]) for r in x) / 60) for j in range(4)] for i in range(4)]
+        assert np.array_equal(got.covariance(), cov)
+
+
+def check_whitened(got, vectors, components):
+    """got against plain Python: deviation and n exactly, the rest by what defines it."""
+    x = {k: [math.floor(64 * float(c)) + 1_000_000 for c in v] for k, v in vectors.items()}
+    n, dim = len(x), len(next(iter(x.values())))
+    sums = [sum(r[i] for r in x.values()) for i in range(dim)]
+    centred = np.array([[float(Fraction(v) - Fraction(s, n)) for v, s in zip(r, sums)] for r in x.values()])
+    cov = centred.T @ centred / n
+    values = np.sort(np.linalg.eigvalsh(cov))[::-1][:components]
+    white = {k: [None] * len(values) for k in x}
+    for r in got:
+        assert r["n"] == n and int(r["deviation"]) == sum((n * v - s) ** 2 for v, s in zip(x[r["vec_id"]], sums))
+        assert r["explained"] == pytest.approx(values[r["component"] - 1] / np.trace(cov), rel=1e-9) and r["identity_error"] < 1e-9
+        white[r["vec_id"]][r["component"] - 1] = r["whitened"]
+    assert len(got) == n * len(values)
+    y = np.array([white[k] for k in x])
+    assert np.abs(y.T @ y / n - np.eye(len(values))).max() < 1e-9
+    axes = np.linalg.lstsq(centred, y, rcond=None)[0] * np.sqrt(values)
+    assert np.abs(cov @ axes - axes * values).max() < 1e-7 * values[0] and np.abs((axes**2).sum(0) - 1).max() < 1e-9
+
+
+def test_op11_over_the_table(spark):
+    vectors = dict(duckdb.sql(f"select vec_id, embedding from '{SF}/embeddings.parquet'").fetchall())
+    check_whitened(queries.op11_embedding_whitening(spark, SF).collect(), vectors, 32)
+
+
+def test_odd_vectors(spark):
+    draw = np.random.default_rng(3)
+    good = {i: [float(v) for v in draw.normal(0, 2, 3)] for i in range(20)}
+    bad = [(50, None, "x"), (51, [], "x"), (52, [1.0, None, 2.0], "x"), (53, [1.0, math.nan, 2.0], "x"), (54, [1.0, math.inf, 2.0], "x"), (55, [1.0], "x"), (56, [1e300, 0.0, 0.0], "x")]
+    df = spark.createDataFrame([(k, v, "x") for k, v in good.items()] + bad, VECTORS)
+    got = whitening.whiten(df, components=2).withColumnRenamed("id", "vec_id").collect()
+    check_whitened(got, good, 2)
+    assert whitening.whiten(spark.createDataFrame([], VECTORS)).count() == 0
+    alike = whitening.whiten(spark.createDataFrame([(1, [1.0, 2.0], "x")] * 3 + [(None, [1.0, 2.0], "x")], VECTORS)).collect()
+    assert len(alike) == 8 and {(r["n"], r["deviation"], r["whitened"], r["explained"], r["identity_error"]) for r in alike} == {(4, "0", None, None, None)}
+    flat = whitening.whiten(spark.createDataFrame([(i, [float(i), 5.0], "x") for i in range(9)], VECTORS)).collect()
+    assert [r["whitened"] is None for r in sorted(flat, key=lambda r: r["component"])] == [False] * 9 + [True] * 9
+
+
+def test_clashing_columns_are_kept(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], "a"), (2, [3.0, 1.0], "b"), (3, [0.0, 0.0], "c")], "deviation long, _v array<double>, whitened string")
+    w = whitening.fit(whitening.scatter(df, "_v"), 2)
+    assert {(r["_row"]["deviation"], r["_row"]["whitened"]) for r in whitening.project(df, w, "_v").collect()} == {(1, "a"), (2, "b"), (3, "c")}
+
+
+# Spelling ------------------------------------------------------------------------------------------------------
+
+
+def brute_forms(count):
+    """word -> its near words, by the neighbourhood of all single deletions, checked by their lengths and differences."""
+    holes = defaultdict(set)
+    for w in count:
+        for i in range(len(w)):
+            holes[w[:i] + w[i + 1 :]].add((w, i))
+    near = defaultdict(set)
+    for rest, found in holes.items():
+        if rest in count:
+            for w, _ in found:
+                near[w].add(rest), near[rest].add(w)
+        for w, i in found:
+            near[w] |= {v for v, j in found if i == j and v != w}
+    return near
+
+
+def brute_variants(count):
+    near, form = brute_forms(count), {}
+    for w, n in count.items():
+        best = min(near[w], key=lambda v: (-count[v], v), default=None)
+        form[w] = best if best and count[best] >= 2 * n else None
+    out = {}
+    for w, n in count.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out[w] = form[w], root, n, len(near[w]), count[form[w]] if form[w] else None
+    return out
+
+
+def variants(df):
+    return {r["word"]: (r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in df.collect()}
+
+
+def test_near_words_of_few_letters(spark):
+    """Words of two or three letters: every bigram occurs many times in a word."""
+    draw = random.Random(11)
+    words = {"".join(draw.choice(a) for _ in range(draw.randrange(4, 9))): draw.randrange(3, 2000) for a in ("ab", "abc", "xyé") for _ in range(150)}
+    got = variants(spelling.variant_groups(spark.createDataFrame(list(words.items()), "word string, n long")))
+    assert got == brute_variants(words)
+
+
+def test_chains_reach_their_root(spark):
+    words = {"a" * 5 + "bcdefgh"[:k] + "zzzz": 3 * 2**k for k in range(7)} | {"einzeln": 3, "zwilling": 5, "zwillinge": 10, "zwillingf": 10}
+    got = variants(spelling.variant_groups(spark.createDataFrame(list(words.items()), "word string, n long")))
+    assert got == brute_variants(words) and got["aaaaazzzz"][1] == "aaaaabcdefgzzzz" and got["zwilling"][0] == "zwillinge"
+    assert spelling.variant_groups(spark.createDataFrame([], "word string, n long")).count() == 0
+    with pytest.raises(ValueError):
+        spelling.variant_groups(spark.createDataFrame([("abc", 3)], "word string, n long"))
+
+
+def brute_words(rows):
+    count = Counter()
+    for doc_id, text in rows:
+        for run in __import__("re").findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 97 == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1 :]
+            count[run] += 1
+    return {w: n for w, n in count.items() if len(w) >= 5 and n >= 3}
+
+
+def test_op12_over_the_table(spark):
+    count = brute_words(duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall())
+    assert count and variants(queries.op12_spelling_variants(spark, SF)) == brute_variants(count)
+
+
+def test_odd_texts_have_words(spark):
+    rows = [(1, None), (None, "Ähre ÄHREN Ährenfeld " * 3), (2, ""), (2, "STRAßE×straße÷ 𝄞 kunst" * 300), (2, "STRAßE×straße÷ 𝄞 kunst" * 300), (3, "kunst" * 40000)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, word string")
+    got = {r["word"]: r["n"] for r in spelling.count_words(df, change=spelling.drop_a_letter).collect()}
+    assert got == brute_words(rows) and spelling.count_words(df.limit(0)).count() == 0
+
+
+# Line dedup ----------------------------------------------------------------------------------------------------
+
+
+def brute_lines(rows, min_docs):
+    key = lambda line: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+    seen = Counter(k for _, text in rows for k in {key(x) for x in (text or "").split("\n")} - {""})
+    out = []
+    for doc_id, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if seen[key(x)] < min_docs]
+        out.append((doc_id, "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return sorted(out, key=str)
+
+
+def texts(n, seed):
+    draw = random.Random(seed)
+    return [(k, "\n".join(draw.choice(["", " ", "Über uns", " über uns\t", "ÜBER UNS", "Menu", "mENU \r", f"Zeile {draw.randrange(40)}", "\x00x", "ende"]) for _ in range(draw.randrange(0, 12)))) for k in range(n)]
+
+
+@pytest.mark.parametrize("batches, fanout", [(1, 2), (4, 2), (5, 3)])
+def test_lines_in_many_documents_go(spark, batches, fanout):
+    rows = texts(80, batches) + [(None, None), (None, "Menu"), (7, ""), (7, "Menu"), (7, "Menu"), (200, "Menu\n" * 20000 + "letzte"), (201, "\n\n")]
+    df = spark.createDataFrame([(*r, "n") for r in rows], "doc_id long, text string, n_lines string")
+    got = line_dedup.dedup_lines(df, min_docs=6, batches=batches, fanout=fanout)
+    assert got.columns == ["doc_id", "text", "n_lines", "n_dropped"]
+    assert sorted(map(tuple, got.collect()), key=str) == brute_lines(rows, 6)
+    assert line_dedup.dedup_lines(df.limit(0), batches=batches).count() == 0
+
+
+def test_runs_outlive_their_object_and_levels_are_compacted(spark):
+    rows = texts(60, 9)
+    lines = line_dedup.line_table(spark.createDataFrame(rows, "doc_id long, text string"), 6)
+    path, levels = None, []
+    for k in range(6):
+        runs = line_dedup.LineRuns(spark, path, min_docs=5)
+        runs.add(lines.where(F.col("batch") == k))
+        path = runs.path
+        levels.append({level: len(names) for level, names in runs.levels.items() if names})
+        for x in runs.runs():
+            spark.sql(f"DROP TABLE {x.inputFiles()[0].split('/')[-2]}" if x.inputFiles() else "SELECT 1")  # as in a new session
+    assert levels == [{0: 1}, {1: 1}, {1: 1, 0: 1}, {2: 1}, {2: 1, 0: 1}, {2: 1, 1: 1}]
+    again = line_dedup.LineRuns(spark, path, min_docs=5)
+    direct = {bytes(r["h"]) for r in lines.where("first").groupBy("h").count().where("count >= 5").collect()}
+    assert {bytes(r["h"]) for r in again.frequent().collect()} == direct
+
+
+def test_merging_two_runs_needs_no_shuffle(spark):
+    lines = line_dedup.line_table(spark.createDataFrame(texts(40, 4), "doc_id long, text string"), 2)
+    runs = line_dedup.LineRuns(spark, fanout=3)
+    for k in range(2):
+        runs.add(lines.where(F.col("batch") == k))
+    plan = runs.merged()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_lines_of_earlier_batches_go(spark):
+    runs, seen = line_dedup.LineRuns(spark, min_docs=1), set()
+    for k in range(3):
+        rows = [(k, "gleich\neigen %d\nGLEICH" % k), (10 + k, "eigen %d" % (k - 1))]
+        got = line_dedup.admit(spark.createDataFrame(rows, "doc_id long, text string"), runs).collect()
+        assert {r["doc_id"]: r["text"] for r in got} == {d: "\n".join(x for x in t.split("\n") if x.lower() not in seen) for d, t in rows}
+        seen |= {x.lower() for _, t in rows for x in t.split("\n")}
+
+
+def test_op13_is_native(spark):
+    df = queries.op13_line_dedup(spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in df.collect()}
+    rows = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
+    assert got == {d: (n, gone, hashlib.sha256(t.encode()).hexdigest()) for d, t, n, gone in brute_lines(rows, 10)}
