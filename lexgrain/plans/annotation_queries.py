@@ -75,6 +75,39 @@ def src06_frontier(spark, sf_dir):
     return crawl.reachable(edges, spark.range(1).select(F.col("id").alias("url")), staged).select("url")
 
 
+def handbook_site(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Pages dealt to handbooks of a hundred, linked as a tree with ways back, section numbers and preliminary remarks; and the handbooks."""
+    place = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 100).alias("b"), (F.col("page_id") % 100).alias("i"), "html")
+    address = "concat('https://h', b, '.example/', {0}, if(({0}) % 7 = 3, '/Meta/Inhaltsverzeichnis/inhalt.html', '.html'))"
+    link = lambda to, label: f"""concat('<a href="', {to}, '">', {label}, '</a>')"""
+    links = [link(address.format("(2 * i + 2)"), "'Seite'"), link(f"concat({address.format('(2 * i + 1)')}, '#x')", "'Seite'"), link(address.format("((i - 1) div 2)"), "'zurück'")]
+    links += [f"if(i % 3 = 0, {link("concat('n', i, '.html')", "concat('&sect;&nbsp;', i % 11 + 1, ' Seite ', i)")}, '')", f"if(i % 5 = 1, {link("concat('v', i, '.html')", "concat('Vor §§ ', i % 9 + 1, ' bis ', i % 9 + 4)")}, '')"]
+    pages = place.select(F.expr(address.format("i")).alias("url"), F.concat(*map(F.expr, links), F.coalesce("html", F.lit(""))).alias("html"))
+    return pages, place.select("b").distinct().select(F.col("b").alias("abk"), F.expr("concat('https://h', b, '.example/')").alias("prefix"), F.expr("concat('https://h', b, '.example/0.html')").alias("start"))
+
+
+@query(
+    """WITH RECURSIVE p AS (SELECT page_id // 100 AS b, page_id % 100 AS i FROM pages),
+    visit AS (
+      SELECT b, i, 0 AS runde, '000002' AS rang FROM p WHERE i = 0
+      UNION ALL
+      SELECT p.b, p.i, runde + 1, rang || CASE WHEN p.i = 2 * v.i + 2 THEN '000000' ELSE '000001' END FROM visit v JOIN p ON p.b = v.b AND p.i IN (2 * v.i + 1, 2 * v.i + 2) WHERE v.i % 7 <> 3
+    ), known AS (
+      SELECT b, runde, rang FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY runde, rang) AS k FROM (SELECT DISTINCT ON (b, i % 11) b, runde, rang FROM visit WHERE i % 3 = 0 ORDER BY b, i % 11, runde, rang)) WHERE k = 5
+    ), ende AS (
+      SELECT v.b, min((v.runde, v.rang)) AS o FROM visit v JOIN known k ON v.b = k.b AND (v.runde, v.rang) >= (k.runde, k.rang) WHERE v.i % 7 = 3 GROUP BY 1
+    ), seen AS (SELECT v.*, 'https://h' || v.b || '.example/' || CASE WHEN i % 7 = 3 THEN i || '/Meta/Inhaltsverzeichnis/' ELSE '' END AS base FROM visit v LEFT JOIN ende e ON v.b = e.b WHERE e.b IS NULL OR (v.runde, v.rang) <= e.o
+    ), named AS (
+      SELECT b, runde, rang, i % 11 + 1 AS nr, false AS vorschalt, base || 'n' || i || '.html' AS url, '§ ' || (i % 11 + 1) || ' Seite ' || i AS titel FROM seen WHERE i % 3 = 0
+      UNION ALL SELECT b, runde, rang, unnest(range(i % 9 + 1, i % 9 + 5)), true, base || 'v' || i || '.html', 'Vor §§ ' || (i % 9 + 1) || ' bis ' || (i % 9 + 4) FROM seen WHERE i % 5 = 1
+    )
+    SELECT b AS abk, nr::VARCHAR AS nr, vorschalt, url, titel FROM (SELECT DISTINCT ON (b, nr, vorschalt) * FROM named ORDER BY b, nr, vorschalt, runde, rang)"""
+)
+def src06_section_map(spark, sf_dir):
+    """The section map of every handbook of a site over all pages, in the order of the crawl."""
+    return crawl.section_map(crawl.crawl(*handbook_site(spark, sf_dir), staged))
+
+
 @query("SELECT s_suppkey, seq, url FROM (SELECT s_suppkey, generate_subscripts(l, 1) - 1 AS seq, unnest(l) AS url FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN [p || 'Meta/Inhaltsverzeichnis/inhalt.html', p || 'Meta/Inhaltsuebersicht/inhalt.html', q || 'Meta/Inhaltsverzeichnis/inhalt.html', q || 'Meta/Inhaltsuebersicht/inhalt.html', p || 'start.html'] ELSE [p || 'Meta/Inhaltsverzeichnis/inhalt.html', p || 'Meta/Inhaltsuebersicht/inhalt.html'] END AS l FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'https://ao.bundesfinanzministerium.de/' ELSE 'https://x.example/' END || s_nationkey || '/' AS p, 'https://amtliche-handbuecher.bundesfinanzministerium.de/' || s_nationkey || '/' AS q FROM supplier)))")
 def src06_set06_start_pages(spark, sf_dir):
     """Where the crawl of each handbook begins."""

@@ -236,16 +236,6 @@ def test_links_are_resolved(spark):
     assert got == [(own, "https://h.de/AO/2024-2025/q.html"), (own, "https://h.de/ao/2024/p1.html"), (own, "https://h.de/x/y/b.html"), ("https://h.de/z/t.html", "https://h.de/z/ao/24/p.html")]
 
 
-def test_the_crawl_of_a_handbook(spark):
-    links = spark.createDataFrame([("https://h/Meta/Inhaltsverzeichnis/inhalt.html", k, f"https://h/{k}.html", f"§ {k}") for k in range(1, 6)] + [("https://h/a.html", 0, "https://h/b.html", "§ 9"), ("https://h/a.html", 1, "https://h/c.html", "Vor §§ 3 bis 5"), ("https://h/b.html", 0, "https://h/d.html", "Vor § 4")], "von string, seq int, nach string, beschriftung string")
-    assert [r["von"] for r in crawl.overview_suffices(links).collect()] == ["https://h/Meta/Inhaltsverzeichnis/inhalt.html"]
-    found = {(r["nr"], r["vorschalt"]): r["url"] for r in crawl.section_map(links).collect()}
-    assert found["9", False] == "https://h/b.html" and found["4", True] == "https://h/c.html" and found["3", False] == "https://h/3.html"
-    edges = links.select("von", "nach")
-    rounds = {r["url"]: r["runde"] for r in crawl.reachable(edges, spark.createDataFrame([("https://h/a.html",)], "url string"), lambda df: df.cache()).collect()}
-    assert rounds == {"https://h/a.html": 0, "https://h/b.html": 1, "https://h/c.html": 1, "https://h/d.html": 2}
-
-
 def test_quoted_passages_of_evidence(spark):
     texts = spark.createDataFrame([("x", "1", "f", "Ein Text mit der Stelle darin."), ("x", "1", "leer", None)], "abk string, norm_id string, fundstelle string, belegtext string")
     probes = spark.createDataFrame([("x", "1", "f", 0, "stuetzt", " mit der Stelle "), ("x", "1", "f", 1, None, "nicht im Text zu finden"), ("x", "1", "leer", 2, "stuetzt", "mit der Stelle"), ("x", "1", "fehlt", 3, "stuetzt", "")], "abk string, norm_id string, fundstelle string, i int, urteil string, stelle string")
