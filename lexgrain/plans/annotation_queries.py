@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import escape_html
 from ..operators import merging, schema_tree, segmentation, syntax
-from ..sources import crawl, sinks
-from ..sources.staging import staged
+from ..sources import crawl, sinks, versions
+from ..sources.staging import new_path, staged
 from .registry import query, spread, table
 
 
@@ -132,3 +132,14 @@ def snk01_register(spark, sf_dir):
     """The documents of each language as the register of a statute."""
     n = table(spark, sf_dir, "documents").select(F.col("lang").alias("abk"), F.col("doc_id").alias("norm_seq"), F.col("doc_id").cast("string").alias("norm_id"), F.col("source").alias("enbez"), F.lit("").alias("titel"))
     return sinks.register(n).select("abk", "teil", "anzahl", F.size("normen").cast("long").alias("normen"), F.get("normen", F.lit(0))["id"].alias("erste"))
+
+
+@query("SELECT lang AS abk, doc_id::VARCHAR AS norm_id, md5(coalesce(text, '') || CASE WHEN lang < 'en' THEN '+' ELSE '' END) AS text_hash, CASE WHEN lang < 'en' THEN 2 ELSE 1 END AS lauf FROM documents")
+def snk02_snk03_versions(spark, sf_dir):
+    """Documents published by language, then again with changed texts in one of them; only those are done anew."""
+    norms = table(spark, sf_dir, "documents").select(F.col("lang").alias("abk"), F.col("doc_id").cast("string").alias("norm_id"), F.coalesce("text", F.lit("")).alias("text"))
+    norms = [norms.select("abk", "norm_id", F.md5(F.concat("text", x).cast("binary")).alias("text_hash")) for x in (F.lit(""), F.when(F.col("abk") < "en", "+").otherwise(""))]
+    store = versions.Published(spark, new_path(spark, "published"), "abk string, norm_id string, text_hash string, lauf int")
+    for k, rows in enumerate(norms):
+        versions.run(rows, lambda df, k=k: df.withColumn("lauf", F.lit(k + 1)), store, waves=2)
+    return store.read()

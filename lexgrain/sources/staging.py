@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 @cache
@@ -15,15 +15,19 @@ def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
-def staged(df: DataFrame, label: str = "stage") -> DataFrame:
-    """df written to the folder that the cluster names in spark.checkpoint.dir, and read back: the plan is cut there.
+def new_path(spark: SparkSession, label: str) -> str:
+    """A new folder in the one that the cluster names in spark.checkpoint.dir.
 
-    Where it is unset, a temporary folder serves a session on one machine; on a cluster that is an error.
+    Where that is unset, a temporary folder serves a session on one machine; on a cluster that is an error.
     """
-    found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not found and not df.sparkSession.conf.get("spark.master", "local").startswith("local"):
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    base = (found or _own_dir()).rstrip("/")
-    path = f"{base}/{label}-{uuid.uuid4().hex}"
+    return f"{(found or _own_dir()).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, label: str = "stage") -> DataFrame:
+    """df written to a new folder and read back: the plan is cut there."""
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
