@@ -82,6 +82,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     words has (word, n), each word once, of SHORTEST letters or more.
     """
     rank = bigram_order(words)
+    words = words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")  # a word list has few files, and each word many keys
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
