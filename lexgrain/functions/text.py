@@ -87,11 +87,13 @@ def code_point(c: Column) -> Column:
 
 
 def numeric_entities(c: Column) -> Column:
-    """Decimal and hexadecimal character references of up to six digits, decoded; what is no character stays."""
-    pattern = r"&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,6});"
+    """Decimal and hexadecimal character references of any length, decoded; what is no character stays."""
+    pattern = r"&#([xX][0-9a-fA-F]+|[0-9]+);"
 
     def one(x: Column) -> Column:
-        digits = F.when(F.startswith(F.lower(x), F.lit("x")), F.substring(x, 2, 6)).otherwise(F.conv(x, 10, 16))
+        bare = lambda c, most: F.when(F.length(c) <= most, c)
+        hexadecimal, decimal = (sub(c, r"\A0+(?=.)", "") for c in (F.substring(x, 2, 2**31 - 1), x))
+        digits = F.when(F.startswith(F.lower(x), F.lit("x")), bare(hexadecimal, 6)).otherwise(F.conv(bare(decimal, 7), 10, 16))
         return F.coalesce(let(digits, code_point), F.concat(F.lit("&#"), x, F.lit(";")))
 
     def woven(c: Column, pieces: Column, decoded: Column) -> Column:

@@ -14,7 +14,7 @@ from .registry import LINES, S, query, span_text, squash, table, trim
 from .text_queries import TIME, lines
 
 _KIND = "CASE lang WHEN 'en' THEN 'tb' WHEN 'de' THEN 'rf' WHEN 'fr' THEN 'ausn' ELSE 'def' END"
-_CLAUSES = f"SELECT doc_id, lang, (doc_id * 100000000000 + seq * 100000 + generate_subscripts(c, 1))::BIGINT AS stelle, unnest(c) AS text FROM (SELECT doc_id, lang, seq, string_split_regex(line, '[.,;:!?]') AS c FROM ({LINES}))"
+_CLAUSES = f"SELECT doc_id, lang, (doc_id, seq, generate_subscripts(c, 1)) AS stelle, unnest(c) AS text FROM (SELECT doc_id, lang, seq, string_split_regex(line, '[.,;:!?]') AS c FROM ({LINES}))"
 _SPANS = f"SELECT doc_id, stelle, {_KIND} AS art, text, (length(text) % 100) / 100.0 AS konfidenz FROM ({_CLAUSES}) WHERE regexp_matches(text, '[A-Za-z]')"
 _KEYED = f"SELECT * FROM (SELECT *, {trim(squash('''regexp_replace(regexp_replace(lower(text), '\\b\\d[\\d.,]*\\b', '#', 'g'), '[„\"»«(),;:.]', ' ', 'g')'''))} AS schluessel FROM ({_SPANS})) WHERE len(string_split(schluessel, ' ')) BETWEEN 2 AND 8"
 _COUNTS = f"""SELECT schluessel, count(*) FILTER (art = 'tb') AS tb, count(*) FILTER (art = 'rf') AS rf, count(*) FILTER (art = 'ausn') AS ausn, min_by(text, stelle) AS wendung FROM ({_KEYED}) GROUP BY schluessel"""
@@ -26,8 +26,7 @@ def spans(spark, sf_dir):
     """The clauses of all lines, between punctuation marks, labelled by the language of the document."""
     kind = F.when(F.col("lang") == "en", "tb").when(F.col("lang") == "de", "rf").when(F.col("lang") == "fr", "ausn").otherwise("def")
     clauses = lines(spark, sf_dir).select("doc_id", "lang", F.col("seq").cast("long").alias("zeile"), F.posexplode(F.split("line", "[.,;:!?]", -1)).alias("k", "text")).where(F.col("text").rlike("[A-Za-z]"))
-    order = F.col("doc_id") * 100_000_000_000 + F.col("zeile") * 100_000 + F.col("k") + 1
-    return clauses.select("doc_id", order.alias("seq"), kind.alias("art"), "text", ((F.length("text") % 100) / F.lit(100.0)).alias("konfidenz"))
+    return clauses.select("doc_id", F.struct("doc_id", "zeile", "k").alias("seq"), kind.alias("art"), "text", ((F.length("text") % 100) / F.lit(100.0)).alias("konfidenz"))
 
 
 @query(f"SELECT schluessel, wendung, tb, rf, ausn, gesamt, mehrheit, count(*) AS ausreisser, min(konfidenz) AS min_konfidenz FROM ({_FOUND}) f JOIN ({_KEYED}) k USING (schluessel) WHERE art <> mehrheit GROUP BY ALL")
@@ -43,13 +42,9 @@ def ag01_phrase_counts(spark, sf_dir):
 
 @query(f"SELECT count(*) AS wendungen, (SELECT count(*) FROM ({_FOUND}) f JOIN ({_KEYED}) k USING (schluessel) WHERE art <> mehrheit) AS verdaechtig, 4 AS min, 0.8::DOUBLE AS quote FROM ({_COUNTS})")
 def snk05_consistency_totals(spark, sf_dir):
-    keyed = consistency.with_keys(spans(spark, sf_dir))
-    counts = consistency.phrase_counts(keyed)
-    odd = consistency.findings(counts).agg(F.sum(F.col("gesamt") - F.greatest("tb", "rf", "ausn")).alias("n"))
-    other = consistency.outliers(keyed.where("art = 'def'"), consistency.findings(counts)).agg(F.count("*").alias("m"))
-    total = counts.agg(F.count("*").alias("wendungen"))
-    row = total.unionByName(odd.select("n"), allowMissingColumns=True).unionByName(other.select("m"), allowMissingColumns=True)
-    return row.agg(F.max("wendungen").alias("wendungen"), (F.coalesce(F.max("n"), F.lit(0)) + F.coalesce(F.max("m"), F.lit(0))).alias("verdaechtig"), F.lit(4).alias("min"), F.lit(0.8).alias("quote"))
+    counts = consistency.phrase_table(consistency.with_keys(spans(spark, sf_dir)))
+    odd = F.sum(F.when(consistency.is_finding(), consistency.n_outliers()))
+    return counts.agg(F.count("*").alias("wendungen"), F.coalesce(odd, F.lit(0)).alias("verdaechtig"), F.lit(4).alias("min"), F.lit(0.8).alias("quote"))
 
 
 # Windows -------------------------------------------------------------------------------------------------------
@@ -85,7 +80,8 @@ def wn04_anchors(spark, sf_dir):
     from ..operators.segmentation import anchors
 
     parts = F.split("text", "\n", -1)
-    placed = table(spark, sf_dir, "documents").withColumn("zeilen", parts).withColumn("orte", anchors(F.transform("zeilen", lambda x: F.concat(x, F.lit("\n"))), F.concat("text", F.lit("\n"))))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(parts, lambda x: F.concat(x, F.lit("\n"))).alias("zeilen"), F.concat("text", F.lit("\n")).alias("ganz"))
+    placed = rows.withColumn("orte", anchors(F.col("zeilen"), F.col("ganz")))
     return placed.select("doc_id", F.posexplode("orte").alias("seq", "o")).select("doc_id", F.col("seq").cast("long").alias("seq"), F.col("o.von").cast("long").alias("von"), (F.col("o.bis") - 1).cast("long").alias("bis"))
 
 

@@ -2,12 +2,14 @@
 
 import random
 import re
+import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from lexgrain.functions import text as T
 from lexgrain.functions import words
-from lexgrain.operators import audit, evaluation, evidence, merging, relational, schema_tree, segmentation, syntax, validation
+from lexgrain.operators import audit, consistency, evaluation, evidence, merging, relational, schema_tree, segmentation, syntax, validation
 from lexgrain.sources import crawl, documents, schemas, statute_xml
 
 def wage(period: str, part: str, marks: str, last: str) -> str:
@@ -305,3 +307,50 @@ def test_matching_against_brute_force(spark):
                 wanted.add((x[2], y[2]))
                 break
     assert {(r["g_seq"], r["p_seq"]) for r in evaluation.match(g, p).collect()} == wanted
+
+
+def test_anchors_and_ordinals_of_a_long_norm(spark):
+    """The same rows as a plain search and count, in time that grows with the norm's length."""
+    def brute(norm):
+        whole, at, out, seen = norm["volltext"], 0, [], Counter()
+        for u in norm["einheiten"]:
+            i = whole.find(u["text"], at)
+            out.append((i, i + len(u["text"])) if i >= 0 else (None, None))
+            at = out[-1][1] if i >= 0 else at
+        return out
+
+    took = {}
+    for n in (2_000, 20_000, 60_000):
+        text = " ".join(f"Der Satz {k % 7} gilt für Fall {k}." for k in range(n))
+        lists = "".join(f'Vorspann {k} gilt. <dl class="gl"><dt>1.</dt><dd>Eintrag {k} gilt.</dd></dl>' for k in range(40))
+        norms = spark.createDataFrame([("x", "1", "", [("1", text), ("2", lists)])], "abk string, norm_id string, titel string, abs array<struct<n:string,html:string>>")
+        began = time.time()
+        norm = segmentation.segment(norms).first()
+        took[n] = time.time() - began
+        assert len(norm["einheiten"]) == n + 80 and [(u["von"], u["bis"]) for u in norm["einheiten"]] == brute(norm)
+        paths = [u["pfad"] for u in norm["einheiten"]]
+        assert len(set(paths)) == len(paths) and paths[-2:] == ["Abs. 2 Satz 1 (Teil 40)", "Abs. 2 Nr. 1 (Teil 40)"]
+    assert took[60_000] < 10 * took[20_000] + 5
+
+
+def test_places_of_missing_and_repeated_texts():
+    from lexgrain.operators.segmentation import places
+
+    assert places(["ab", "fehlt", "ab", "fehlt", "ab", "zz"], "ab ab xx ab zz") == [0, None, 3, None, 9, 12]
+    assert places([], "a") == [] and places(["a"], "") == [None] and places(["𝄞x", "ä"], "𝄞x ä") == [0, 3]
+
+
+def test_phrases_of_large_documents(spark):
+    """Document numbers, lines and clauses of any size order the examples; other kinds and null kinds."""
+    rows = [(10**9 * k, 10**7, 10**6 + k, art, text, 0.1 * k) for k, (art, text) in enumerate([("tb", "eine Wendung"), ("rf", "EINE Wendung"), *[("rf", "eine  Wendung")] * 5, ("def", "Eine Wendung"), (None, "eine Wendung")], 1)]
+    df = spark.createDataFrame(rows, "doc_id long, zeile long, k long, art string, text string, konfidenz double").withColumn("seq", F.struct("doc_id", "zeile", "k"))
+    got = consistency.report(df).collect()
+    assert [(r["wendung"], r["tb"], r["rf"], r["gesamt"], r["mehrheit"], r["ausreisser"], round(r["min_konfidenz"], 6)) for r in got] == [("eine Wendung", 1, 6, 7, "rf", 2, 0.1)]
+    odd = consistency.outliers(consistency.with_keys(df), consistency.findings(consistency.phrase_table(consistency.with_keys(df))))
+    assert odd.count() == got[0]["ausreisser"] and consistency.report(df.limit(0)).count() == 0
+
+
+def test_character_references_of_any_length(spark):
+    texts = ["&#1114111;", "&#0000228;", "&#x000000E4;", "&#1114112;", "&#x00110000;", "&#99999999999999999999;", "&#0;x", "&#xD800;"]
+    got = [r["x"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.decode_entities(F.col("t")).alias("x")).collect()]
+    assert got == ["\U0010ffff", "ä", "ä", "&#1114112;", "&#x00110000;", "&#99999999999999999999;", "\x00x", "&#xD800;"]
