@@ -27,11 +27,13 @@ BLOCK_HITS = 1 << 20
 class Budget:
     """An item of m characters may differ by rate * m edits, or as many as leave it a shared q-gram, if that is less.
 
-    An item that may not differ at all, being short, must stand at word boundaries.
+    A place counts wherever it is, within words too; with whole_words only where no word character of the plain text
+    adjoins it, whatever the item's length. Scripts without spaces have no such places inside a sentence.
     """
 
     q: int = 9
     rate: float = 0.08
+    whole_words: bool = False
 
     def edits(self, m: int) -> int:
         return max(0, min(int(self.rate * m), (m - self.q) // self.q))
@@ -110,17 +112,17 @@ def banded_alignment(item: str, text: str, low: int, high: int, budget: int) ->
 
 
 class Index:
-    """Benchmark items by their q-grams; items without any, of less than q characters, by their words."""
+    """Benchmark items by their q-grams; items of less than q characters by themselves, by length."""
 
     def __init__(self, items: list[tuple[int, str]], budget: Budget):
-        self.budget, self.items, self.short = budget, [], {}
+        self.budget, self.items, by_length = budget, [], {}
         for number, text in items:
             words = plain(text)
             if len(words) >= budget.q:
                 self.items.append((number, words))
             elif words:
-                self.short.setdefault(words, []).append(number)
-        self.short_sizes = sorted({len(w.split()) for w in self.short})
+                by_length.setdefault(len(words), {}).setdefault(words, []).append(number)
+        self.short = {n: (of, np.sort([gram_hashes(w, n)[0] for w in of])) for n, of in by_length.items()}
         hashes = [gram_hashes(t, budget.q) for _, t in self.items]
         which = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes] or [np.empty(0, int)])
@@ -161,45 +163,47 @@ class Index:
             width = int(self.width[item])
             yield item, band * width, (band + 2) * width - 1
 
-    def short_places(self, text: str) -> Iterator[tuple[int, int, int, int]]:
-        words = text.split()
-        starts = np.r_[0, np.cumsum([len(w) + 1 for w in words])].tolist()
-        for size in self.short_sizes:
-            for i in range(len(words) - size + 1):
-                for number in self.short.get(" ".join(words[i : i + size]), ()):
-                    yield number, 0, starts[i], starts[i + size] - 1
+    def short_places(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(item number, start, end) of each place of an item of less than q characters."""
+        for n, (of, hashes) in self.short.items():
+            grams = gram_hashes(text, n)
+            at = np.searchsorted(hashes, grams)
+            for i in np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] == grams).tolist():
+                for number in of.get(text[i : i + n], ()):
+                    yield number, i, i + n
+
+    def counts(self, text: str, start: int, end: int) -> bool:
+        return not self.budget.whole_words or text[start - 1 : start] in ("", " ") and text[end : end + 1] in ("", " ")
 
     def find(self, text: str) -> Iterator[tuple[int, int, int, int]]:
         """(item number, edits, start, end) of each place of an item in text; of places that overlap, the one with the least edits."""
-        if self.short:
-            yield from self.short_places(text)
         places: dict[int, set[tuple[int, int, int]]] = {}
+        for number, start, end in self.short_places(text):
+            places.setdefault(number, set()).add((0, start, end))
         for item, low, high in self.regions(text):
-            words = self.items[item][1]
+            number, words = self.items[item]
             budget = self.budget.edits(len(words))
             start = max(0, low - budget)
             piece = text[start : high + len(words) + budget + 1]
-            if not budget:  # few diagonals, and a place counts only at word boundaries
-                whole = (d for d in range(max(0, low), high + 1) if text.startswith(words, d) and text[d - 1 : d] in ("", " ") and text[d + len(words) : d + len(words) + 1] in ("", " "))
-                places.setdefault(item, set()).update((0, d, d + len(words)) for d in whole)
+            if not budget:
+                places.setdefault(number, set()).update((0, d, d + len(words)) for d in range(max(0, low), high + 1) if text.startswith(words, d))
             elif found := banded_alignment(words, piece, low - start, high - start, budget):
-                places.setdefault(item, set()).add((found[0], found[1] + start, found[2] + start))
-        for item, found_at in places.items():
+                places.setdefault(number, set()).add((found[0], found[1] + start, found[2] + start))
+        for number, found_at in places.items():
             kept: list[tuple[int, int, int]] = []  # by start; none overlaps another
-            for edits, start, end in sorted(found_at):
+            for edits, start, end in sorted(x for x in found_at if self.counts(text, x[1], x[2])):
                 k = bisect_left(kept, (start,))
                 if (k == 0 or kept[k - 1][1] <= start) and (k == len(kept) or end <= kept[k][0]):
                     kept.insert(k, (start, end, edits))
             for start, end, edits in kept:
-                yield self.items[item][0], edits, start, end
+                yield number, edits, start, end
 
 
-_FOUND = "array<struct<item_id:long,edits:int,start:int,end:int>>"
 
 
 def _blocks(benchmark: DataFrame) -> tuple[DataFrame, int]:
     """The items with text and the block of each, and the number of blocks."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("length(text) > 0")
+    items = benchmark.select("item_id", "text").where("length(text) > 0")
     chars = items.agg(F.sum(F.length("text") + ITEM_CHARS)).first()[0] or 0
     n_blocks = max(1, -(-chars // BLOCK_CHARS))
     return items.withColumn("block", F.pmod(F.xxhash64("text", "item_id"), F.lit(n_blocks))), n_blocks
@@ -210,7 +214,7 @@ def _finder(items: DataFrame, block: int, budget: Budget) -> tuple:
     rows = [(r["item_id"], r["text"]) for r in items.where(F.col("block") == block).collect()]
     own = items.sparkSession.sparkContext.broadcast(rows)
 
-    @F.pandas_udf(_FOUND)
+    @F.pandas_udf(f"array<struct<item_id:{items.schema['item_id'].dataType.simpleString()},edits:int,start:int,end:int>>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = Index([(k, t) for k, (_, t) in enumerate(own.value)], budget)
         for batch in batches:
@@ -223,9 +227,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """(id, item_id, edits, start, end) for each place of a benchmark item (item_id, text) in a text of docs.
 
     Edits, start and end count characters of the text in plain form: lower case, words only, single spaces. Items of
-    any length are found; the short ones, which the budget grants no edit, as whole words only (an item of one common
-    word is held by every text with it). Of overlapping places of an item that with the least edits counts. Null
-    and empty texts and items hold and match nothing. Repeated rows of docs give repeated rows; repeated items
+    any length are found wherever they stand, within words too, so an item of a few letters is held by very many texts:
+    leave such items out, or ask for whole_words. Of overlapping places of an item that with the least edits counts, the
+    first on ties. item_id keeps its type. Null and empty texts and items hold and match nothing. Repeated rows of docs give repeated rows; repeated items
     count one by one. Null ids stay null. Empty tables give an empty result. Other columns are ignored.
 
     The benchmark is a query set: it is held against all documents in blocks of about BLOCK_CHARS characters. One
