@@ -5,7 +5,9 @@ import math
 import random
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -474,43 +476,106 @@ def test_marks_never_hide_the_article(page, text):
     assert html_text.main_text(page) == text
 
 
-def test_windows_decide_on_marked_pages_too():
-    link = "<li><a href=x>Mehr davon</a>"
-    assert html_text.main_text(f"<article><p>a<p>b<ul>{link * 3}</ul></article>") == "a\nb"
-    assert html_text.main_text(f"<article><p>a<p>b<ul>{link * 3}</ul></article>", html_text.Windows(lines=4)) == "a\nb" + "\nMehr davon" * 3
-    assert html_text.main_text(f"<article><p>a<ul>{link * 2}</ul><p>b</article>") == "a\nMehr davon\nMehr davon\nb"
-    assert html_text.main_text(f"<article>Kurz</article><div>{LONG}</div><div>{LONG}</div>") == f"Kurz\n{LONG}\n{LONG}"  # the marked part holds too little
-
-
-def brute_between(lines, windows):
-    """Line by line from the definitions: no running sums, no indices kept."""
-    inside = [x for x in lines if x.inside]
-    trusted = bool(inside) and sum(x.weight for x in inside) >= windows.trust * sum(x.weight for x in lines)
-    lines = inside if trusted else lines
-    n, w = len(lines), windows.lines
-
-    def passes(i, least):
-        return sum(lines[k].weight for k in range(i, min(n, i + w))) > least
-
-    def dives(k):
-        return any(0 <= i and i + w <= n and not passes(i, 0) for i in range(k - w + 1, k + 1))
-
-    if trusted:
-        return [x for k, x in enumerate(lines) if not dives(k)] if any(x.weight for x in lines) else lines
-    surges = [i for i in range(n) if passes(i, windows.surge)]
-    if not surges:
-        return [x for x in lines if x.weight]
-    heavy = [k for k in range(n) if lines[k].weight]
-    first, last = min(k for k in heavy if k >= surges[0]), max(k for k in heavy if surges[-1] <= k < surges[-1] + w)
-    return [x for k, x in enumerate(lines) if first <= k <= last and not dives(k)]
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><div class="content search">text</div></article>', "text"),
+        ('<article><p>a b c</p><div class="alert"><p>Achtung Text</p></div></article>', "a b c\nAchtung Text"),
+        (f"<article><p>x</p><ul>{'<li><a href=x>Ref</a>' * 4}</ul></article>", "x" + "\nRef" * 4),
+        (f"<h1>Titel</h1><p>Von A</p><p>1. Mai</p><p>{LONG}</p><p>{LONG}</p><p>Ende.</p><p>Kurz.</p><p>Schluss.</p><p>Z.</p>", f"Titel\nVon A\n1. Mai\n{LONG}\n{LONG}\nEnde.\nKurz.\nSchluss.\nZ."),
+        ("<div>Home</div><p>Kurztext.</p>", "Kurztext."),
+        (f"<article>Kurz</article><div>{LONG}</div><div>{LONG}</div>", f"Kurz\n{LONG}\n{LONG}"),  # the article holds too little to rule the rest out
+        (f"<article><p>{LONG * 9}</p></article><div>{LONG}</div><div>{LONG}</div>", LONG * 9),
+        (f"<article><p>a</p><div class=comments>{'<p>' + LONG * 1 + '</p>'}</div><p>{LONG * 3}</p><p>z</p></article>", f"a\n{LONG * 3}\nz"),
+        (f"<p>{LONG}</p>{'<div><a href=x>Mehr</a></div>' * 4}<p>{LONG}</p>", f"{LONG}\n{LONG}"),  # a dive between two stretches
+        ("<nav>a</nav><footer>b</footer>", ""),
+    ],
+)
+def test_windows_judge_every_page(page, text):
+    assert html_text.main_text(page) == text
 
 
-def test_surge_and_dive_against_brute_force():
+def brute_kept(lines, windows):
+    """Line by line from the definitions, each window summed anew."""
+    n, k = len(lines), windows.lines
+    chars = [len(x.text) if x.inside else (len(x.text) - x.linked if x.linked * 2 <= len(x.text) else 0) for x in lines]
+    share = sum(c for c, x in zip(chars, lines) if x.inside) / (sum(chars) or 1)
+    w = [c + windows.surge if x.inside and c else c * (1 if x.inside else (1 - share) ** 2) for c, x in zip(chars, lines)]
+    of = [range(i, min(n, i + k)) for i in range(n)]
+    total = [sum(w[j] for j in window) for window in of]
+    least = min(windows.surge, max(total, default=0) / 2)
+    dives = [any(i in of[a] and len(of[a]) == k and total[a] <= windows.dive * least for a in range(n)) for i in range(n)]
+    surges = [not dives[i] and any(i in of[a] and total[a] > least and (w[i] > windows.surge or all(2 * w[i] >= w[j] for j in of[a])) for a in range(n)) for i in range(n)]
+
+    def between(i):
+        before = next((j for j in range(i, -1, -1) if surges[j] or dives[j]), None)
+        after = next((j for j in range(i, n) if surges[j] or dives[j]), None)
+        return before is not None and after is not None and surges[before] and surges[after]
+
+    kept = [surges[i] or not dives[i] and between(i) for i in range(n)]
+    for step in (1, -1):  # what belongs to an edge, spreading outwards
+        for i in range(n) if step == 1 else range(n - 1, -1, -1):
+            j = i - step
+            if 0 <= j < n and kept[j] and not kept[i] and not dives[i] and w[i] > 0 and lines[i].inside == lines[j].inside and (lines[i].prose or lines[i].inside):
+                kept[i] = True
+    return [x for x, keep in zip(lines, kept) if keep and x.text]
+
+
+def test_windows_against_brute_force():
     draw = random.Random(21)
-    for _ in range(500):
-        lines = [html_text.Line("x" * (n := draw.choice([3, 20, 60, 200])), draw.choice([0, 0, n]), draw.random() < 0.4) for _ in range(draw.randrange(0, 14))]
-        windows = html_text.Windows(lines=draw.choice([1, 2, 3, 5]), surge=draw.choice([0, 80, 150]))
-        assert html_text.between_surge_and_dive(lines, windows) == brute_between(lines, windows)
+    for _ in range(3000):
+        article = draw.choice([0, 0.4, 0.9])
+        lines = [html_text.Line("x" * (n := draw.choice([0, 3, 20, 60, 200])), draw.choice([0, 0, n]), draw.random() < article, draw.random() < 0.5) for _ in range(draw.randrange(0, 14))]
+        windows = html_text.Windows(lines=draw.choice([1, 2, 3, 5]), surge=draw.choice([10, 80, 150]))
+        assert html_text.between_surge_and_dive(lines, windows) == brute_kept(lines, windows)
+
+
+class Blocks(HTMLParser):
+    """The lines of a simple page: well formed but for open paragraphs and bold; menus, footers and adverts sunk."""
+
+    def __init__(self):
+        super().__init__()
+        self.lines, self.now, self.open = [], [], []
+
+    def flush(self):
+        if any(t.strip() for t, *_ in self.now):
+            kept = [x for x in self.now if not x[2]]
+            self.lines.append(html_text.Line(" ".join("".join(t for t, *_ in kept).split()), sum(len(t) for t, link, *_ in kept if link), any(x[3] for x in kept), any(x[4] for x in kept)))
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "div", "br", "li", "ul", "h1", "article", "nav", "footer", "body", "html", "head"):
+            self.flush()
+        if tag in ("p", "div", "h1", "li", "ul", "article", "footer") and "p" in self.open:
+            del self.open[self.open.index("p") :]
+        if tag not in ("br", "meta"):
+            self.open.append("ad" if dict(attrs).get("class") == "ad" else tag)
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "div", "li", "ul", "h1", "article", "nav", "footer", "body", "html", "head"):
+            self.flush()
+        tag = tag if tag in self.open else "ad"
+        if tag in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        if not {"title", "style", "script"} & set(self.open):
+            self.now.append((data, "a" in self.open, bool({"nav", "footer", "ad"} & set(self.open)), "article" in self.open, bool({"p", "h1"} & set(self.open))))
+
+
+def test_main_text_of_whole_tables_by_another_parser():
+    for sf in ("sf0.001", "sf0.01"):
+        for page_id, page in duckdb.sql(f"select page_id, html from '/root/testdata/{sf}/pages.parquet'").fetchall():
+            blocks = Blocks()
+            blocks.feed(page or "")
+            blocks.close(), blocks.flush()
+            assert html_text.main_text(page) == "\n".join(x.text for x in brute_kept(blocks.lines, html_text.Windows())), page_id
+
+
+def test_a_very_long_page_and_an_empty_table(spark):
+    page = "<nav><a href=x>m</a></nav><article>" + f"<p>{LONG}</p>" * 20000 + "<div>" * 5000 + "tief</article>"
+    assert html_text.main_text(page) == "\n".join([LONG] * 20000 + ["tief"])
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 def test_extract_frame(spark):
