@@ -20,24 +20,13 @@ TEMPLATES = {
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     "Apache-1.1 line": "Licensed under the Apache License, Version 1.1.",
     "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
-    "AGPL-3.0 line": "This work is licensed under the GNU Affero General Public License, version 3.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "CC-BY-3.0 line": "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
-    "CC-BY-4.0 line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-4.0 short line": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0 line": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    "CC-BY-NC-4.0 short line": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-NC-ND-4.0 line": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
-    "CC-BY-NC-SA-4.0 line": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
-    "CC-BY-ND-4.0 line": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
-    "CC-BY-SA-4.0 line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "CC-BY-SA-4.0 short line": "Licensed under CC BY-SA 4.0.",
-    "GPL-2.0 line": "This work is licensed under the GNU General Public License, version 2.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "GPL-2.0-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2.",
     "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3.",
     "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "LGPL-2.1 line": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
-    "LGPL-3.0 line": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "MIT line": "Released under the MIT License.",
@@ -45,9 +34,21 @@ TEMPLATES = {
 }
 
 
-# Words that tell licenses apart which are alike otherwise, and words that a version number follows.
-TELLING = frozenset("affero agpl apache attribution bsd by cc commons creative eclipse gnu gpl isc lesser lgpl mit mozilla mpl nc nd noderivatives noderivs noncommercial sa sharealike unlicense".split())
-BEFORE_VERSION = TELLING | frozenset("license licence version v public".split())
+for _name, _of, _versions in (("GPL", "General", ("1", "2", "3")), ("LGPL", "Lesser General", ("2.1", "3")), ("AGPL", "Affero General", ("3",))):
+    TEMPLATES |= {f"{_name}-{v if '.' in v else v + '.0'} line": f"This work is licensed under the GNU {_of} Public License, version {v}." for v in _versions}
+for _short, _long in (("", ""), ("-NC", "-NonCommercial"), ("-NC-ND", "-NonCommercial-NoDerivatives"), ("-NC-SA", "-NonCommercial-ShareAlike"), ("-ND", "-NoDerivatives"), ("-SA", "-ShareAlike")):
+    for _version, _where in (("1.0", "Generic"), ("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
+        TEMPLATES[f"CC-BY{_short}-{_version} line"] = f"This work is licensed under a Creative Commons Attribution{_long} {_version} {_where} License."
+        TEMPLATES[f"CC-BY{_short}-{_version} short line"] = f"Licensed under CC BY{_short} {_version}."
+
+# Names that a place must have if its template has them; conditions that it must not have if the template
+# hasn't; what follows the names of a short form; words that a version number follows.
+NAMES = frozenset("agpl apache attribution bsd cc commons creative eclipse gnu gpl isc lgpl mit mozilla mpl unlicense".split())
+CONDITIONS = frozenset("affero agpl lesser lgpl noderivatives noderivs noncommercial sharealike".split())
+SHORT = frozenset("nc nd sa".split())
+BEFORE_VERSION = NAMES | CONDITIONS | SHORT | frozenset("license licence version v public".split())
+#: Phrases that tell, wherever they stand in a place.
+PHRASES = {("later", "version"): "or later", ("or", "later"): "or later", ("neither", "the", "name"): "no endorsement"}
 VERSION = re.compile(r"v?\d\d?(?:\.\d+)*")
 
 
@@ -55,8 +56,8 @@ VERSION = re.compile(r"v?\d\d?(?:\.\d+)*")
 class Scan:
     """Fingerprints are the least of each `window` neighbouring word n-grams; at most edit_rate of a template's words may differ.
 
-    A template whose matched words are less than min_coverage of it isn't reported, nor is one whose place has other
-    telling words: names, conditions and versions must be the same, whatever the coverage.
+    A place counts if min_coverage of the template's words match and the words that don't, in the longer of place and
+    template, are edit_rate of the template's at most; and if it agrees with it (see agrees()).
     """
 
     n: int = 3
@@ -92,11 +93,33 @@ def hash_of(gram: tuple) -> int:
     return value
 
 
-def told(words: list[str]) -> frozenset[str]:
-    """The names, conditions and versions in words; parts of a hyphenated word count one by one."""
+def told(words: list[str]) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
+    """Names, conditions and versions in words; parts of a hyphenated word count one by one.
+
+    "by" and the letters of conditions, which are everyday words too, count only in a row behind "cc"; phrases as a whole.
+    """
     parts = [p for w in words for p in w.split("-")]
-    versions = {p.lstrip("v").removesuffix(".0") for before, p in zip(["", *parts], parts, strict=False) if VERSION.fullmatch(p) and before in BEFORE_VERSION}
-    return frozenset(TELLING.intersection(parts) | versions)
+    names, conditions, versions, row = set(), set(), set(), False
+    for k, p in enumerate(parts):
+        before = parts[k - 1] if k else ""
+        if VERSION.fullmatch(p) and (before in BEFORE_VERSION - SHORT or row):
+            versions.add(p.lstrip("v").removesuffix(".0"))
+        row = p == "cc" or row and (p == "by" or p in SHORT)
+        if p in NAMES:
+            names.add(p)
+        if p in CONDITIONS or row and p in SHORT:
+            conditions.add(p)
+    conditions |= {name for phrase, name in PHRASES.items() if any(tuple(parts[k : k + len(phrase)]) == phrase for k in range(len(parts)))}
+    return frozenset(names), frozenset(conditions), frozenset(versions)
+
+
+def agrees(place: list[str], template: tuple[frozenset[str], frozenset[str], frozenset[str]]) -> bool:
+    """Whether a place tells of its template: it has its names, just its conditions and, if it has any, just its versions.
+
+    Other names in the place are edits like other words, and so are versions in a place of a template without one.
+    """
+    names, conditions, versions = told(place)
+    return names >= template[0] and conditions == template[1] and (not template[2] or versions == template[2])
 
 
 def banded_match(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
@@ -139,6 +162,11 @@ class Templates:
                 self.index[gram].append((name, place))
         self.sizes = {len(g) for g in self.index}
 
+    def accepts(self, name: str, matched: int, place: list[str]) -> bool:
+        """Whether a place with so many words matched is one of the template."""
+        size = len(self.words[name])
+        return matched >= self.scan.min_coverage * size and max(size, len(place)) - matched <= self.scan.edit_rate * size and agrees(place, self.told[name])
+
     def find(self, text: str | None) -> list[tuple[str, int, int, float, int, int]]:
         """(license, words matched, words of the template, coverage, start, end) of each place, in order of start.
 
@@ -175,7 +203,7 @@ class Templates:
                     if not match or match[0] < self.scan.min_coverage * size:
                         continue
                     first, last = start + match[1], start + match[2]
-                    if told(words[first:last]) == self.told[name]:
+                    if self.accepts(name, match[0], words[first:last]):
                         found.add((name, match[0], size, match[0] / size, places[first][0], places[last - 1][1]))
                     todo += [(start, first), (last, end)]
         kept: list[tuple] = []
@@ -189,8 +217,8 @@ class Templates:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, scan: Scan = Scan()) -> DataFrame:
     """(id, license, matched, words, coverage, start, end) for each place of a template in a text.
 
-    matched and words count words, of the place and of the template; start and end are character offsets. A place whose
-    names, conditions or versions (told()) aren't those of the template is none of it, however much of it is covered. Case,
+    matched and words count words, of the place and of the template; start and end are character offsets. A place that
+    doesn't agree with the template in names, conditions and versions is none of it, however much of it is covered. Case,
     punctuation and white space don't count. Null and empty texts and templates match nothing, null ids stay null,
     repeated rows give repeated rows, an empty table gives an empty one. Other columns are ignored.
 
