@@ -18,9 +18,11 @@ END = b"\r\n\r\n"
 LEAST_REVISIT, SEGMENT_BYTES, CHUNK_BYTES = 100, 16 * 1024, 4 * 1024
 #: Records of an archive file, so that a file is 32 MB at most before compression.
 FILE_RECORDS = 2000
+CHUNK_SIZE, WHOLE = re.compile(rb"[0-9a-fA-F]{1,12}"), re.compile(r"-?[0-9]+")
 PAGE_URN = re.compile(r"<urn:page:(-?\d*)")
 RECORD = "record_id string, type string, page_id long, url string, refers_to long, digest string, segment int, origin string, total long, block binary, problem string"
 PAYLOAD = "page_id long, url string, record_type string, refers_to long, digest string, stated_bytes long, payload binary, problem string"
+READ = PAYLOAD + ", segment int, origin string, record_id string, total long"
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -33,16 +35,30 @@ def unchunked(framed: bytes) -> bytes:
     """What chunked framing holds; chunk extensions and trailers are skipped."""
     out, at = [], 0
     while True:
-        end = framed.index(b"\r\n", at)
-        size = int(framed[at:end].split(b";")[0].strip() or b"0", 16)
+        end = framed.find(b"\r\n", at)
+        digits = framed[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not CHUNK_SIZE.fullmatch(digits):
+            raise ValueError("the size of a chunk is missing or wrong")
+        size = int(digits, 16)
         if size == 0:
             return b"".join(out)
         if len(framed) < end + 4 + size:
             raise ValueError("a chunk is cut off")
+        if framed[end + 2 + size : end + 4 + size] != b"\r\n":
+            raise ValueError("a chunk doesn't end where it says")
         out.append(framed[end + 2 : end + 2 + size])
         at = end + 4 + size
 
 
+def whole_number(x: str | None, bits: int = 64) -> int | None:
+    """A whole number of so many bits, sign included; nothing gives None, anything else is an error."""
+    if not x:
+        return None
+    if not WHOLE.fullmatch(x) or len(x) > 25 or not -(1 << bits - 1) <= int(x) < 1 << bits - 1:
+        raise ValueError("not a whole number in range")
+    return int(x)
+
+
 def archive_records(kind: str, head: str, record_id: str, payload: str | None, n_bytes: int) -> list[bytes]:
     """One record, or its segments if the block is large; each without the blank line that ends it."""
     if kind == "revisit":
@@ -123,7 +139,6 @@ def parse_archive(data: bytes) -> Iterator[tuple]:
     damage = None
     if data[:2] == b"\x1f\x8b":
         data, damage = inflated(data)
-    number = lambda x: int(x) if x else None
     at = data.find(b"WARC/1.")
     while at >= 0:
         end = data.find(END, at)
@@ -137,9 +152,9 @@ def parse_archive(data: bytes) -> Iterator[tuple]:
         start, record_id = end + len(END), fields.get("warc-record-id")
         page, other = PAGE_URN.match(record_id or ""), PAGE_URN.match(fields.get("warc-refers-to", ""))
         try:
-            kind, size, total = fields["warc-type"], int(fields["content-length"]), number(fields.get("warc-segment-total-length"))
-            page_id, refers_to, segment = number(page and page[1]), number(other and other[1]), number(fields.get("warc-segment-number"))
-            if size < 0:
+            kind, size, total = fields["warc-type"], whole_number(fields["content-length"]), whole_number(fields.get("warc-segment-total-length"))
+            page_id, refers_to, segment = whole_number(page and page[1]), whole_number(other and other[1]), whole_number(fields.get("warc-segment-number"), 32)
+            if size is None or size < 0:
                 raise ValueError
         except (KeyError, ValueError):
             yield record_id, fields.get("warc-type"), None, fields.get("warc-target-uri"), None, None, None, None, None, b"", "the header of the record is incomplete or wrong"
@@ -163,13 +178,15 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
 def payload_row(page_id, url, kind, refers_to, digest, block: bytes, problem: str | None = None) -> tuple:
     """A row of PAYLOAD from a whole record."""
     stated, payload = None, None
+    if not problem and kind == "revisit" and refers_to is None:
+        problem = "a revisit names no page"
     if not problem:
         head, _, body = block.partition(END)
         try:
             payload = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
         except ValueError as e:
             problem = str(e)
-        if found := re.search(rb"content-length:\s*(\d+)", head, re.I):
+        if found := re.search(rb"content-length:\s*(\d{1,18})(?!\d)", head, re.I):
             stated = int(found[1])
         if payload is not None and kind == "response" and digest and digest != "sha256:" + hashlib.sha256(payload).hexdigest():
             problem = "the payload is not that of its digest"
@@ -206,22 +223,26 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                rows = list(parse_archive(content))
-                for i in range(0, len(rows), 500):
-                    yield _frame(rows[i : i + 500], RECORD)
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = lambda x: None if pd.isna(x) else int(x)
-        for batch in batches:
-            for i in range(0, len(batch), 500):
-                part = batch.iloc[i : i + 500]
-                yield _frame([payload_row(none(p), u, k, none(r), d, b, e) for p, u, k, r, d, b, e in zip(*(part[c] for c in ("page_id", "url", "type", "refers_to", "digest", "block", "problem")), strict=True)], PAYLOAD)
+                rows: list[tuple] = []
+                for record_id, kind, page_id, url, refers_to, digest, segment, origin, total, block, problem in parse_archive(content):
+                    if segment is None:  # a whole record, decoded at once
+                        rows.append((*payload_row(page_id, url, kind, refers_to, digest, block, problem), None, None, None, None))
+                    else:
+                        rows.append((page_id, url, kind, refers_to, digest, None, block, problem, segment, origin, record_id, total))
+                    if len(rows) == 500:
+                        yield _frame(rows, READ)
+                        rows = []
+                yield _frame(rows, READ)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("content")
-    records = files.mapInPandas(parse, RECORD)
-    whole = records.where("segment is null").mapInPandas(decode, PAYLOAD)
-    parts = records.where("segment is not null").withColumn("of", F.coalesce("origin", "record_id"))
-    return whole.unionByName(parts.groupBy("of").applyInPandas(reassemble, PAYLOAD))
+    found = files.mapInPandas(parse, READ).withColumn("teil", F.col("segment").isNotNull())
+    # read once: whole records and segments are written apart, and only segments are shuffled
+    kept = new_path(spark, "records")
+    found.write.partitionBy("teil").parquet(kept)
+    records = spark.read.schema(found.schema).parquet(kept)
+    names = [x.split()[0] for x in PAYLOAD.split(", ")]
+    parts = records.where("teil").withColumn("of", F.coalesce("origin", "record_id")).withColumnsRenamed({"record_type": "type", "payload": "block"})
+    return records.where("not teil").select(*names).unionByName(parts.groupBy("of").applyInPandas(reassemble, PAYLOAD))
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexgrain.llm import decontaminate, line_dedup, queries, spelling, whitening
+from lexgrain.llm import decontaminate, line_dedup, queries, spelling, warc, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -287,3 +287,39 @@ def test_odd_ids_and_clashing_columns_of_the_benchmark(spark):
     got = sorted(((r["id"], r["item_id"]) for r in decontaminate.contaminations(docs, bench).collect()), key=str)
     assert got == sorted([(1, "keine Zahl"), (1, None), (None, "keine Zahl")], key=str)
     assert decontaminate.drop_contaminated(docs, bench.where("item_id is null")).columns == docs.columns
+
+
+# WARC: hostile headers, and odd tables -------------------------------------------------------------------------
+
+
+def record(head, block=b"HTTP/1.1 200 OK\r\n\r\nx"):
+    return b"WARC/1.1\r\n" + head + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+
+def test_hostile_headers_give_a_problem(spark, tmp_path):
+    good = record(b"WARC-Type: response\r\nWARC-Record-ID: <urn:page:1:a>\r\n")
+    bad = [
+        record(b"WARC-Type: response\r\nWARC-Record-ID: <urn:page:99999999999999999999:b>\r\n"),
+        record(b"WARC-Type: response\r\nWARC-Record-ID: <urn:page:2:c>\r\nWARC-Segment-Number: 4294967296\r\n"),
+        record(b"WARC-Type: response\r\nWARC-Record-ID: <urn:page:3:d>\r\nWARC-Segment-Total-Length: 1" + b"0" * 40 + b"\r\n"),
+        record(b"WARC-Type: response\r\nWARC-Record-ID: <urn:page:4:e>\r\nWARC-Segment-Number: 1_0\r\n"),
+        record(b"WARC-Type: revisit\r\nWARC-Record-ID: <urn:page:5:f>\r\n"),
+        record(b"WARC-Type: revisit\r\nWARC-Record-ID: <urn:page:6:g>\r\nWARC-Refers-To: <urn:page:99999999999999999999>\r\n"),
+        record(b"WARC-Type: response\r\nWARC-Record-ID: <urn:page:7:h>\r\n", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n1\r\nxAB0\r\n\r\n"),
+        record(b"WARC-Type: response\r\nWARC-Record-ID: <urn:page:8:i>\r\n", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz\r\nx\r\n0\r\n\r\n"),
+        record(b"WARC-Type: response\r\nWARC-Record-ID: <urn:page:9:j>\r\n", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: " + b"9" * 30 + b"\r\n\r\n-1\r\n\r\n"),
+    ]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.warc").write_bytes(good + b"".join(bad) + good.replace(b"page:1", b"page:10"))
+    got = warc.read_archives(spark, f"file://{tmp_path}/a").collect()
+    assert len(got) == len(bad) + 2 and {r["page_id"] for r in got if not r["problem"]} == {1, 10}
+
+
+def test_round_trip_of_odd_tables(spark):
+    long = "ä" * 3_000_000
+    rows = [(1, "u", long, "response"), (2, None, long, None), (3, "u", None, "x")]
+    pages = frame(spark, rows, "page_id long, url string, html string, record_type string")
+    got = {r["page_id"]: r for r in warc.round_trip(pages).collect()}
+    digest = hashlib.sha256(long.encode()).hexdigest()
+    assert got[1]["digest"] == got[2]["digest"] == f"sha256:{digest}" and got[1]["payload"] == long.encode() and got[2]["refers_to"] == 1 and got[3]["payload"] == b""
+    assert warc.round_trip(pages.limit(0)).count() == 0
