@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.text import short_key
 
@@ -54,8 +59,7 @@ def prefer(candidates: list[DataFrame], key: list[str]) -> DataFrame:
     for k, table in enumerate(candidates):
         table = table.withColumn("_rang", F.lit(k))
         ranked = table if ranked is None else ranked.unionByName(table)
-    w = Window.partitionBy(*key).orderBy("_rang")
-    return ranked.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_rang")
+    return ranked.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)]).agg(F.min_by(F.struct(*ranked.columns), "_rang").alias("_x")).select("_x.*").drop("_rang")
 
 
 def carry_over(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
@@ -110,15 +114,30 @@ def bundles(rows: DataFrame, key: list[str], entry: str, width: int) -> DataFram
     return rows.groupBy(*key, F.floor(F.col(entry) / width).cast("long").alias("teil")).agg(F.sort_array(F.collect_list(entry)).alias("eintraege"), F.count("*").alias("n"))
 
 
-#: Items without a word to meet on that are held against the texts at a time.
-BLOCK_ITEMS = 500
+#: Characters of items without a word to meet on that an automaton holds at a time.
+BLOCK_CHARS = 2_000_000
+
+
+def _held(items: list[tuple[int, str]]) -> Column:
+    """A function of a text column: the numbers of the items that stand in it, by an automaton that reads a text once."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for number, text in items:
+            automaton.add_word(text, number)
+        automaton.make_automaton()
+        for texts in batches:
+            yield pd.Series([sorted({k for _, k in automaton.iter(t)}) if t else [] for t in texts], dtype=object)
+
+    return find
 
 
 def containment(texts: DataFrame, items: DataFrame, text_id: str, item_id: str) -> DataFrame:
     """(text_id, item_id): items (item_id, text) that stand in a text, case aside. Null and empty items stand in none.
 
     An item and a text meet on the item's rarest word, of those that stand within it, so that the text has them as
-    words too. Items without such a word are a query set, held against all texts in blocks.
+    words too. Items without such a word are a query set: an automaton of a bounded block of them reads all texts.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(c, r"\P{L}+"), lambda w: F.length(w) >= 4))
     own = items.select(item_id, F.lower("text").alias("_b")).where("length(_b) > 0")
@@ -129,11 +148,13 @@ def containment(texts: DataFrame, items: DataFrame, text_id: str, item_id: str)
     rare = inner.groupBy(item_id).agg(F.min_by(F.struct("_w", "_b"), F.struct("_n", "_w")).alias("_x")).select(item_id, "_x._w", "_x._b")
     found = rows.join(spelled.join(rare, "_w"), text_id).where(F.contains("_t", "_b")).select(text_id, item_id)
     weak = own.where(F.size("_ws") == 0).select(item_id, "_b").distinct()
-    n_blocks = -(-weak.count() // BLOCK_ITEMS)
+    spelled_once = weak.select("_b").distinct()
+    n_blocks = -(-(spelled_once.agg(F.sum(F.length("_b"))).first()[0] or 0) // BLOCK_CHARS)
     for k in range(n_blocks):
-        block = [(r[item_id], r["_b"]) for r in weak.where(F.pmod(F.xxhash64(item_id), F.lit(n_blocks)) == k).collect()]
-        entries = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(b).alias("b")) for i, b in block])
-        held = F.transform(F.filter(entries, lambda x: F.contains(F.col("_t"), x["b"])), lambda x: x["i"])
+        block = sorted(r["_b"] for r in spelled_once.where(F.pmod(F.xxhash64("_b"), F.lit(n_blocks)) == k).collect())
         if block:
-            found = found.unionByName(rows.select(text_id, F.explode(held).alias(item_id)))
+            numbers = items.sparkSession.createDataFrame(list(enumerate(block)), "_i int, _b string")
+            owners = weak.join(F.broadcast(numbers), "_b").select("_i", item_id)  # as many characters as a block holds
+            met = rows.select(text_id, F.explode(_held(list(enumerate(block)))(F.col("_t"))).alias("_i"))
+            found = found.unionByName(met.join(owners, "_i").select(text_id, item_id))
     return found.distinct()
