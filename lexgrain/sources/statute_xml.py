@@ -118,24 +118,71 @@ def read_folder(spark: SparkSession, path: str, statutes: DataFrame) -> DataFram
     return statutes.join(files, "slug", "left")
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """SRC-1: one row for each norm of files (abk, slug, titel, xml), with the heading that it stands under.
+#: What ends a record of a file; a reader that splits there gives any task a part of a file.
+RECORD_END = "</norm>"
 
-    Blocks without a label, tables of contents and blocks with neither content nor title are no norms; headings of any
-    block carry on to the norms behind it.
-    """
-    build = F.regexp_extract("xml", r'builddate="(\d{4})(\d{2})(\d{2})"', 0)
-    date = F.regexp_replace(F.regexp_extract(build, r'"(\d{8})"', 1), r"(\d{4})(\d{2})(\d{2})", "$1-$2-$3")
-    blocks = F.regexp_extract_all("xml", F.lit(r"(?s)(<norm(?![A-Za-z0-9_]).*?</norm>)"), F.lit(1))
-    rows = files.where("xml is not null").select("abk", "slug", F.col("titel").alias("gesetz_titel"), F.nullif(date, F.lit("")).alias("builddate"), F.posexplode(blocks).alias("norm_seq", "b"))
-    meta = F.coalesce(first_tag(F.col("b"), "metadaten"), F.lit(""))
-    heading = F.concat_ws(" ", F.nullif(only_text(first_tag(meta, "gliederungsbez")), F.lit("")), F.nullif(only_text(first_tag(meta, "gliederungstitel")), F.lit("")))
-    rows = rows.withColumns({"gliederung": F.nullif(heading, F.lit("")), "enbez": only_text(first_tag(meta, "enbez")), "titel": only_text(first_tag(meta, "titel"))})
-    w = Window.partitionBy("slug").orderBy("norm_seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("gliederung", F.last("gliederung", ignorenulls=True).over(w))
+
+def _metadata(block: Column) -> Column:
+    return F.coalesce(first_tag(block, "metadaten"), F.lit(""))
+
+
+def _heading(block: Column) -> Column:
+    meta = _metadata(block)
+    return F.nullif(F.concat_ws(" ", *[F.nullif(only_text(first_tag(meta, tag)), F.lit("")) for tag in ("gliederungsbez", "gliederungstitel")]), F.lit(""))
+
+
+def _build_date(xml: Column) -> Column:
+    found = F.regexp_extract(xml, r'builddate="(\d{8})"', 1)
+    return F.nullif(F.regexp_replace(found, r"(\d{4})(\d{2})(\d{2})", "$1-$2-$3"), F.lit(""))
+
+
+def _norms(rows: DataFrame) -> DataFrame:
+    """Norms of rows (abk, slug, gesetz_titel, builddate, norm_seq, gliederung, b)."""
+    rows = rows.withColumns({"enbez": only_text(first_tag(_metadata(F.col("b")), "enbez")), "titel": only_text(first_tag(_metadata(F.col("b")), "titel"))})
     content = first_tag(F.coalesce(first_tag(F.col("b"), "text"), F.lit("")), "Content")
     numbered = F.regexp_replace(content, r'<SUP class="Rec">(\d+)</SUP>', '<NB class="Rec">$1</NB>')
     note = only_text(first_tag(F.coalesce(first_tag(F.col("b"), "fussnoten"), F.lit("")), "Content"))
     rows = rows.withColumns({"html": slim_html_column(F.coalesce(numbered, F.lit(""))), "volltext": only_text(content), "fussnote": F.nullif(note, F.lit(""))})
     kept = rows.where((F.col("enbez") != "") & ~F.col("enbez").rlike("(?iu)\\AInhalts(?:übersicht|verzeichnis)\\z") & ((F.col("html") != "") | (F.col("titel") != "")))
     return kept.select("abk", "slug", "gesetz_titel", "builddate", "norm_seq", norm_id(F.col("enbez")).alias("norm_id"), "enbez", "titel", "gliederung", paragraphs(F.col("html")).alias("abs"), "fussnote", "volltext")
+
+
+def parse(files: DataFrame) -> DataFrame:
+    """SRC-1: one row for each norm of files (abk, slug, titel, xml), with the heading that it stands under.
+
+    Blocks without a label, tables of contents and blocks with neither content nor title are no norms; headings of any
+    block carry on to the norms behind it. A file is one row here; read_norms() takes files of any size.
+    """
+    blocks = F.regexp_extract_all("xml", F.lit(r"(?s)(<norm(?![A-Za-z0-9_]).*?</norm>)"), F.lit(1))
+    rows = files.where("xml is not null").select("abk", "slug", F.col("titel").alias("gesetz_titel"), _build_date(F.col("xml")).alias("builddate"), F.posexplode(blocks).alias("norm_seq", "b"))
+    w = Window.partitionBy("slug").orderBy("norm_seq").rowsBetween(Window.unboundedPreceding, 0)
+    return _norms(rows.withColumn("gliederung", F.last(_heading(F.col("b")), ignorenulls=True).over(w)))
+
+
+def read_norms(spark: SparkSession, path: str, statutes: DataFrame) -> DataFrame:
+    """SRC-1, SRC-2: what parse() gives of the files <slug>.xml of statutes (abk, slug, titel), read record by record.
+
+    A file is split where its records end, so it is many rows and, beyond the size of a split, many tasks. A record's
+    place is its split and its order there. Two small tables, a row a split and a row a file, carry on the count of the
+    records, the last heading and the build date; no window holds more than a split. What stands behind the last end of a
+    record is none, as in a file that is cut off.
+    """
+    files = spark.read.option("lineSep", RECORD_END).text(path, pathGlobFilter="*.xml")
+    slug = F.regexp_extract("_metadata.file_name", r"\A(.*)\.xml\z", 1)
+    pieces = files.select(slug.alias("slug"), F.col("_metadata.file_block_start").alias("teil"), F.col("_metadata.file_size").alias("_bytes"), F.monotonically_increasing_id().alias("i"), "value")
+    place = F.struct("teil", "i")
+    of_file = pieces.groupBy("slug").agg(
+        F.min_by(_build_date(F.col("value")), F.when(_build_date(F.col("value")).isNotNull(), place)).alias("builddate"),
+        F.when(F.sum(F.octet_length("value") + len(RECORD_END)) != F.max("_bytes"), F.max(place)).alias("_rest"),  # no end behind the last piece
+    )
+    block = F.regexp_extract("value", r"(?s)(<norm(?![A-Za-z0-9_]).*)", 1)
+    records = pieces.select("slug", "teil", "i", block.alias("_b")).where("_b <> ''").join(of_file, "slug").where(F.col("_rest").isNull() | (place != F.col("_rest")))
+    records = records.select("slug", "teil", "i", "builddate", F.concat("_b", F.lit(RECORD_END)).alias("b"), _heading(F.col("_b")).alias("_kopf"))
+    splits = records.groupBy("slug", "teil").agg(F.count("*").alias("_n"), F.max_by("_kopf", F.when(F.col("_kopf").isNotNull(), F.col("i"))).alias("_letzte"))
+    before = Window.partitionBy("slug").orderBy("teil").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("slug", "teil", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_vorher"), F.last("_letzte", ignorenulls=True).over(before).alias("_offen"))
+    inside = Window.partitionBy("slug", "teil").orderBy("i")
+    rows = records.join(splits, ["slug", "teil"]).join(statutes.select("slug", "abk", F.col("titel").alias("gesetz_titel")), "slug")
+    seq = (F.col("_vorher") + F.row_number().over(inside) - 1).cast("int")
+    heading = F.coalesce(F.last("_kopf", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_offen")
+    return _norms(rows.select("abk", "slug", "gesetz_titel", "builddate", seq.alias("norm_seq"), heading.alias("gliederung"), "b"))
