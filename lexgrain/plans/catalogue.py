@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annotation_queries, label_queries, search_queries, table_queries, text_queries  # noqa: F401  (they register themselves)
+from . import annotation_queries, label_queries, record_queries, search_queries, table_queries, text_queries  # noqa: F401  (they register themselves)
 from .registry import QUERIES, SQL
 
 
