@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import escape_html
 from ..operators import merging, schema_tree, segmentation, syntax
-from ..sources import crawl, sinks, versions
+from ..sources import crawl, page_store, sinks, versions
 from ..sources.staging import new_path, staged
 from .registry import query, spread, table
 
@@ -143,3 +143,13 @@ def snk02_snk03_versions(spark, sf_dir):
     for k, rows in enumerate(norms):
         versions.run(rows, lambda df, k=k: df.withColumn("lauf", F.lit(k + 1)), store, waves=2)
     return store.read()
+
+
+@query("SELECT 'https://p.example/' || page_id AS url, CASE WHEN page_id % 7 = 0 THEN NULL ELSE 'e' || page_id END AS etag, sha256(coalesce(html, '') || CASE WHEN page_id % 7 = 0 THEN '<h2>R 1</h2>neu' ELSE '' END) AS hash FROM pages")
+def src07_changed_pages(spark, sf_dir):
+    """Pages read, and read again when every seventh has changed: what is on record then."""
+    rows = table(spark, sf_dir, "pages").select(F.concat(F.lit("https://p.example/"), "page_id").alias("url"), F.when(F.col("page_id") % 7 > 0, F.concat(F.lit("e"), "page_id")).alias("etag"), "html", "page_id")
+    store = page_store.open_store(spark, new_path(spark, "pages"))
+    page_store.refresh(rows, store)
+    page_store.refresh(rows.withColumn("html", F.when(F.col("page_id") % 7 == 0, F.concat(F.coalesce("html", F.lit("")), F.lit("<h2>R 1</h2>neu"))).otherwise(F.col("html"))), store)
+    return store.read().select("url", "etag", "hash")

@@ -16,7 +16,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 DONE = "_SUCCESS"
@@ -119,20 +119,46 @@ class Published:
         self.folder.remove("partial")
 
 
-def run(norms: DataFrame, annotate: Callable[[DataFrame], DataFrame], store: Published, waves: int = 4, keys: tuple[str, ...] = ("norm_id",)) -> None:
-    """SNK-2, SNK-3: annotate what is new or changed, wave by wave, and publish all of it when the last is done.
+def run(norms: DataFrame, annotate: Callable[[DataFrame], DataFrame], store: Published, waves: int = 4, keys: tuple[str, ...] = ("norm_id",), budget: int | None = None, order: tuple[str, ...] = ()) -> bool:
+    """SNK-2, SNK-3, BUD-1: annotate what is new or changed, wave by wave, and publish all of it when nothing is left.
 
     norms has the store's key, `keys` and text_hash, and so has what annotate gives. A norm is done if the partial state
     or the published one has it under the same hash; the partial state comes first. If a wave fails, those before it
     stay as parts, and what is published stays as it was. Norms that norms doesn't hold any more leave their statute.
+
+    budget: at most so many norms are annotated, the first by order and then by key. What is over stays for the next
+    run, with what is done as parts, and True is returned; so runs of a budget give what one run of their sum gives.
     """
     on = [store.by, *keys, "text_hash"]
     done = store.partial().select(*on).unionByName(store.read().select(*on)).distinct()
     left = norms.join(done, on, "left_anti")
+    over = False
+    if budget is not None:
+        place = [*order, *(c for c in on if c not in order)]
+        first = left.orderBy(*place).limit(budget + 1).select(*on).collect()  # a budget is what a run may ask of a provider
+        over = len(first) > budget
+        chosen = norms.sparkSession.createDataFrame(first[:budget], left.select(*on).schema)
+        left = left.join(F.broadcast(chosen), on, "left_semi")
     wave = F.pmod(F.xxhash64(*on), F.lit(waves))
     for k in range(waves):
         store.add_part(annotate(left.where(wave == k)))
+    if over:
+        return True
     rank = store.partial().withColumn("_r", F.lit(0)).unionByName(store.read().withColumn("_r", F.lit(1)))
-    first = rank.groupBy(*on).agg(F.min_by(F.struct(*store.schema.names), "_r").alias("_x")).select("_x.*")
-    store.publish(first.join(norms.select(*on).distinct(), on, "left_semi"))
+    best = rank.groupBy(*on).agg(F.min_by(F.struct(*store.schema.names), "_r").alias("_x")).select("_x.*")
+    store.publish(best.join(norms.select(*on).distinct(), on, "left_semi"))
     store.drop_partial()
+    return False
+
+
+def publish_with_report(records: DataFrame, store: Published) -> dict[str, int]:
+    """SNK-5: publish records (markierbar, abgelehnt, ...) and report on them, by metrics that the writing job observes.
+
+    normen, markierbar and abgelehnt (an array or a number) are counted while the rows are written: nothing is computed twice.
+    """
+    kind = dict(records.dtypes)["abgelehnt"]
+    rejected = F.size("abgelehnt") if kind.startswith("array") else F.col("abgelehnt")
+    seen = Observation()
+    totals = [F.count(F.lit(1)).alias("normen"), F.count_if("markierbar").alias("markierbar"), F.coalesce(F.sum(rejected), F.lit(0)).alias("abgelehnt")]
+    store.publish(records.observe(seen, *totals))
+    return dict(seen.get)
