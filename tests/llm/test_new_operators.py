@@ -3,16 +3,20 @@
 import hashlib
 import math
 import random
+import re
+import struct
 import zlib
 from collections import Counter, defaultdict
+from decimal import Decimal, localcontext
 from fractions import Fraction
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from lexgrain.llm import decontaminate, line_dedup, queries, spelling, warc, whitening
+from lexgrain.llm import decontaminate, licenses, line_dedup, mixing, queries, simhash, spelling, token_counts, toxicity, warc, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -155,7 +159,7 @@ def test_chains_reach_their_root(spark):
 def brute_words(rows):
     count = Counter()
     for doc_id, text in rows:
-        for run in __import__("re").findall("[A-Za-zÀ-ÿ]+", text or ""):
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
             run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
             h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
             if h % 97 == 0:
@@ -276,7 +280,7 @@ def test_items_count_alike_at_every_length(spark, whole_words):
         for k, item in enumerate(items):
             places = brute_places(item, t)
             if whole_words:
-                places = [m.span(1) for m in __import__("re").finditer(rf"(?:^|(?<= ))({__import__('re').escape(item)})(?= |$)", t)]
+                places = [m.span(1) for m in re.finditer(rf"(?:^|(?<= ))({re.escape(item)})(?= |$)", t)]
             wanted += [(d, f"i{k}", *p) for p in places]
     assert got == sorted(wanted) and len(got) > 5
 
@@ -323,3 +327,132 @@ def test_round_trip_of_odd_tables(spark):
     digest = hashlib.sha256(long.encode()).hexdigest()
     assert got[1]["digest"] == got[2]["digest"] == f"sha256:{digest}" and got[1]["payload"] == long.encode() and got[2]["refers_to"] == 1 and got[3]["payload"] == b""
     assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+# Results of whole queries from first principles ------------------------------------------------------------------
+
+
+def table(name, columns):
+    return duckdb.sql(f"select {columns} from '{SF}/{name}.parquet' order by 1").fetchall()
+
+
+def test_op2_tokens_of_every_line(spark):
+    encoder = token_counts.encoding(token_counts.VOCABULARY, token_counts.PATTERN)[0]
+    wanted = {}
+    for doc_id, text in table("documents", "doc_id, coalesce(text, '')"):
+        lines = [x + "\n" for x in text.split("\n")[:-1]] + [x for x in [text.split("\n")[-1]] if x]
+        ends = np.cumsum([len(x.encode()) for x in lines]) if lines else np.empty(0, int)
+        tokens = encoder.encode_ordinary(text)
+        at, per_line, crossing = 0, [0] * len(lines), [0] * len(lines)
+        for token in tokens:
+            size = len(encoder.decode_single_token_bytes(token))
+            first, last = int(np.searchsorted(ends, at, "right")), int(np.searchsorted(ends, at + size - 1, "right"))
+            per_line[first] += 1
+            for k in range(first, last + 1) if last > first else ():
+                crossing[k] += 1
+            at += size
+        wanted[doc_id, -1] = (0, len(text), len(tokens), 0)
+        start = 0
+        for k, x in enumerate(lines):
+            wanted[doc_id, k] = (start, start + len(x), per_line[k], crossing[k])
+            start += len(x)
+    got = {(r["doc_id"], r["section"]): (r["char_start"], r["char_end"], r["n_tokens"], r["n_crossing"]) for r in queries.op2_token_counts(spark, SF).collect()}
+    assert got == wanted
+
+
+def spark_hash(seed, doc_id, text):
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    h = xxhash.xxh64_intdigest(struct.pack("<i", seed), seed=42)
+    h = h if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), seed=h)
+    own = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return xxhash.xxh64_intdigest(struct.pack("<q", signed(own)), seed=h)
+
+
+def poisson_count(rate, uniform):
+    """The least k with P(count <= k) > uniform, in 60 digits."""
+    with localcontext() as c:
+        c.prec = 60
+        term = total = (-Decimal(rate)).exp()
+        k = 0
+        while total <= Decimal(uniform):
+            k += 1
+            term = term * Decimal(rate) / k
+            total += term
+        return k
+
+
+def test_op7_counts_from_their_hashes(spark):
+    rows = table("documents", "doc_id, text, source")
+    n = Counter(s for *_, s in rows)
+    weight = sum(v**0.5 for v in n.values())
+    wanted = {}
+    for doc_id, text, source in rows:
+        rate = n[source] ** 0.5 / weight * len(rows) / n[source]
+        if k := poisson_count(rate, (spark_hash(17, doc_id, text) >> 11) / 2**53):
+            wanted[doc_id] = (k, set(range(1, k + 1)))
+    got = defaultdict(list)
+    for r in queries.op7_source_mixing(spark, SF).collect():
+        got[r["doc_id"]].append((r["copies"], r["copy"]))
+    assert {d: (x[0][0], {c for _, c in x}) for d, x in got.items()} == wanted and all(len(x) == x[0][0] for x in got.values())
+
+
+def test_nnpu_follows_the_gradient_of_its_risk():
+    """The same steps with dense rows and the risk's gradient by differences."""
+    draw = np.random.default_rng(7)
+    plan = toxicity.Plan(rounds=25, min_z=0.0)
+    make = lambda rate, n: [np.flatnonzero(draw.random(6) < rate) for _ in range(n)]
+    for rates, prior in ((([0.9, 0.8, 0.5, 0.5, 0.3, 0.6], [0.2, 0.3, 0.5, 0.4, 0.3, 0.5]), 0.2), (([0.9, 0.7, 0.5, 0.5, 0.5, 0.5], [0.8, 0.7, 0.5, 0.5, 0.5, 0.5]), 0.9)):
+        positive, unlabelled = make(np.array(rates[0]), 80), make(np.array(rates[1]), 150)
+        weights, bias = toxicity.fit_nnpu(positive, unlabelled, prior, plan)
+        dense = lambda rows: np.array([np.r_[np.bincount(r, minlength=6), 1] for r in rows], float)
+        p, u = dense(positive), dense(unlabelled)
+        w = np.r_[np.zeros(6), np.log(prior / (1 - prior))]
+        as_one = lambda x, w: np.log1p(np.exp(-x @ w)).mean()
+        as_zero = lambda x, w: np.log1p(np.exp(x @ w)).mean()
+        rest = lambda w: as_zero(u, w) - prior * as_zero(p, w)
+        slope = lambda f, w: np.array([(f(w + e) - f(w - e)) / 2e-5 for e in np.eye(7) * 1e-5])
+        m, v, undone = np.zeros(7), np.zeros(7), 0
+        for step in range(1, 26):
+            if rest(w) < 0:
+                g, undone = -slope(rest, w), undone + 1
+            else:
+                g = slope(lambda w: prior * as_one(p, w) + rest(w), w)
+            g[:-1] += plan.decay * w[:-1]
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - plan.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        assert np.abs(np.r_[weights[:6], bias] - w).max() < 1e-3, (weights[:6], bias, w)
+    assert undone  # the second prior is too high, so the corrected risk falls below zero and steps are undone
+
+
+def test_op8_scores_of_every_document(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    weights, bias = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: (r["held_out"], r["score"], r["predicted"]) for r in queries.op8_toxicity(spark, SF).collect()}
+    rows = table("documents", "doc_id, text")
+    assert len(got) == len(rows)
+    for doc_id, text in rows:
+        words = set(toxicity.WORD.findall((text or "").lower()))
+        score = 1 / (1 + math.exp(-(sum(weights[c] for c in {zlib.crc32(w.encode()) % toxicity.COLUMNS for w in words}) + bias)))
+        held, found, predicted = got[doc_id]
+        assert held == (zlib.crc32(str(doc_id).encode()) % 5 == 0) and found == pytest.approx(score, abs=1e-9) and predicted == (found >= 0.5)
+
+
+CLASHING = "doc_id long, text string, source string, id string, section string, tokens int, hit int, license string, rate int, copies string, hash int, _source int, score string, held_out int, fp int, rep_id string, node int, edits string"
+
+
+def test_columns_with_clashing_names_and_empty_tables(spark):
+    text = "released under the mit license and some more words to fill the line " * 3
+    rows = [(k, text + str(k % 2), "s", *[None] * 15) for k in range(4)] + [(None, None, None, *[None] * 15)]
+    df = spark.createDataFrame(rows, CLASHING)
+    plain, empty = df.select("doc_id", "text", "source"), df.limit(0)
+    weights, bias = np.zeros(toxicity.COLUMNS), -1.0
+    for run in (
+        lambda d: token_counts.token_counts(d),
+        lambda d: licenses.scan_licenses(d),
+        lambda d: mixing.mix(d).select("doc_id", "text", "rate", "copies"),
+        lambda d: toxicity.score(d, weights, bias).select("doc_id", "score", "held_out", "predicted"),
+        lambda d: simhash.near_duplicate_groups(d, width=4, bits=64, radius=4).select("id", "fp", "rep_id"),
+        lambda d: decontaminate.contaminations(d, spark.createDataFrame([(1, "some more words to fill")], "item_id long, text string")),
+    ):
+        assert sorted(map(str, run(df).collect())) == sorted(map(str, run(plain).collect())) and run(df).count() > 0
+        assert run(empty).count() == 0
