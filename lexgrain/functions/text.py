@@ -19,6 +19,18 @@ B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 BS, BE = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 I = "(?iu)"  # noqa: E741
 
+# What ends a line of a page, what is no text of it, a link; the parts of phrases that are compared as one
+# sign; dates and gazettes; ranges of sections.
+LINE_BREAK = r"(?i)<(?:br|hr)(?![A-Za-z0-9_])[^>]*>"
+LINE_END = r"(?i)</(?:p|div|li|h[1-6]|section|article|tr|td|th)>"
+BOILERPLATE = ("script", "style", "nav")
+LINK = r"""(?is)<a(?![A-Za-z0-9_])[^>]*(?<![A-Za-z0-9_])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))[^>]*>(.*?)</a>"""
+SECTION_REFERENCE = rf"§+{S}*\d+[a-z]?(?:{S}*(?:abs(?:atz|\.)|satz|nummer|nr\.|buchst(?:abe|\.)){S}*\d+[a-z]?)*"
+NUMBER = rf"{B}\d[\d.,]*{B}"
+PHRASE_MARKS = "[„\"»«(),;:.]"
+TIME_ONLY = rf"{I}{BS}(?:\d{{1,2}}\.{S}?(?:{'|'.join(W.MONTHS)}){S}?\d{{4}}{BE}|Veranlagungszeitraum{S}?\d{{4}}{BE}|ab{S}?\d{{4}}{BE}|BGBl\.|BStBl\.)"
+SECTION_SPAN = rf"(\d{{1,4}})[a-z]?{S}*(?:bis|-|–){S}*(\d{{1,4}})[a-z]?"
+
 sub = F.regexp_replace
 
 
@@ -123,8 +135,7 @@ def page_text(html: Column) -> Column:
 
 def page_lines(html: Column) -> Column:
     """TX-2: the non-empty lines of HTML, block ends and breaks being line ends; an array."""
-    c = sub(_text(html), r"(?i)<(?:br|hr)(?![A-Za-z0-9_])[^>]*>", "\n")
-    c = sub(c, r"(?i)</(?:p|div|li|h[1-6]|section|article|tr|td|th)>", "\n")
+    c = sub(sub(_text(html), LINE_BREAK, "\n"), LINE_END, "\n")
     c = F.replace(decode_entities(sub(c, "<[^>]+>", " ")), F.lit("\r"), F.lit(""))
     return F.filter(F.transform(F.split(c, "\n"), lambda x: trim(squash(x))), lambda x: x != "")
 
@@ -138,17 +149,15 @@ def first_tag(c: Column, tag: str) -> Column:
 def drop_boilerplate(html: Column) -> Column:
     """TX-24: without scripts, styles and navigation."""
     c = _text(html)
-    for tag in ("script", "style", "nav"):
+    for tag in BOILERPLATE:
         c = sub(c, rf"(?is)<{tag}.*?</{tag}>", "")
     return c
 
 
 def links(html: Column) -> Column:
     """TX-20: array of (href, label) of the links of a page, in order."""
-    pattern = r"""(?is)<a(?![A-Za-z0-9_])[^>]*(?<![A-Za-z0-9_])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))[^>]*>(.*?)</a>"""
-
     def group(k: int) -> Column:
-        return F.regexp_extract_all(html, F.lit(pattern), F.lit(k))
+        return F.regexp_extract_all(html, F.lit(LINK), F.lit(k))
 
     href = F.zip_with(F.zip_with(group(1), group(2), lambda a, b: F.concat(a, b)), group(3), lambda a, b: F.concat(a, b))
     return F.arrays_zip(href.alias("href"), group(4).alias("label"))
@@ -195,9 +204,8 @@ def has_content(c: Column) -> Column:
 
 def phrase_key(c: Column, least: int = 2, most: int = 8) -> Column:
     """TX-12: the form in which phrases are compared; null outside least to most words."""
-    c = sub(F.lower(_text(c)), rf"§+{S}*\d+[a-z]?(?:{S}*(?:abs(?:atz|\.)|satz|nummer|nr\.|buchst(?:abe|\.)){S}*\d+[a-z]?)*", "§")
-    c = sub(c, rf"{B}\d[\d.,]*{B}", "#")
-    c = trim(squash(sub(c, "[„\"»«(),;:.]", " ")))
+    c = sub(sub(F.lower(_text(c)), SECTION_REFERENCE, "§"), NUMBER, "#")
+    c = trim(squash(sub(c, PHRASE_MARKS, " ")))
     n = F.size(word_list(c))
     return F.when((n >= least) & (n <= most), c)
 
@@ -223,10 +231,8 @@ def quality(c: Column) -> Column:
 
 def time_only(c: Column) -> Column:
     """TX-26: a date, assessment period or gazette reference and fewer than twelve other word characters."""
-    pattern = rf"{I}{BS}(?:\d{{1,2}}\.{S}?(?:{'|'.join(W.MONTHS)}){S}?\d{{4}}{BE}|Veranlagungszeitraum{S}?\d{{4}}{BE}|ab{S}?\d{{4}}{BE}|BGBl\.|BStBl\.)"
-
     def rest(c: Column) -> Column:
-        return let(F.split(c, pattern, 2), lambda p: (F.size(p) == 2) & (F.length(sub(F.array_join(p, ""), r"[^A-Za-z0-9_äöüßÄÖÜ]", "")) < 12))
+        return let(F.split(c, TIME_ONLY, 2), lambda p: (F.size(p) == 2) & (F.length(sub(F.array_join(p, ""), r"[^A-Za-z0-9_äöüßÄÖÜ]", "")) < 12))
 
     # each of the forms has a year or a gazette, which most texts lack
     return F.coalesce(let(c, lambda c: c.rlike(r"(?iu)\d{4}|bgbl|bstbl") & rest(c)), F.lit(False))
@@ -258,8 +264,7 @@ def section_range(label: Column) -> Column:
     """TX-19: the numbers that "vor §§ a bis b" or a list stands for; an array, empty if it stands for none."""
     rest = F.regexp_extract(label, rf"{I}(?s)vor{S}+§§?(.*)", 1)
     rest = F.get(F.split(rest, rf"{I}vor{S}+§§?"), F.lit(0))
-    span = rf"(\d{{1,4}})[a-z]?{S}*(?:bis|-|–){S}*(\d{{1,4}})[a-z]?"
-    low, high = F.regexp_extract(rest, span, 1).try_cast("int"), F.regexp_extract(rest, span, 2).try_cast("int")
+    low, high = F.regexp_extract(rest, SECTION_SPAN, 1).try_cast("int"), F.regexp_extract(rest, SECTION_SPAN, 2).try_cast("int")
     whole = F.transform(F.sequence(low, F.greatest(low, F.least(high, low + 60))), lambda x: x.cast("string"))
     listed = F.slice(F.regexp_extract_all(rest, F.lit(r"(\d{1,4}[a-z]?)"), F.lit(1)), 1, 12)
     return F.when(~label.rlike(rf"{I}vor{S}+§§?"), F.array().cast("array<string>")).when((high >= low) & (high - low < 60), whole).otherwise(listed)
