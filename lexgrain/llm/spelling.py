@@ -76,10 +76,10 @@ def keys(word: str, places: list[int]) -> Iterator[tuple[bool, str]]:
                     yield longer, f"{side}2{rest} {same} {text[len(text) - (rest - half) :]}"
 
 
-def near_pairs(words: DataFrame) -> DataFrame:
-    """(a, n_a, b, n_b): all pairs of words exactly one inserted, deleted or replaced letter apart, each once.
+def bigram_keys(words: DataFrame) -> DataFrame:
+    """(key, longer, word, n) of each word of (word, n): written, for both sides of the join read it.
 
-    words has (word, n), each word once, of SHORTEST letters or more.
+    Each word stands there once, with SHORTEST letters or more.
     """
     rank = bigram_order(words)
     words = words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")  # a word list has few files, and each word many keys
@@ -90,16 +90,19 @@ def near_pairs(words: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["key", "longer", "word", "n"])
 
     keyed = words.mapInPandas(emit, "key string, longer boolean, word string, n long").withColumn("key", F.xxhash64("key"))
-    keyed = materialize(keyed, "bigram-keys")
+    return materialize(keyed, "bigram-keys")
+
+
+def near_pairs(keyed: DataFrame) -> DataFrame:
+    """(a, n_a, b, n_b): all pairs of words exactly one inserted, deleted or replaced letter apart, each once, by their bigram_keys()."""
     a = keyed.where("not longer").select("key", F.col("word").alias("a"), F.col("n").alias("n_a"))
     b = keyed.select("key", "longer", F.col("word").alias("b"), F.col("n").alias("n_b"))
     apart = (F.col("longer") & (F.length("b") == F.length("a") + 1)) | (~F.col("longer") & (F.col("a") < F.col("b")) & (F.length("b") == F.length("a")))
     return a.join(b, (a["key"] == b["key"]) & apart).where(F.levenshtein("a", "b", 1) == 1).select("a", "n_a", "b", "n_b").distinct()
 
 
-def forms(words: DataFrame, times: int = 2) -> DataFrame:
+def forms(words: DataFrame, pairs: DataFrame, times: int = 2) -> DataFrame:
     """(word, n, n_near, form, form_n): the form is the near word of largest n, if that is `times` the word's n or more."""
-    pairs = near_pairs(words)
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("n_b").alias("near_n")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("near"), F.col("n_a").alias("near_n")))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     enough = -F.col("best.less") >= times * F.col("n")
@@ -127,5 +130,7 @@ def variant_groups(words: DataFrame, times: int = 2) -> DataFrame:
     shortest = words.agg(F.min(F.length("word"))).first()[0]
     if shortest is not None and shortest < SHORTEST:
         raise ValueError(f"words need {SHORTEST} letters or more: a shorter one has fewer than three bigrams")
-    found = materialize(forms(words, times), "forms")
+    keyed = bigram_keys(words)
+    found = materialize(forms(words, near_pairs(keyed), times), "forms")
+    discard(keyed, words)
     return found.join(roots(found), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
