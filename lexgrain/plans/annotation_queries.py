@@ -127,11 +127,11 @@ def tx21_resolved_links(spark, sf_dir):
     return found.select("von", F.col("seq").cast("long").alias("seq"), "nach", "beschriftung")
 
 
-@query("SELECT lang AS abk, doc_id // 1000 AS teil, any_value(n) AS anzahl, count(*) AS normen, min(doc_id)::VARCHAR AS erste FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS n FROM documents) GROUP BY 1, 2")
+@query("SELECT lang AS abk, doc_id // 1000 AS teil, any_value(n) AS anzahl, count(*) AS normen, string_agg(doc_id::VARCHAR || '=' || source, ',' ORDER BY doc_id) AS eintraege FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS n FROM documents) GROUP BY 1, 2")
 def snk01_register(spark, sf_dir):
     """The documents of each language as the register of a statute."""
     n = table(spark, sf_dir, "documents").select(F.col("lang").alias("abk"), F.col("doc_id").alias("norm_seq"), F.col("doc_id").cast("string").alias("norm_id"), F.col("source").alias("enbez"), F.lit("").alias("titel"))
-    return sinks.register(n).select("abk", "teil", "anzahl", F.size("normen").cast("long").alias("normen"), F.get("normen", F.lit(0))["id"].alias("erste"))
+    return sinks.register(n).select("abk", "teil", "anzahl", F.size("normen").cast("long").alias("normen"), F.array_join(F.transform("normen", lambda x: F.concat(x["id"], F.lit("="), x["e"])), ",").alias("eintraege"))
 
 
 @query("SELECT lang AS abk, doc_id::VARCHAR AS norm_id, md5(coalesce(text, '') || CASE WHEN lang < 'en' THEN '+' ELSE '' END) AS text_hash, CASE WHEN lang < 'en' THEN 2 ELSE 1 END AS lauf FROM documents")
