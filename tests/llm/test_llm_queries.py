@@ -125,3 +125,21 @@ def test_pipeline_stages(spark):
             kept = {r["doc_id"] for r in docs.collect()}
             assert leaks and not kept & set(leaks) and len(kept) == before.count() - len(leaks)
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+def test_the_pipeline_on_empty_tables_and_on_odd_rows(spark, tmp_path):
+    """No rows give no rows; null and empty texts and repeated rows pass the stages or go with the quality rules, columns stay."""
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    docs.limit(0).write.parquet(f"file://{tmp_path}/leer/documents.parquet")
+    bench.limit(0).write.parquet(f"file://{tmp_path}/leer/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/leer").count() == 0
+    good = docs.join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"), "doc_id").select(docs.columns).limit(12)
+    odd = spark.createDataFrame([(None, None, None, None, None), (-1, "", "de", "x", 0)], docs.schema)
+    good.unionByName(good).unionByName(odd).withColumnRenamed("n_chars", "rate").write.parquet(f"file://{tmp_path}/odd/documents.parquet")
+    bench.limit(0).write.parquet(f"file://{tmp_path}/odd/benchmark.parquet")
+    kept = spark.read.parquet(f"file://{tmp_path}/odd/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        kept = materialize(stage(spark, kept, f"file://{tmp_path}/odd"), name.replace(" ", "-"))
+        assert kept.columns == ["doc_id", "text", "lang", "source", "rate"]
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert ids and len(ids) == len(set(ids)) and None not in ids and -1 not in ids
