@@ -227,12 +227,15 @@ def test_contaminated_documents_go(spark):
 
 def test_items_of_any_length_are_found_at_every_place():
     items = [(1, "quick brown fox"), (2, "fox"), (3, "a b"), (4, "eine etwas längere Zeile mit einigen Wörtern darin")]
-    index = decontaminate.Index(items, decontaminate.Budget())
+    index, bounded = (decontaminate.Index(items, decontaminate.Budget(whole_words=whole)) for whole in (False, True))
     text = decontaminate.plain("The quick, brown fox; a quick brown foxes. A b! eine etwas längere Zeile mit einigen Wörtern darin. Und eine etwas laengere Zeile mit einigen Wörtern darin")
     found = sorted(index.find(text))
     at = lambda x, n=0: text.index(x, n)
     second = at("eine etwas laengere")
-    assert [(n, e, a) for n, e, a, _ in found] == [(1, 0, 4), (2, 0, 16), (3, 0, at("a b")), (4, 0, at("eine etwas längere")), (4, 2, second)]
+    whole = [(1, 0, 4), (2, 0, 16), (3, 0, at("a b", 30)), (4, 0, at("eine etwas längere")), (4, 2, second)]
+    within = [(1, 0, at("quick brown foxes")), (2, 0, at("foxes"))]  # in longer words, which count unless whole words are asked for
+    assert [(n, e, a) for n, e, a, _ in found] == sorted(whole + within)
+    assert [(n, e, a) for n, e, a, _ in sorted(bounded.find(text))] == whole
     assert all(text[a:b] == decontaminate.plain(dict(items)[n]) for n, e, a, b in found if not e)
 
 
