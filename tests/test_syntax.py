@@ -1,0 +1,63 @@
+"""The syntax as column expressions against the rules in plain Python: the whole small tables and made sentences."""
+
+import random
+from collections import Counter
+
+import pytest
+from plain_syntax import Sentence
+from pyspark.sql import functions as F
+
+from lexgrain.operators import segmentation, syntax
+from lexgrain.plans import annotation_queries, catalogue
+
+SF = "/root/testdata/sf0.001"
+
+FRONTS = [
+    "Die Steuer", "Der Zuschlag zur Einkommensteuer", "Bei der Ermittlung des Gewinns", "Steuerfrei", "Nicht abzugsfähig", "Er", "Satz 1", "Maßgebend für die Bemessung", "Abgabepflichtig", "Von der Summe der Einkünfte", "Familienstiftungen", "Stiftungen und Vereine",
+    "Den Stiftungen im Sinne des Absatzes 1,2,3", "Der am 1. Januar 2020 (Stichtag) geltende Betrag von 1,5 Prozent", "In den Fällen des § 10, der fortgilt,", "Vorbehaltlich des Absatzes 3", "Dies", "Gewinn des Betriebs aus Verkauf", "Ein Bescheid über die Festsetzung", "",
+]
+VERBS = ["ist", "sind", "wird", "werden", "kann", "hat", "beträgt", "gilt", "gelten", "steht", "stehen", "bleibt", "bleiben", "unterliegt", "entsteht", "muss", "übersteigt", ""]
+CONDITIONS = [
+    ", wenn der Steuerpflichtige unbeschränkt steuerpflichtig ist,", ", soweit die Einkünfte 1,5 Millionen Euro übersteigen,", "; sofern ein Antrag gestellt wird;", ", falls nicht anders bestimmt", ",wenn er,nach Satz 2,3 befreit ist,", ", es sei denn, die Zahlung erfolgt später, als vereinbart",
+    ", mit Ausnahme der Beträge nach § 3 Nummer 1,2,3, die außer Ansatz bleiben,", ", die nach dem 1. Mai bezogen werden,", ", weil sie verpflichtet sind,", " außer in Fällen des Absatzes 2,", ", solange nicht ein Bescheid ergangen ist", " vorbehaltlich einer Regelung", ", soweit",
+]
+MIDDLES = ["die Abgabe", "20 Prozent des Gewinns", "als Einkünfte", "nach § 4 Absatz 1 Satz 2 (neue Fassung, soweit gültig)", "auf volle Euro", "vom Hundert", "für den Veranlagungszeitraum", "dem Vermögen der Stiftung", "entsprechend", "im Sinne dieses Gesetzes", "nicht", "1,2,3 Nummern,x wenn"]
+ENDS = ["anzuwenden.", "zu erheben.", "abzurunden.", "gleich.", "zugerechnet.", "außer Ansatz.", "festgesetzt werden kann.", "unberührt.", "sinngemäß.", "behandelt;", "gezahlt", "und", ": nach den Vorschriften des Gesetzes.", ": so.", "Stiftungen, bei denen der Stifter bezugsberechtigt ist.", ".", ""]
+LEADS = ["Soweit die Steuer erhoben wird, ", "Wenn ", "Ist die Steuer abgegolten, ", "Hat der Steuerpflichtige Einkünfte, die er bezieht, ", "Sofern ein Antrag vorliegt: ", "Abweichend von Absatz 1 ", "Bei Zahlung, es sei denn, sie ruht, ", "wenn es so ist"]
+ODD = ["Das Gesetz ist erstmals für den Veranlagungszeitraum 2020 anzuwenden.", "", " ", ".", ",", "ist", "Ist, wenn", "Wenn", "wenn \tx", "(", "((a) b, wenn c)", "a,b,,c", "1,2,3", ", wenn er ist, ist", "ÄÖÜ", "über", "\xa0Die\u2003Steuer ist\xa0frei", "x" * 5000, "Die Steuer ist " + "sehr " * 3000 + "hoch, wenn sie anfällt.", "§" * 40 + ", soweit §, ist", "gilt nicht", "Es sei denn,", None]
+
+
+def made(n):
+    draw = random.Random(7)
+    for _ in range(n):
+        lead = draw.choice(LEADS) if draw.random() < 0.3 else ""
+        parts = [draw.choice(FRONTS), draw.choice(CONDITIONS) if draw.random() < 0.25 else "", draw.choice(VERBS), draw.choice(MIDDLES), draw.choice(CONDITIONS) if draw.random() < 0.5 else "", draw.choice(MIDDLES) if draw.random() < 0.3 else "", draw.choice(ENDS)]
+        yield lead + " ".join(p for p in parts if p)
+
+
+def shown(row):
+    return row["typ"], row["vorfeldrolle"], [(e["art"], e["text"], e["teile"], e["grund"]) for e in row["elemente"]]
+
+
+@pytest.mark.parametrize("title", ["", None, "Anwendungsvorschriften"])
+def test_made_sentences(spark, title):
+    texts = list(dict.fromkeys(made(4000 if title == "" else 50))) + ODD
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4).select("i", syntax.analysis(F.col("t"), F.lit(title).cast("string")).alias("a")).select("i", "a.*")
+    rows, branches = {r["i"]: r for r in df.collect()}, Counter()
+    for i, text in enumerate(texts):
+        wanted = Sentence(text or "", title).analysis()
+        assert shown(rows[i]) == wanted, text
+        branches.update([wanted[1], wanted[0], *(r for *_, r in wanted[2])])
+    if title == "":  # every type, branch and reason occurs
+        assert {"v1-bedingung", "definiendum", "gleichstellung", "tarifsatz", "doppelpunkt", "konditionalsatz", "rf", "tb", None, "anwendung", "rechenregel", "fiktion", "tarif", "verweisung", "definition", "konditional", "aussage"} <= set(branches)
+        assert len({r for r in branches if r and " " in r}) >= 20
+
+
+def test_whole_table(spark):
+    units = segmentation.unit_rows(segmentation.segment(annotation_queries.as_norms(spark, SF))).select("norm_id", "seq", "text").collect()
+    wanted = {}
+    for u in units:
+        typ, branch, elements = Sentence(u["text"]).analysis()
+        wanted[u["norm_id"], u["seq"]] = (typ, branch, [f"{kind}:{text}" for kind, text, *_ in elements])
+    got = {(r["norm_id"], r["seq"]): (r["typ"], r["vorfeldrolle"], r["elemente"]) for r in catalogue.queries()["cl01_cl11_syntax"](spark, SF).collect()}
+    assert len(wanted) > 1000 and got == wanted
