@@ -49,7 +49,10 @@ def cl01_cl11_syntax(spark, sf_dir):
 def mrg01_mrg06_merge(spark, sf_dir):
     """Scored spans and rejections of every sentence, from the syntax alone."""
     m = merged(spark, sf_dir)
-    return m.select("abk", "norm_id", "pfad", F.size("spannen").alias("spannen"), F.size("abgelehnt").alias("abgelehnt"), F.aggregate("spannen", F.lit(0.0), lambda a, x: a + x["konfidenz"]).alias("konfidenz"))
+    span = lambda s: F.concat_ws("|", s["art"], s["von"].cast("string"), F.format_string("%.3f", s["konfidenz"]), F.coalesce(s["anzeige"], s["text"]), s["grund"])
+    refused = lambda a: F.concat_ws("|", a["art"], a["text"], a["grund"])
+    counts = [F.size("spannen").alias("spannen"), F.size("abgelehnt").alias("abgelehnt"), F.aggregate("spannen", F.lit(0.0), lambda a, x: a + x["konfidenz"]).alias("konfidenz")]
+    return m.select("abk", "norm_id", "seq", "pfad", *counts, F.transform("spannen", span).alias("merkmale"), F.transform("abgelehnt", refused).alias("ablehnungen"))
 
 
 @query()
