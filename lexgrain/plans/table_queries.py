@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.words import MONTHS, TYPE_MATCHES
 from ..operators import audit, consistency, evaluation, evidence, merging, relational, validation
 from ..sources import sinks
+from ..sources.staging import new_path
 from ..streaming import incremental
 from .registry import LINES, S, query, span_text, squash, table, trim
 from .text_queries import TIME, lines
@@ -351,6 +352,16 @@ def flt03_fresh(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", relational.fresh(F.col("ts").cast("timestamp"), now, 30).alias("frisch"))
 
 
+@query("SELECT user_id, event_type, epoch_us(max(ts)) // 1000 AS ms FROM events GROUP BY 1, 2 HAVING epoch_us(max(ts)) // 1000 > (SELECT epoch_us(max(ts)) // 1000 FROM events) - 3 * 86400000")
+def flt03_fresh_stream(spark, sf_dir):
+    """What is fresh when a stream of all events has been read: state with a time to live of three days."""
+    events, keys = table(spark, sf_dir, "events"), ["user_id", "event_type"]
+    path = new_path(spark, "fresh")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as a stream takes no single file
+    incremental.keep_fresh(stream, path, new_path(spark, "fresh-checkpoint"), keys, "ts", 3).awaitTermination()
+    return incremental.still_fresh(spark.read.schema(incremental.log_schema(events, keys)).parquet(path), keys)
+
+
 @query("SELECT event_id FROM events WHERE event_type = 'purchase' ORDER BY user_id, event_id LIMIT 100")
 def flt06_bud01_budget(spark, sf_dir):
     return relational.within_budget(table(spark, sf_dir, "events"), F.col("event_type") == "purchase", ["user_id", "event_id"], 100).select("event_id")
