@@ -51,3 +51,13 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_lists_of_more_than_26_entries(spark, tmp_path):
+    """The 26th entry has no letter: its mark is the one that the SQL names."""
+    name = "tx08_definition_lists"
+    spark.range(120).selectExpr("id AS o_orderkey", "id % 2 + id div 110 AS o_custkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = {tuple(r) for r in catalogue.queries()[name](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert got == set(con.sql(catalogue.oracle_sql()[name]).fetchall()) and max(len(x[1].split("|")) for x in got) > 52
