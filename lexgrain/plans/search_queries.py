@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import search
 from ..sources.staging import new_path
-from .registry import query, table
+from .registry import query, spread, table
 
 _WORDS = r"SELECT doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents"
 _POSTINGS = f"SELECT doc_id, lang, unnest(ws) AS wort, generate_subscripts(ws, 1) - 1 AS pos FROM ({_WORDS})"
@@ -16,25 +16,25 @@ _HITS = f"""WITH p AS ({_POSTINGS}), q AS (SELECT doc_id AS q_id, generate_subsc
 
 
 def _norms(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("lang").alias("abk"), F.col("doc_id").cast("string").alias("norm_id"), "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id").select(F.col("lang").alias("abk"), F.col("doc_id").cast("string").alias("norm_id"), "text")
 
 
-def _hits(spark, sf_dir) -> DataFrame:
-    """The third to fifth word of every twentieth document, sought as a phrase in all of them."""
+def _asked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The third to fifth word of every twentieth document as phrases, and the index of all documents in which they are sought."""
     asked = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("q_id"), F.array_join(F.slice(search.words(F.col("text")), 3, 3), " ").alias("anfrage"))
-    return search.phrase_hits(asked, search.build_index(_norms(spark, sf_dir), new_path(spark, "index")))
+    return asked, search.build_index(_norms(spark, sf_dir), new_path(spark, "index"))
 
 
 @query(f"SELECT q_id, abk, norm_id, pos, n FROM ({_HITS})")
 def srch01_phrases(spark, sf_dir):
     """Every place of every phrase."""
-    return _hits(spark, sf_dir).select("q_id", "abk", "norm_id", F.col("pos").cast("long").alias("pos"), F.col("n").cast("long").alias("n"))
+    return search.phrase_hits(*_asked(spark, sf_dir)).select("q_id", "abk", "norm_id", F.col("pos").cast("long").alias("pos"), F.col("n").cast("long").alias("n"))
 
 
 @query(f"SELECT q_id, abk, count(*) AS treffer, count(DISTINCT norm_id) AS normen FROM ({_HITS}) GROUP BY 1, 2")
 def srch01_counts(spark, sf_dir):
     """Hits of every phrase by language."""
-    return search.counts_by_statute(_hits(spark, sf_dir))
+    return search.phrase_counts(*_asked(spark, sf_dir))
 
 
 _ASKED = "CASE o_orderkey % 5 WHEN 0 THEN o_orderkey % 30 || ' ' || lower(n_name) WHEN 1 THEN '§ ' || o_orderkey % 30 || 'a  ' || n_name WHEN 2 THEN lower(n_name) || ' ' || o_orderkey % 30 WHEN 3 THEN n_name || ' § ' || o_orderkey % 30 ELSE 'nach ' || n_name || ' ' || o_orderkey % 30 END"
