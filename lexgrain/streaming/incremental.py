@@ -3,18 +3,13 @@ the streaming form is an extension."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def changed(norms: DataFrame, known: DataFrame, keys: tuple[str, ...] = ("abk", "norm_id")) -> DataFrame:
     """Norms whose text_hash isn't known yet: an anti-join on key and hash."""
@@ -36,67 +31,42 @@ def annotate_stream(norms: DataFrame, known_path: str, checkpoint: str, annotate
     return norms.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class Freshness(StatefulProcessor):
-    """A key's newest date, for as long as the watermark is behind it: one number a key, gone when it is stale."""
-
-    def __init__(self, keys: list[str]):
-        self.keys = keys
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.newest = handle.getValueState("newest", "ms long")
-
-    def told(self, key, ms: int, fresh: bool) -> pd.DataFrame:
-        return pd.DataFrame({**{k: [v] for k, v in zip(self.keys, key)}, "ms": [ms], "frisch": [fresh]})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ms = max(int(frame.iloc[:, -1].max()) for frame in rows)  # by place: a frame's names are not those of the stream
-        if self.newest.exists():
-            known = self.newest.get()[0]
-            if known >= ms:
-                return
-            self.handle.deleteTimer(known)
-        self.newest.update((ms,))
-        self.handle.registerTimer(ms)
-        yield self.told(key, ms, True)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ms = self.newest.get()[0]
-        self.newest.clear()
-        yield self.told(key, ms, False)
-
-    def close(self) -> None:
-        pass
-
-
 def log_schema(rows: DataFrame, keys: list[str]) -> StructType:
     return StructType([rows.schema[k] for k in keys]).add("ms", "long").add("frisch", "boolean")
 
 
-def freshness(rows: DataFrame, keys: list[str], date: str, days: int) -> DataFrame:
-    """FLT-3 as state with a time to live (an extension): a row (keys, ms, frisch) whenever a key becomes fresh or stale.
+def keep_fresh(rows: DataFrame, path: str, checkpoint: str, keys: list[str], date: str, days: int) -> StreamingQuery:
+    """FLT-3 over a stream (an extension): a row (keys, ms, frisch) whenever a key becomes fresh or stale, appended as a log to the table at path.
 
-    The watermark stays that many days behind the newest date of all, so it is the border between fresh and stale: a row
-    behind it is dropped because it can't change anything, and a key's timer stands at its own newest date. Dates count in
-    milliseconds. A row without a date is never fresh; null keys are a key of their own.
-    No key may be called ms or frisch. The state store must be RocksDB.
+    All input at hand is read; the next run goes on from there. What is kept from batch to batch is a table of a row a key
+    with its newest date, and who is stale by the newest date of all leaves it with the next batch; a batch is grouped by key
+    natively. Two folders take turns, and each batch has its own part of the log, so one that is run again writes the same.
+    Dates count in milliseconds. A row without a date is never fresh; null keys are a key of their own. No key may be called
+    ms, frisch, lauf, alt or _neueste.
     """
-    dated = rows.select(*keys, F.col(date).cast("timestamp").alias("_zeit")).where("_zeit IS NOT NULL").withWatermark("_zeit", f"{days} days").withColumn("_ms", F.unix_millis("_zeit"))
-    return dated.groupBy(*keys).transformWithStateInPandas(Freshness(keys), log_schema(rows, keys), "Append", "EventTime")
+    kept = StructType([rows.schema[k] for k in keys]).add("ms", "long").add("alt", "long")
 
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        here, before = (f"{checkpoint}/newest/{n % 2}" for n in (batch_id, batch_id - 1))
 
-def keep_fresh(rows: DataFrame, path: str, checkpoint: str, keys: list[str], date: str, days: int) -> StreamingQuery:
-    """freshness() over all input at hand, appended as a log to the table at path; the next run goes on from there."""
-    conf = rows.sparkSession.conf
-    before = conf.get(STATE_STORE)
-    conf.set(STATE_STORE, ROCKSDB)
-    try:
-        return freshness(rows, keys, date, days).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finally:
-        conf.set(STATE_STORE, before)
+        def with_newest(path: str) -> DataFrame:
+            state = spark.read.schema(kept).parquet(path)
+            return state.crossJoin(F.broadcast(state.agg((F.max("ms") - days * 86_400_000).alias("_neueste"))))
+
+        fresh = F.col("ms") > F.col("_neueste")
+        dates = batch.select(*keys, "ms", F.lit(None).cast("long").alias("alt"))
+        if batch_id:
+            dates = dates.unionByName(with_newest(before).where(fresh).select(*keys, "ms", F.col("ms").alias("alt")))
+        dates.groupBy(*keys).agg(F.max("ms").alias("ms"), F.max("alt").alias("alt")).write.mode("overwrite").parquet(here)
+        told = F.when(fresh, F.col("alt").isNull() | (F.col("ms") > F.col("alt"))).otherwise(F.col("alt").isNotNull())
+        with_newest(here).where(told).select(*keys, "ms", fresh.alias("frisch")).write.mode("overwrite").parquet(f"{path}/lauf={batch_id}")
+
+    dated = rows.select(*keys, F.unix_millis(F.col(date).cast("timestamp")).alias("ms")).where("ms IS NOT NULL")
+    return dated.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def still_fresh(log: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys that are fresh by a log of freshness(), with their newest date in milliseconds."""
+    """The keys that are fresh by a log of keep_fresh(), with their newest date in milliseconds."""
     last = log.groupBy(*keys).agg(F.max(F.struct("ms", (~F.col("frisch")).alias("alt"))).alias("_l"))
     return last.where("NOT _l.alt").select(*keys, "_l.ms")

@@ -53,3 +53,14 @@ def test_freshness_as_state(spark, tmp_path):
         got = {r["k"]: r["ms"] for r in incremental.still_fresh(spark.read.parquet(log), ["k"]).collect()}
         assert got == {k: ms for k, ms in newest.items() if now - ms < 3 * day}
     assert got == {"c": 12 * day}
+
+
+def test_stale_rows_of_a_batch_hold_no_state(spark, tmp_path):
+    """Of 2,000 keys in one batch three are fresh at its end: only those are logged, and the same are left."""
+    source, log, day = f"file://{tmp_path}/in", f"file://{tmp_path}/log", 86_400_000
+    rows = spark.range(2000).selectExpr("id AS k", f"timestamp_millis(id * {day}) AS t").orderBy("t", ascending=False)
+    rows.coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema("k long, t timestamp").parquet(source)
+    incremental.keep_fresh(stream, log, f"file://{tmp_path}/cp", ["k"], "t", 3).awaitTermination()
+    logged = spark.read.parquet(log)
+    assert logged.count() == 3 and sorted(r["k"] for r in incremental.still_fresh(logged, ["k"]).collect()) == [1997, 1998, 1999]
