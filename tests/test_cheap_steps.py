@@ -1,6 +1,7 @@
 """Steps that were made cheaper give what the plain forms give, and are done once a row."""
 
 import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,3 +66,16 @@ def test_a_phrase_has_its_key_made_once(spark, name):
     """Its filter isn't pushed down with a copy of the whole key, and no line is split at a pattern."""
     plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("buchst(?:abe") == 1 and "[.,;:!?]" not in plan
+
+
+def test_a_span_has_its_quality_made_once(spark):
+    """Rounding a confidence uses it nine times; the quality that it is made of is one of its parts."""
+    plan = catalogue.queries()["mrg01_mrg06_merge"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(rf"{T.B}und{T.B}.*{T.B}oder{T.B}") == 1
+
+
+def test_rounded_as_before(spark):
+    r = random.Random(5)
+    numbers = [r.random() for _ in range(2000)] + [k / 2000 for k in range(2001)]
+    got = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", T.fixed3(F.col("x")).alias("y")).collect()
+    assert all(y == float(Decimal(x).quantize(Decimal("0.001"), ROUND_HALF_UP)) for x, y in got)
