@@ -6,9 +6,10 @@ from decimal import ROUND_HALF_UP, Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from lexgrain.functions import patterns as P
 from lexgrain.functions import text as T
 from lexgrain.functions import words as W
-from lexgrain.operators import evaluation
+from lexgrain.operators import evaluation, syntax
 from lexgrain.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -34,6 +35,17 @@ def plain_class(t):
     return F.when(fragment, "fragment").when(subject, "nur Normsubjekt").otherwise(rest)
 
 
+def plain_content(c):
+    given = F.regexp_extract_all(F.lower(c), F.lit("([a-zäöüß]{4,})"), F.lit(1))
+    return F.coalesce((F.length(c) >= 4) & ~F.lower(F.btrim(c, F.lit(T.SPACES))).isin(*W.FINITE) & F.exists(given, lambda w: ~w.isin(*W.FINITE, *W.FILLERS)), F.lit(False))
+
+
+def plain_clean(c):
+    c = T.sub(T.sub(F.coalesce(c, F.lit("")), rf"{T.S}+", " "), rf",{T.S}*,+", ",")
+    c = T.sub(T.sub(F.btrim(T.sub(c, rf"{T.S}+([,.;])", "$1"), F.lit(T.SPACES)), rf"\A[,;:]{T.S}*", ""), r"[.,;:]\z", "")
+    return F.btrim(T.sub(c, rf"(?iu)[,;]?{T.S}+(?:wenn|soweit|sofern|falls|und|oder|sowie|dass)\z", ""), F.lit(T.SPACES))
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     r = random.Random(3)
@@ -53,6 +65,8 @@ def odd(spark):
         (lambda c: T.more_words(c, 40), lambda c: plain_words(c) > 40),
         (T.trim, lambda c: F.btrim(c, F.lit(T.SPACES))),
         (T.squash, lambda c: T.sub(c, rf"{T.S}+", " ")),
+        (T.has_content, plain_content),
+        (T.clean_span, plain_clean),
     ],
 )
 def test_as_plain(odd, new, plain):
@@ -74,6 +88,32 @@ def test_a_span_has_its_quality_made_once(spark):
     assert plan.count(rf"{T.B}und{T.B}.*{T.B}oder{T.B}") == 1
 
 
+def test_values_are_bound_without_copies(spark):
+    """A value bound as the element of a transformed array has its result copied, and typed anew, for each row."""
+    plan = catalogue.queries()["mrg01_mrg06_merge"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(array(" not in plan and plan.count("aggregate([]") > 50
+
+
+CUES = ["wenn", "WENN", "ſoweit", "daſs", "İst", "ıst", "IST", "STEHT", "Kann", "kann", "ERMÄẞIGT", "ermäßigt", "MÜSSEN", "dürfen", "es sei denn", "mit Ausnahme", "Gilt nicht", "außer in", "AUẞER wenn", "sinngemäß", "gilt entsprechend", "gilt als",
+        "wird x behandelt", "gleich", "gleichgestellt.", "steht dem Wort y gleich", "auf volle", "vom Hundert", "v. H.", "Steuersatz", "im Sinne dieses Gesetzes", "Begriff", "Bei", "NACH", "Abweichend von", "steuerfrei", "ZULÄSSIG", "Dies", "Satz 1", "der Mensch",
+        "Die Größe für Ämter", "zu zahlen", "GEZAHLT", "angeſetzt", "unberührt", "außer Ansatz", "hinzuzurechnen", "in der Fassung des x anzuwenden", "erstmals im Veranlagungszeitraum", "(1,5)", "Σας", "Å", "x", "ä", "字", "\U0001d400"]
+
+
+def test_folded_texts_have_the_matches_of_patterns_that_ignore_case(spark):
+    r = random.Random(7)
+    made = ["".join(r.choice(CUES) + r.choice([" ", " ", " ", ", ", "; ", "", "_", "\xa0", ".", "İ", "K"]) for _ in range(r.choice([1, 1, 2, 3, 5, 8, 13]))) for _ in range(6000)]
+    df = spark.createDataFrame([(x,) for x in CUES + made], "t string")
+    low = T.folded(F.col("t"))
+    names = ("SUBJUNCTION", "FINITE_VERB", "PREDICATIVE", "CONDITIONAL_FRONT", "PRONOUN", "EXCEPTION", "REFERENCE", "APPLICATION", "FICTION", "DEFINITION_STRONG", "EQUATION", "CALCULATION", "TARIFF", "BRACKET_OPEN")
+    patterns = {**{n: getattr(P, n) for n in names}, "HIDDEN_CLAUSE": syntax.HIDDEN_CLAUSE}
+    place = lambda c, p: F.regexp_instr(c, F.lit(p))
+    span = lambda c, p: F.struct(place(c, p).alias("at"), F.length(F.regexp_substr(c, F.lit(p))).alias("n"))
+    wrong = [F.count_if(span(F.col("t"), p) != span(low, P.small(p))).alias(n) for n, p in patterns.items()]
+    seen = [F.count_if(place(F.col("t"), p) > 0).alias(f"seen_{n}") for n, p in patterns.items()]
+    got = df.agg(*wrong, *seen).first().asDict()
+    assert {n: got[n] for n in patterns if got[n]} == {} and min(got[f"seen_{n}"] for n in patterns) > 5
+
+
 def test_rounded_as_before(spark):
     r = random.Random(5)
     numbers = [r.random() for _ in range(2000)] + [k / 2000 for k in range(2001)]
