@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from lexgrain.functions import patterns as P
 from lexgrain.functions import text as T
 from lexgrain.functions import words as W
-from lexgrain.operators import evaluation, syntax
-from lexgrain.plans import catalogue
+from lexgrain.operators import evaluation, merging, syntax
+from lexgrain.operators import validation as V
+from lexgrain.plans import annotation_queries, catalogue
 
 SF = "/root/testdata/sf0.001"
 
@@ -119,3 +120,58 @@ def test_rounded_as_before(spark):
     numbers = [r.random() for _ in range(2000)] + [k / 2000 for k in range(2001)]
     got = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", T.fixed3(F.col("x")).alias("y")).collect()
     assert all(y == float(Decimal(x).quantize(Decimal("0.001"), ROUND_HALF_UP)) for x, y in got)
+
+
+def test_the_report_only_makes_what_it_counts(spark):
+    """No place, confidence, address or anchor of a span goes into the report, and no whole text of a norm is searched for it."""
+    plan = catalogue.queries()["snk05_run_report"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in ("starts(", "sha2(", "Abs. ", "konfidenz", "gegenprobe", rf"{T.B}und{T.B}.*{T.B}oder{T.B}") if x in plan]
+
+
+def test_outcomes_are_those_of_the_merge(spark):
+    whole = annotation_queries.merged(spark, SF).select("norm_id", "seq", (F.size("spannen") > 0).alias("steht"), F.size("abgelehnt").alias("abgelehnt"), "text", "typ", "verberst", "elemente")
+    u = F.struct("text", "typ", "verberst", "elemente")
+    got = whole.select("*", merging.outcome(u, F.lit("einkommensteuer")).alias("o")).cache()
+    assert got.where("not (o.steht <=> steht) or not (o.abgelehnt <=> abgelehnt)").take(3) == []
+    assert got.where("steht").count() > 300 and got.where("abgelehnt > 0").count() > 100
+
+
+def plain_subject(t):
+    core = T.sub(T.sub(F.lower(t), rf"\A(?:der|die|das|dieser|diese|dieses|ein|eine|einer){T.S}+", ""), r"[.,;:]\z", "")
+    return (plain_words(core) <= 4) & (F.startswith(core, F.lit("steuer")) | F.startswith(F.lit("steuer"), core) | F.btrim(t, F.lit(T.SPACES)).rlike(V.BARE_SUBJECT))
+
+
+def plain_reason(t):
+    t = F.btrim(F.coalesce(t, F.lit("")), F.lit(T.SPACES))
+    end = F.right(t, F.lit(24))
+    return (
+        F.when(F.length(t) < 4, "zu kurz").when(F.length(t) > 600, "zu lang (>600 Zeichen)")
+        .when(t.rlike(V.MONTH_START), "Fragment: beginnt mit Monatsnamen").when(t.rlike(r"\A[,;:.)\]]"), "Fragment: beginnt mit Satzzeichen")
+        .when(end.rlike(V.CUT_ORDINAL), "Fragment: endet auf abgeschnittener Ordinalzahl").when(end.rlike(V.CUT_END), "Fragment: endet auf Artikel oder Präposition")
+        .when(t.rlike(V.LOOSE_START), "Fragment: beginnt mit Konjunktion oder finitem Verb").when((plain_words(t) < 12) & t.rlike(V.GAZETTE), "Fundstelle statt Merkmal")
+        .when(T.time_only(t), "reine Zeitangabe").when(t.rlike(V.REFERENCE_ONLY), "reiner Paragrafenverweis ohne Merkmalsgehalt")
+        .when(plain_words(t) > 45, F.concat(F.lit("zu grob ("), plain_words(t).cast("string"), F.lit(" Wörter)")))
+        .when((plain_words(t) <= 5) & plain_subject(t), "bloßes Normsubjekt")
+    )
+
+
+def test_vetoes_as_plain(spark):
+    r = random.Random(11)
+    words = ["der", "Die", "DAS", "daſ", "dem", "für", "FÜR", "ım", "İm", "nach", "NACH", "und", "ſowie", "Sind", "ıst", "İst", "bzw.", "wird", "Steuer", "steuerlich", "Januar", "März", "7.", "12.", "§ 3", "§ 3 Abs. 2", "Artikel 4", "BGBl.", "BStBl.", "x", ",", ";", ")", "Größe", "Wortlaut", "字", "eine"]
+    made = [" ".join(r.choice(words) for _ in range(r.choice([1, 1, 2, 2, 3, 4, 5, 6, 12, 46]))) + r.choice(["", "", ".", ";"]) for _ in range(6000)]
+    rows = spark.createDataFrame([(x,) for x in made], "t string")
+    long = F.concat(F.lit("y" * 800), "t")
+    new = V.reject_reason(F.lit("tb"), F.col("t"), long, F.lit("z"), F.lit("aussage"), F.lit("steuer"), F.lit(False))
+    rows = rows.select("t", new.alias("a"), plain_reason(F.col("t")).alias("b")).cache()
+    assert rows.where("not (a <=> b)").take(3) == [] and rows.select("b").distinct().count() > 9
+    elsewhere = [V.reject_reason(F.lit("tb"), F.lit("ein Wortlaut"), F.lit("anderer Satz"), F.lit(x).cast("string"), F.lit("aussage"), F.lit(""), F.lit(False)) for x in ("hier ein Wortlaut", "hier nicht", None)]
+    assert list(spark.range(1).select(*elsewhere).first()) == ["steht in einem anderen Rechtssatz als angegeben", "nicht wörtlich im Normtext", "steht in einem anderen Rechtssatz als angegeben"]
+
+
+def test_conditions_are_found_behind_their_cues(spark):
+    r = random.Random(13)
+    words = ["wenn", "WENN", "ſoweit", "Sofern", "falls", "FALLſ", "ſolange nicht", "Wort", "ist", "wird,", "kann", "x;", "größer", "\xa0"]
+    made = [r.choice(["", "", ", "]) + "".join(r.choice(words) + r.choice([" ", " ", ", ", "; ", ",\xa0"]) for _ in range(r.choice([1, 3, 6, 10]))) for _ in range(3000)]
+    df = spark.createDataFrame([(x,) for x in made], "t string").select("t", T.let(F.col("t"), lambda t: syntax.condition_span(t, F.lit(-1))).alias("a"), (syntax.place(F.col("t"), P.CONDITION) >= 0).alias("b"))
+    found = syntax.any_of(T.folded(F.col("t")), *P.CUES[P.CONDITION])
+    assert df.where(F.col("b") & ~found).take(3) == [] and df.where(F.col("a").isNotNull() & ~F.col("b")).take(3) == [] and df.where("b").count() > 500 and df.where("not b").count() > 50
